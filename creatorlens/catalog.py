@@ -5,24 +5,457 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import fixed_values as fv
+from .functions import (
+    lenient_double,
+    lenient_long,
+    parse_age_years,
+    parse_count,
+    parse_currency,
+    parse_date,
+    parse_duration_minutes,
+    parse_rate,
+    parse_views,
+    strip,
+)
+from .operators import gap as G
+from .operators import kmeans as km
+from .operators import profile as P
+from .operators import ranking as RK
+from .operators import segments as SG
+from .operators import stability as ST
+from .operators.dedup import keep_first
+from .operators.lookup import normalize_labels
+from .operators.silhouette import silhouette
+from .plans import cleaning as C
 from .plans import reports as R
-from .sources import marts
+from .plans import segmentation as S
+from .plans import validation as V
+from .session import scratch_path
+from .sources import marts, schemas
+from .sources.readers import POSITION, read_strings, read_typed, write_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 SPEC = marts.MART_SPEC
 
+# --- Fixed values: reference centroids in z-score units (one row per cluster) ---
+CENTROIDS = (
+    (1.0, 0.5, 0.0, 0.0, 0.0),
+    (-0.5, 1.0, 0.5, 0.0, 0.0),
+    (0.0, -0.5, 1.0, 0.5, -0.5),
+    (0.0, 0.0, -0.5, 1.0, 0.5),
+    (-0.5, -0.5, -0.5, -0.5, 0.5),
+)
 
-def _on_segments(fn, *args) -> Query:
-    return lambda spark, sf_dir: fn(marts.stored(spark, sf_dir, "segments"), *args)
 
+def shifted_centroids(runs: int = fv.STABILITY_RUNS) -> list[list[list[float]]]:
+    """The reference centroids drifting a little per run; the last run is renumbered."""
+    sets = [
+        [[v + 0.01 * r * (1 if j % 2 == 0 else -1) for j, v in enumerate(c)] for c in CENTROIDS]
+        for r in range(runs)
+    ]
+    sets[-1] = sets[-1][1:] + sets[-1][:1]
+    return sets
 
-def _on_videos(fn, *args) -> Query:
-    return lambda spark, sf_dir: fn(marts.stored(spark, sf_dir, "items"), *args)
+
+_RESULTS: dict[tuple[str, str, str], object] = {}
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], object]):
+    """Result of a fit or cleaning job that several queries of one application use."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _RESULTS:
+        _RESULTS[key] = build()
+    return _RESULTS[key]
+
+
+def _table(name: str, fn, *args) -> Query:
+    return lambda spark, sf_dir: fn(marts.stored(spark, sf_dir, name), *args)
+
+
+def _seg(fn, *args) -> Query:
+    return _table("segments", fn, *args)
+
+
+# ── sources and sinks ───────────────────────────────────────────────────────
+
+
+def src_csv_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "creators-csv")
+    raw = marts.stored(spark, sf_dir, "creators_messy").select(*schemas.CREATORS_MESSY.names)
+    write_table(raw, path, "csv")
+    return read_strings(spark, path, schemas.CREATORS_MESSY, with_position=False)
+
+
+def _roundtrip(name: str, schema, fmt: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = scratch_path(spark, f"{name}-{fmt}")
+        write_table(marts.stored(spark, sf_dir, name).select(*schema.names), path, fmt)
+        return read_typed(spark, path, schema, fmt)
+
+    return run
+
+
+def export_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "segments-export")
+    write_table(SG.export_segments(marts.stored(spark, sf_dir, "segments"), SPEC), path)
+    return read_typed(spark, path, schemas.CREATOR_SEGMENTS)
+
+
+# ── cleaning ────────────────────────────────────────────────────────────────
+
+
+def cleaned_creators(spark: SparkSession, sf_dir: str) -> C.Cleaned:
+    raw = marts.stored(spark, sf_dir, "creators_messy")
+    return once(spark, sf_dir, "creators", lambda: C.clean_creators(raw))
+
+
+def cleaned_videos(spark: SparkSession, sf_dir: str) -> C.Cleaned:
+    raw = marts.stored(spark, sf_dir, "videos_messy")
+    return once(spark, sf_dir, "videos", lambda: C.clean_videos(raw))
+
+
+def _clean_creators(*columns: str) -> Query:
+    return lambda spark, sf_dir: cleaned_creators(spark, sf_dir).clean.select(*columns)
+
+
+def clean_strip(raw: DataFrame) -> DataFrame:
+    return C.strip_strings(raw.select(*schemas.CREATORS_MESSY.names))
+
+
+def dedup_keep_first(raw: DataFrame) -> DataFrame:
+    return keep_first(C.strip_strings(raw), ["creator_id"], POSITION).drop(POSITION)
+
+
+def dedup_videos(raw: DataFrame) -> DataFrame:
+    return keep_first(C.strip_strings(raw), ["video_id"], POSITION).drop(POSITION)
+
+
+def _normalized(column: str, synonyms) -> Callable[[DataFrame], DataFrame]:
+    def run(raw: DataFrame) -> DataFrame:
+        df = raw.select(
+            "creator_id", strip(F.col(column)).alias("raw_label"),
+            strip(F.col(column)).alias(column),
+        )
+        counted = normalize_labels(df, column, synonyms).groupBy("raw_label", column)
+        return counted.agg(F.count("*").alias("n_rows"))
+
+    return run
+
+
+def _parsed(key: str, *columns: tuple[str, str, Callable]) -> Callable[[DataFrame], DataFrame]:
+    """(id, raw text, parsed value) per named column."""
+
+    def run(raw: DataFrame) -> DataFrame:
+        cells = []
+        for source, name, parser in columns:
+            text = strip(F.col(source))
+            cells += [text.alias(f"raw_{name}"), parser(text).alias(name)]
+        return raw.select(strip(F.col(key)).alias(key), *cells)
+
+    return run
+
+
+_DOUBLES = (
+    "avg_retention_rate", "avg_ctr", "avg_video_length_mins", "avg_video_len_std", "rpm",
+)
+
+
+def null_invalid(raw: DataFrame) -> DataFrame:
+    df = raw.select(
+        strip(F.col("creator_id")).alias("creator_id"),
+        *[lenient_double(F.col(c)).alias(c) for c in ("avg_retention_rate", "rpm")],
+    )
+    return C.null_invalid(df)
+
+
+def drop_zero(raw: DataFrame) -> DataFrame:
+    df = raw.select(
+        strip(F.col("creator_id")).alias("creator_id"),
+        parse_count(strip(F.col("subscriber_count"))).alias("subscriber_count"),
+    )
+    return df.filter(F.col("subscriber_count") != 0)
+
+
+def drop_chargebacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    staged = cleaned_videos(spark, sf_dir).staged
+    kept = staged.filter(~F.col("_chargeback"))
+    parts = (("kept", kept), ("chargebacks", C.chargebacks(staged)))
+    out = None
+    for name, df in parts:
+        one = df.agg(
+            F.count("*").alias("n_rows"),
+            F.count("revenue").alias("n_revenue"),
+            F.round(F.sum("revenue"), 2).alias("revenue"),
+        ).select(F.lit(name).alias("part"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def distinct_before_after(raw: DataFrame) -> DataFrame:
+    df = keep_first(C.strip_strings(raw), ["creator_id"], POSITION)
+    df = df.select(
+        F.col("niche_category").alias("niche_raw"), "niche_category",
+        F.col("archetype").alias("archetype_raw"), "archetype",
+    )
+    df = normalize_labels(df, "niche_category", fv.NICHE_SYNONYMS)
+    df = normalize_labels(df, "archetype", fv.ARCHETYPE_SYNONYMS)
+    return P.distinct_before_after(
+        df,
+        {
+            "niche_category": ("niche_raw", "niche_category"),
+            "archetype": ("archetype_raw", "archetype"),
+        },
+    )
+
+
+def cleaning_query(fn) -> Query:
+    return lambda spark, sf_dir: fn(
+        cleaned_creators(spark, sf_dir), cleaned_videos(spark, sf_dir)
+    )
+
+
+# ── profiling ───────────────────────────────────────────────────────────────
+
+
+def histogram(segments: DataFrame) -> DataFrame:
+    """The profiling features, 40 bins each."""
+    out = None
+    for c in fv.PROFILE_FEATURES:
+        one = P.histogram(segments, c, 40).select(
+            F.lit(c).alias("feature"), "bin",
+            F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"), "n",
+        )
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def tier_internal_std(segments: DataFrame) -> DataFrame:
+    mid = SPEC.tier_labels()[2]
+    return P.subset_spread(segments, F.col("subscriber_tier") == mid, "avg_retention_rate")
+
+
+# ── windows ─────────────────────────────────────────────────────────────────
+
+
+def win_ntile(segments: DataFrame) -> DataFrame:
+    narrow = segments.select("creator_id", "subscriber_count")
+    return RK.global_ntile(narrow, ["subscriber_count", "creator_id"], 10, "decile")
+
+
+def win_percent_rank(segments: DataFrame) -> DataFrame:
+    narrow = segments.select("creator_id", "revenue_90d")
+    return RK.global_percent_rank(narrow, "revenue_90d", ["creator_id"])
+
+
+def win_total(segments: DataFrame) -> DataFrame:
+    """COUNT(*) OVER () as a scalar subquery, next to the global row number."""
+    narrow = segments.select("creator_id", "views_90d")
+    total = narrow.agg(F.count("*").alias("n")).scalar()
+    return narrow.withColumn("cnt", total)
+
+
+def global_rank(segments: DataFrame) -> DataFrame:
+    """Row number and shared rank by views: values repeat, some are null."""
+    narrow = segments.select("creator_id", "views_90d")
+    ranked = RK.global_rank(narrow, "views_90d", ["creator_id"], "rnk", "n_total")
+    numbered = RK.global_row_number(narrow, ["views_90d", "creator_id"], "rn", "n_rows")
+    return ranked.join(numbered.select("creator_id", "rn"), "creator_id")
+
+
+# ── clustering ──────────────────────────────────────────────────────────────
+
+
+def _standardized(segments: DataFrame) -> km.Standardized:
+    return km.standardize(segments, S.KEY, fv.CLUSTER_FEATURES)
+
+
+def zscore(segments: DataFrame) -> DataFrame:
+    std = _standardized(segments)
+    return std.points.select(S.KEY, *[F.round(c, 6).alias(c) for c in std.columns])
+
+
+def _assigned(segments: DataFrame) -> tuple[km.Standardized, DataFrame]:
+    std = _standardized(segments)
+    return std, km.assign_clusters(std.points, std.columns, CENTROIDS)
+
+
+def centroid_distance(segments: DataFrame) -> DataFrame:
+    std = _standardized(segments)
+    d = km.distances(std.columns, CENTROIDS)
+    return std.points.select(S.KEY, *[F.round(x, 6).alias(f"d{i}") for i, x in enumerate(d)])
+
+
+def assign_clusters(segments: DataFrame) -> DataFrame:
+    return _assigned(segments)[1].select(S.KEY, "cluster")
+
+
+def update_centroids(segments: DataFrame) -> DataFrame:
+    std, assigned = _assigned(segments)
+    means = km.update_centroids(assigned, std.columns)
+    return means.select("cluster", "n", *[F.round(c, 6).alias(c) for c in std.columns])
+
+
+def inertia(segments: DataFrame) -> DataFrame:
+    std, assigned = _assigned(segments)
+    return km.inertia(assigned, std.columns, CENTROIDS).select(
+        F.round("inertia", 3).alias("inertia")
+    )
+
+
+def _named(segments: DataFrame) -> DataFrame:
+    assigned = S.attach_clusters(segments, _standardized(segments), CENTROIDS)
+    return SG.with_cluster_names(assigned, SG.name_clusters(assigned, CENTROIDS))
+
+
+def name_clusters(segments: DataFrame) -> DataFrame:
+    assigned = S.attach_clusters(segments, _standardized(segments), CENTROIDS)
+    return SG.name_clusters(assigned, CENTROIDS)
+
+
+def centroids_real(segments: DataFrame) -> DataFrame:
+    std = _standardized(segments)
+    rows = [(i, *[round(v, 6) for v in c]) for i, c in enumerate(SG.centroids_real(std, CENTROIDS))]
+    ddl = "cluster int, " + ", ".join(f"{f} double" for f in std.features)
+    return segments.sparkSession.createDataFrame(rows, ddl)
+
+
+def silhouette_sample(segments: DataFrame) -> DataFrame:
+    std, assigned = _assigned(segments)
+    return silhouette(assigned, S.KEY, std.columns, 500).select(
+        "n_scored", F.round("silhouette", 6).alias("silhouette")
+    )
+
+
+def stability_raw(segments: DataFrame) -> DataFrame:
+    std = _standardized(segments)
+    sets = shifted_centroids()
+    labelled = ST.with_run_labels(std.points, std.columns, sets)
+    names = [f"run_{i}" for i in range(len(sets))]
+    return ST.stability(labelled, names, len(CENTROIDS), fv.STABILITY_AGREEMENT)
+
+
+def fitted(spark: SparkSession, sf_dir: str) -> S.Segmentation:
+    seg = marts.stored(spark, sf_dir, "segments")
+    return once(spark, sf_dir, "fit", lambda: S.segment(seg))
+
+
+def fitted_runs(spark: SparkSession, sf_dir: str) -> V.StabilityRuns:
+    seg = marts.stored(spark, sf_dir, "segments")
+    return once(spark, sf_dir, "runs", lambda: V.stability_runs(seg))
+
+
+def validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seg = marts.stored(spark, sf_dir, "segments")
+    return V.summary(seg, fitted_runs(spark, sf_dir).raw(), SPEC)
+
+
+# ── the registry ────────────────────────────────────────────────────────────
+
+
+def source_queries() -> dict[str, Query]:
+    return {
+        "src_csv_strings": src_csv_strings,
+        "src_typed": _roundtrip("items", schemas.VIDEOS_CLEAN, "csv"),
+        "sink_roundtrip": _roundtrip("segments", schemas.CREATORS_CLEAN, "parquet"),
+        "export_segments": export_segments,
+    }
+
+
+def cleaning_queries() -> dict[str, Query]:
+    def creators(fn):
+        return _table("creators_messy", fn)
+
+    def videos(fn):
+        return _table("videos_messy", fn)
+
+    return {
+        "clean_strip": creators(clean_strip),
+        "dedup_keep_first": creators(dedup_keep_first),
+        "normalize_niche": creators(_normalized("niche_category", fv.NICHE_SYNONYMS)),
+        "normalize_archetype": creators(_normalized("archetype", fv.ARCHETYPE_SYNONYMS)),
+        "parse_count": creators(
+            _parsed("creator_id", ("subscriber_count", "subscriber_count", parse_count))
+        ),
+        "parse_currency": creators(
+            _parsed("creator_id", ("revenue_90d", "revenue_90d", parse_currency))
+        ),
+        "parse_age": creators(
+            _parsed("creator_id", ("channel_age_years", "channel_age_years", parse_age_years))
+        ),
+        "parse_rate": creators(
+            _parsed("creator_id", ("upload_freq_per_month", "upload_freq_per_month", parse_rate))
+        ),
+        "lenient_cast": creators(
+            _parsed(
+                "creator_id",
+                *[(c, c, lenient_double) for c in _DOUBLES],
+                ("monthly_views", "monthly_views", lenient_long),
+            )
+        ),
+        "null_invalid": creators(null_invalid),
+        "drop_zero": creators(drop_zero),
+        "impute_group_median": _clean_creators(
+            "creator_id", "archetype", *fv.CREATOR_IMPUTE_COLUMNS
+        ),
+        "len_consistency": _clean_creators(
+            "creator_id", "avg_video_len_std", "len_consistency_score"
+        ),
+        "tier_right_closed": _clean_creators("creator_id", "subscriber_count", "subscriber_tier"),
+        "final_types": lambda spark, sf: cleaned_creators(spark, sf).clean,
+        "dedup_videos": videos(dedup_videos),
+        "parse_dates": videos(_parsed("video_id", ("publish_date", "publish_date", parse_date))),
+        "parse_duration": videos(
+            _parsed("video_id", ("video_length_mins", "video_length_mins", parse_duration_minutes))
+        ),
+        "parse_views": videos(_parsed("video_id", ("views", "views", parse_views))),
+        "drop_chargebacks": drop_chargebacks,
+        "lenient_cast_videos": videos(
+            _parsed(
+                "video_id",
+                ("video_id", "video_number", lenient_long),
+                ("creator_id", "creator_number", lenient_long),
+                *[(c, c, lenient_double) for c in ("retention_rate", "ctr", "rpm")],
+            )
+        ),
+        "impute_creator_median": lambda spark, sf: cleaned_videos(spark, sf).clean,
+    }
+
+
+def profile_queries() -> dict[str, Query]:
+    return {
+        "null_audit": _seg(P.null_audit),
+        "table_shape": lambda spark, sf: P.table_shape(
+            creators=marts.stored(spark, sf, "segments"),
+            videos=marts.stored(spark, sf, "items").drop(POSITION),
+        ),
+        "distinct_before_after": _table("creators_messy", distinct_before_after),
+        "cleaning_ledger": cleaning_query(C.cleaning_ledger),
+        "cleaning_summary": cleaning_query(C.cleaning_summary),
+        "feature_moments": _seg(P.feature_moments, fv.PROFILE_FEATURES),
+        "histogram": _seg(histogram),
+        "corr_matrix": _seg(P.corr_matrix, fv.CORRELATION_COLUMNS),
+        "corr_verdict": _seg(
+            P.corr_verdict, "subscriber_count", "avg_retention_rate", fv.WEAK_CORRELATION
+        ),
+        "zone_counts": _seg(
+            P.zone_counts, "avg_retention_rate", fv.HIGH_RETENTION_ZONE, "rpm", (0.0, 6000.0)
+        ),
+        "tier_internal_std": _seg(tier_internal_std),
+        "tier_share": _seg(
+            P.tier_share, "subscriber_tier", SPEC.tier_labels()[::-1], "revenue_90d"
+        ),
+    }
 
 
 def report_queries() -> dict[str, Query]:
-    s, v = _on_segments, _on_videos
+    s = _seg
+
+    def v(fn, *args):
+        return _table("items", fn, *args)
+
     return {
         "q1_1_total": s(R.total_creators),
         "q1_2_niche": s(R.by_niche),
@@ -53,8 +486,73 @@ def report_queries() -> dict[str, Query]:
         "q5_4_video_consistency": v(R.video_consistency, SPEC),
         "q5_5_trim_ntile": s(R.trim_by_ntile, SPEC),
         "q5_6_summary": s(R.validation_one_row, SPEC),
+        "scalar_share": s(R.scalar_share, "niche_category"),
+    }
+
+
+def window_queries() -> dict[str, Query]:
+    return {
+        "win_ntile": _seg(win_ntile),
+        "win_percent_rank": _seg(win_percent_rank),
+        "win_total": _seg(win_total),
+        "global_rank": _seg(global_rank),
+    }
+
+
+def cluster_queries() -> dict[str, Query]:
+    return {
+        "zscore": _seg(zscore),
+        "centroid_distance": _seg(centroid_distance),
+        "assign_clusters": _seg(assign_clusters),
+        "update_centroids": _seg(update_centroids),
+        "inertia": _seg(inertia),
+        "name_clusters": _seg(name_clusters),
+        "centroids_real": _seg(centroids_real),
+        "silhouette_sample": _seg(silhouette_sample),
+        "cluster_summary": _seg(lambda s: SG.cluster_summary(_named(s))),
+        "profile_minmax": _seg(lambda s: SG.profile_minmax(_named(s))),
+        "scatter_feed": _seg(lambda s: SG.scatter_feed(_named(s))),
+        "kmeans_fit": lambda spark, sf: km.runs_frame(spark, fitted(spark, sf).runs),
+        "segment_fit": lambda spark, sf: fitted(spark, sf).summary(),
+        "k_sweep": _seg(S.k_sweep),
+    }
+
+
+def gap_queries() -> dict[str, Query]:
+    return {
+        "gap_export": _seg(
+            lambda s: G.gap_export(s, SPEC).select(
+                "creator_id", "archetype", "views_90d", "revenue_at_parity", "revenue_gap"
+            )
+        ),
+        "gap_summary": _seg(G.gap_summary, SPEC),
+        "gap_by_category": _seg(G.gap_by_category, SPEC),
+        "gap_bridge": _seg(G.gap_bridge, SPEC),
+        "gap_distribution": _seg(V.gap_distribution, SPEC),
+    }
+
+
+def validation_queries() -> dict[str, Query]:
+    return {
+        "trim_quantile": _seg(V.outlier_trim, SPEC),
+        "broad_base": _seg(V.broad_base, SPEC),
+        "stability_raw": _seg(stability_raw),
+        "stability_runs": lambda spark, sf: fitted_runs(spark, sf).raw(),
+        "stability_aligned": lambda spark, sf: fitted_runs(spark, sf).aligned(),
+        "seed_inertia": lambda spark, sf: fitted_runs(spark, sf).inertia_table(),
+        "inertia_cv": lambda spark, sf: ST.inertia_cv(fitted_runs(spark, sf).inertia_table()),
+        "validation_summary": validation_summary,
     }
 
 
 def all_queries() -> dict[str, Query]:
-    return {**report_queries()}
+    return {
+        **source_queries(),
+        **cleaning_queries(),
+        **profile_queries(),
+        **report_queries(),
+        **window_queries(),
+        **cluster_queries(),
+        **gap_queries(),
+        **validation_queries(),
+    }

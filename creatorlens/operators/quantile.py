@@ -76,30 +76,37 @@ def select_ranks(
     high_rank: RankOf,
     group_cols: Sequence[str] = (),
     limit: int = GROUP_LIMIT,
+    rows: int | None = None,
 ) -> DataFrame:
     """Per group and metric: n, and the values at ranks low and high (low <= high).
 
-    Output: group_cols..., metric, n, v_low, v_high.
+    ``rows`` is the size of the largest group when the caller has counted it.
+    Output: group_cols..., metric, n, v_low, v_high (null for ranks outside 1..n).
     """
     groups = list(group_cols)
     keys = [*groups, "metric"]
     long = _unpivot(df, groups, value_cols)
-    grid = F.percentile_approx("v", GRID, ACCURACY).alias("grid")
-    stats = materialize(
-        long.groupBy(*keys).agg(F.count("v").alias("n"), grid), "rank-stats"
-    )
     n = F.col("n")
+    if rows is None or rows > limit:
+        sizes = long.groupBy(*keys).agg(F.count("v").alias("n"))
+        size = sizes.agg(F.count("*").alias("groups"), F.max("n").alias("largest")).first()
+        groups_n, rows = size["groups"], size["largest"] or 0
+    if rows <= limit:  # nothing to narrow: rank all values
+        counts = long.groupBy(*keys, "v").agg(F.count("*").alias("c"))
+        counts = counts.withColumn("n", F.sum("c").over(Window.partitionBy(*keys)))
+        counts = counts.withColumn("r_low", low_rank(n)).withColumn("r_high", high_rank(n))
+        return _pick_ranks(counts.withColumn("below", F.lit(0)), keys)
+
+    grid = F.percentile_approx("v", GRID, ACCURACY).alias("grid")
+    stats = long.groupBy(*keys).agg(F.count("v").alias("n"), grid)
     ranks = stats.withColumn("r_low", low_rank(n)).withColumn("r_high", high_rank(n))
-    ranks = ranks.filter("r_low >= 1 and r_high <= n")
     lo, hi = _grid_bounds(F.col("r_low"), F.col("r_high"), n)
-    brackets = ranks.select(*keys, "n", "r_low", "r_high", lo.alias("lo"), hi.alias("hi"))
-    size = stats.agg(F.count("*").alias("groups"), F.max("n").alias("largest")).first()
-    groups_n, largest = size["groups"], size["largest"] or 0
-
-    if largest <= limit:  # nothing to narrow: rank all values
-        brackets = brackets.withColumn("below", F.lit(0).cast("bigint"))
-        return _rank_inside(long, keys, brackets, groups_n, whole=True)
-
+    brackets = materialize(
+        ranks.filter("r_low >= 1 and r_high <= n").select(
+            *keys, "n", "r_low", "r_high", lo.alias("lo"), hi.alias("hi")
+        ),
+        "rank-grid",
+    )
     inside_n, margin = None, MARGIN
     while True:
         counted = materialize(_count_bracket(long, keys, brackets, groups_n), "rank-bracket")
@@ -123,7 +130,7 @@ def select_ranks(
         low, high = F.col("r_low") - F.col("below"), F.col("r_high") - F.col("below")
         lo, hi = _grid_bounds(low, high, F.col("inside"), margin)
         brackets = counted.select(*keys, "n", "r_low", "r_high", lo.alias("lo"), hi.alias("hi"))
-    return _rank_inside(long, keys, counted, groups_n, whole=False)
+    return _rank_inside(long, keys, counted, groups_n)
 
 
 def _count_bracket(
@@ -144,22 +151,28 @@ def _count_bracket(
 
 
 def _rank_inside(
-    long: DataFrame, keys: Sequence[str], brackets: DataFrame, rows: int, whole: bool
+    long: DataFrame, keys: Sequence[str], brackets: DataFrame, rows: int
 ) -> DataFrame:
     """Rank the distinct values inside each bracket and pick the wanted ones."""
     b = bounded_broadcast(
         brackets.select(*_prefixed(keys), "n", "r_low", "r_high", "lo", "hi", "below"), rows
     )
-    cond = _same(keys, long)
-    if not whole:
-        cond = cond & (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))
-    kept = long.join(b, cond)
+    in_bracket = (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))
+    kept = long.join(b, _same(keys, long) & in_bracket)
     counts = kept.groupBy(*keys, "n", "r_low", "r_high", "below", "v").agg(
         F.count("*").alias("c")
     )
+    return _pick_ranks(counts, keys)
+
+
+def _pick_ranks(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     order = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     upto = counts.withColumn("upto", F.col("below") + F.sum("c").over(order))
-    pick = lambda r: F.min(F.when(F.col("upto") >= F.col(r), F.col("v")))
+
+    def pick(rank: str) -> Column:
+        reached = (F.col("upto") >= F.col(rank)) & F.col(rank).between(F.lit(1), F.col("n"))
+        return F.min(F.when(reached, F.col("v")))
+
     return upto.groupBy(*keys, "n").agg(
         pick("r_low").alias("v_low"), pick("r_high").alias("v_high")
     )
@@ -220,10 +233,45 @@ def exact_quantiles(
     return cold.unionByName(large)
 
 
-def kth_value(df: DataFrame, column: str, k: int, limit: int = GROUP_LIMIT):
-    """The k-th smallest non-null value (1-based), or None when there is none."""
-    if k < 1:
-        return None
-    rank = lambda n: F.lit(k).cast("bigint")
-    row = select_ranks(df, [column], rank, rank, (), limit).select("v_low").first()
+def kth_values(
+    df: DataFrame,
+    column: str,
+    ks: Sequence[int],
+    limit: int = GROUP_LIMIT,
+    rows: int | None = None,
+) -> list:
+    """The k-th smallest non-null values (1-based); None for ranks outside 1..n.
+
+    ``rows`` is an upper bound of the row count when the caller knows one.
+    """
+    if rows is None:
+        rows = df.count()
+    wanted = sorted({k for k in ks if 1 <= k <= rows})
+    if not wanted:
+        return [None for _ in ks]
+    if rows <= limit:
+        v = F.col(column)
+        counts = df.filter(v.isNotNull()).groupBy(v.alias("v")).agg(F.count("*").alias("c"))
+        order = Window.partitionBy(F.lit(0)).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+        upto = counts.withColumn("upto", F.sum("c").over(order))
+        row = upto.agg(
+            *[F.min(F.when(F.col("upto") >= k, F.col("v"))).alias(f"k{k}") for k in wanted]
+        ).first()
+        found = {k: row[f"k{k}"] for k in wanted}
+    else:
+        found = {k: _kth_narrowed(df, column, k, limit, rows) for k in wanted}
+    return [found.get(k) for k in ks]
+
+
+def _kth_narrowed(df: DataFrame, column: str, k: int, limit: int, rows: int):
+    def rank(n: Column) -> Column:
+        return F.lit(k).cast("bigint")
+
+    row = select_ranks(df, [column], rank, rank, (), limit, rows).select("v_low").first()
     return row["v_low"] if row else None
+
+
+def kth_value(
+    df: DataFrame, column: str, k: int, limit: int = GROUP_LIMIT, rows: int | None = None
+):
+    return kth_values(df, column, [k], limit, rows)[0]

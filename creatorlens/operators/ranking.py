@@ -135,9 +135,15 @@ def kth_pair(df: DataFrame, value: str, tiebreak: str, k: int, limit: int = GROU
     """
     if k < 1:
         return None, None
-    nulls = df.filter(F.col(value).isNull()).count()
+    x = F.col(value)
+    c = df.agg(F.count("*").alias("n"), F.count(value).alias("k")).first()
+    nulls = c["n"] - c["k"]
     if k <= nulls:
-        return None, kth_value(df.filter(F.col(value).isNull()), tiebreak, k, limit)
-    v = kth_value(df, value, k - nulls, limit)
-    below = df.filter(F.col(value) < F.lit(v)).count()
-    return v, kth_value(df.filter(F.col(value) == F.lit(v)), tiebreak, k - nulls - below, limit)
+        return None, kth_value(df.filter(x.isNull()), tiebreak, k, limit, nulls)
+    v = kth_value(df, value, k - nulls, limit, c["k"])
+    if v is None:
+        return None, None
+    at = df.agg(F.count_if(x < F.lit(v)).alias("below"), F.count_if(x == F.lit(v)).alias("ties"))
+    t = at.first()
+    ties = df.filter(x == F.lit(v))
+    return v, kth_value(ties, tiebreak, k - nulls - t["below"], limit, t["ties"])

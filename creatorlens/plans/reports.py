@@ -19,9 +19,8 @@ from ..operators.gap import (
     positive_share,
     target_rows,
 )
-from ..operators.quantile import GROUP_LIMIT, kth_value
+from ..operators.quantile import GROUP_LIMIT, kth_value, kth_values
 from ..operators.ranking import global_ntile, kth_pair, percent_rank_cutoff
-from ..session import materialize
 from ..specs import DEFAULT_SPEC, SegmentSpec
 
 def _n(name: str) -> Column:
@@ -169,23 +168,26 @@ def revenue_concentration(creators: DataFrame, limit: int = GROUP_LIMIT) -> Data
     cut is one order statistic: rows above the c-th smallest value have at
     least c lower rows. No row is ever sorted or ranked.
     """
-    rows = materialize(creators.select("revenue_90d"), "revenue")
+    rows = creators.select("revenue_90d")
     c = rows.agg(_n("n"), F.count("revenue_90d").alias("k")).first()
     n, nulls = c["n"], c["n"] - c["k"]
     x = F.col("revenue_90d")
 
-    def at_least(share: float) -> Column:
-        lower = percent_rank_cutoff(n, share)
-        if lower > n:
-            return F.lit(False)
+    cuts = [percent_rank_cutoff(n, share) for share in (0.90, 0.50)]
+    values = kth_values(rows, "revenue_90d", [c - nulls for c in cuts], limit, n)
+
+    def at_least(lower: int, v) -> Column:
+        """Rows with at least ``lower`` rows strictly below them; nulls rank first."""
         if lower == 0:
             return F.lit(True)
-        if lower <= nulls:  # the cut lies among the nulls, which rank first
+        if lower <= nulls:
             return x.isNotNull()
-        v = kth_value(rows, "revenue_90d", lower - nulls, limit)
+        if v is None:  # the cut lies beyond the last row
+            return F.lit(False)
         return F.coalesce(x > F.lit(v), F.lit(False))
 
-    parts = (("Top 10% by revenue", at_least(0.90)), ("Bottom 50% by revenue", ~at_least(0.50)))
+    top, half = (at_least(c, v) for c, v in zip(cuts, values))
+    parts = (("Top 10% by revenue", top), ("Bottom 50% by revenue", ~half))
     # both segments and the total in one pass
     sums = rows.agg(
         F.sum(x).alias("all"),
@@ -495,9 +497,7 @@ def trim_by_ntile(
     Only the last tile's first row matters, so it is selected by rank instead
     of numbering all rows.
     """
-    rows = materialize(
-        parity_gap(segments, spec).select("views_90d", "creator_id", "revenue_gap"), "trim"
-    )
+    rows = parity_gap(segments, spec).select("views_90d", "creator_id", "revenue_gap")
     n = rows.count()
     if n < tiles:
         kept_n = n  # with fewer rows than tiles the last tile is empty
@@ -535,10 +535,10 @@ def validation_one_row(
 
     The trim cutoff is the views value at row int(0.95 n), nulls first.
     """
-    rows = materialize(parity_gap(segments, spec).select("views_90d", "revenue_gap"), "check")
+    rows = parity_gap(segments, spec).select("views_90d", "revenue_gap")
     c = rows.agg(_n("n"), F.count("views_90d").alias("k")).first()
     place = int(c["n"] * fv.TRIM_QUANTILE) - (c["n"] - c["k"])
-    cutoff = F.lit(kth_value(rows, "views_90d", place, limit)).cast("bigint")
+    cutoff = F.lit(kth_value(rows, "views_90d", place, limit, c["k"])).cast("bigint")
     gap = F.col("revenue_gap")
     kept = F.sum(F.when(F.col("views_90d") <= cutoff, gap).otherwise(F.lit(0.0)))
     metrics = rows.agg(

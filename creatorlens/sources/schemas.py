@@ -20,8 +20,15 @@ def all_strings(columns) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType(), True) for c in columns])
 
 
+_TYPES = {
+    "bigint": T.LongType(), "double": T.DoubleType(), "string": T.StringType(), "date": T.DateType(),
+}
+
+
 def _schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """'name type, ...' as a schema; needs no running session, unlike a DDL string."""
+    pairs = (field.split() for field in text.split(","))
+    return T.StructType([T.StructField(name, _TYPES[kind], True) for name, kind in pairs])
 
 
 CREATORS_MESSY = all_strings(CREATOR_MESSY_COLUMNS)

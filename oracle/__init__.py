@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .analysis import analysis
+from .cleaning import cleaning
 from .reports import reports
 
 
 def all_sql() -> dict[str, str]:
-    return {**reports()}
+    return {**cleaning(), **analysis(), **reports()}
