@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from . import fixed_values as fv
 from .functions import (
+    age_years,
+    duration_minutes,
     lenient_double,
     lenient_long,
-    parse_age_years,
     parse_count,
     parse_currency,
     parse_date,
-    parse_duration_minutes,
     parse_rate,
     parse_views,
     strip,
@@ -149,11 +149,11 @@ def _parsed(key: str, *columns: tuple[str, str, Callable]) -> Callable[[DataFram
     """(id, raw text, parsed value) per named column."""
 
     def run(raw: DataFrame) -> DataFrame:
-        cells = []
-        for source, name, parser in columns:
-            text = strip(F.col(source))
-            cells += [text.alias(f"raw_{name}"), parser(text).alias(name)]
-        return raw.select(strip(F.col(key)).alias(key), *cells)
+        texts = {f"raw_{name}": strip(F.col(source)) for source, name, _ in columns}
+        df = raw.select(strip(F.col(key)).alias(key), *[c.alias(n) for n, c in texts.items()])
+        for _, name, _ in columns:
+            df = df.withColumn(name, F.col(f"raw_{name}")) if name != key else df
+        return C.parse_columns(df, {name: parser for _, name, parser in columns})
 
     return run
 
@@ -166,7 +166,7 @@ _DOUBLES = (
 def null_invalid(raw: DataFrame) -> DataFrame:
     df = raw.select(
         strip(F.col("creator_id")).alias("creator_id"),
-        *[lenient_double(F.col(c)).alias(c) for c in ("avg_retention_rate", "rpm")],
+        *[lenient_double(strip(F.col(c))).alias(c) for c in ("avg_retention_rate", "rpm")],
     )
     return C.null_invalid(df)
 
@@ -226,7 +226,7 @@ def histogram(segments: DataFrame) -> DataFrame:
     for c in fv.PROFILE_FEATURES:
         one = P.histogram(segments, c, 40).select(
             F.lit(c).alias("feature"), "bin",
-            F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"), "n",
+            F.round("lo", 8).alias("lo"), F.round("hi", 8).alias("hi"), "n",
         )
         out = one if out is None else out.unionByName(one)
     return out
@@ -332,7 +332,7 @@ def silhouette_sample(segments: DataFrame) -> DataFrame:
 def stability_raw(segments: DataFrame) -> DataFrame:
     std = _standardized(segments)
     sets = shifted_centroids()
-    labelled = ST.with_run_labels(std.points, std.columns, sets)
+    labelled = ST.with_run_labels(std.points, S.KEY, std.columns, sets)
     names = [f"run_{i}" for i in range(len(sets))]
     return ST.stability(labelled, names, len(CENTROIDS), fv.STABILITY_AGREEMENT)
 
@@ -383,7 +383,7 @@ def cleaning_queries() -> dict[str, Query]:
             _parsed("creator_id", ("revenue_90d", "revenue_90d", parse_currency))
         ),
         "parse_age": creators(
-            _parsed("creator_id", ("channel_age_years", "channel_age_years", parse_age_years))
+            _parsed("creator_id", ("channel_age_years", "channel_age_years", age_years))
         ),
         "parse_rate": creators(
             _parsed("creator_id", ("upload_freq_per_month", "upload_freq_per_month", parse_rate))
@@ -408,7 +408,7 @@ def cleaning_queries() -> dict[str, Query]:
         "dedup_videos": videos(dedup_videos),
         "parse_dates": videos(_parsed("video_id", ("publish_date", "publish_date", parse_date))),
         "parse_duration": videos(
-            _parsed("video_id", ("video_length_mins", "video_length_mins", parse_duration_minutes))
+            _parsed("video_id", ("video_length_mins", "video_length_mins", duration_minutes))
         ),
         "parse_views": videos(_parsed("video_id", ("views", "views", parse_views))),
         "drop_chargebacks": drop_chargebacks,

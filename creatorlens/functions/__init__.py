@@ -10,13 +10,13 @@ from .numeric import (  # noqa: F401
     safe_div,
 )
 from .parsing import (  # noqa: F401
+    age_years,
+    duration_minutes,
     lenient_double,
     lenient_long,
-    parse_age_years,
     parse_count,
     parse_currency,
     parse_date,
-    parse_duration_minutes,
     parse_rate,
     parse_views,
     strip,

@@ -1,16 +1,17 @@
-"""Lenient text parsers: anything unparsable becomes null, never an error."""
+"""Lenient text parsers: anything unparsable becomes null, never an error.
+
+Ages and durations come back unrounded: round them in a projection of their
+own (see ``plans.cleaning.parse_columns``), so the text is parsed once.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .numeric import round_float
-
 # --- Fixed values: patterns and date formats ---
-NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-INFINITE = r"(?i)^[+-]?inf(inity)?$"
-INTEGER = r"^[+-]?\d+$"
+NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf(inity)?))\s*$"
+WHOLE = r"^\s*[+-]?\d+(\.0*)?\s*$"
 FIRST_NUMBER = r"[\d.]+"
 MINUTES = r"(\d+)m"
 SECONDS = r"(\d+)s"
@@ -31,16 +32,16 @@ def strip(c: Column) -> Column:
 
 def lenient_double(c: Column) -> Column:
     """Text to double; only plain decimal or exponent notation and infinities count."""
-    s = strip(c)
-    return F.when(s.rlike(NUMBER) | s.rlike(INFINITE), s.try_cast("double"))
+    return F.when(c.rlike(NUMBER), c.try_cast("double"))
 
 
 def lenient_long(c: Column) -> Column:
     """Text to bigint; text that is not a whole number becomes null."""
-    s = strip(c)
-    d = lenient_double(s)
-    whole = F.when((F.floor(d).cast("double") == d) & (F.abs(d) < F.lit(2.0**63)), d)
-    return F.when(s.rlike(INTEGER), s.try_cast("bigint")).otherwise(whole.try_cast("bigint"))
+    d = lenient_double(c)
+    digits = F.substring_index(c, ".", 1).try_cast("bigint")
+    return F.when(c.rlike(WHOLE), digits).otherwise(
+        F.when(F.rint(d) == d, d).try_cast("bigint")
+    )
 
 
 def parse_count(c: Column) -> Column:
@@ -53,11 +54,11 @@ def parse_currency(c: Column) -> Column:
     return lenient_double(F.regexp_replace(c, r"[$,]", ""))
 
 
-def parse_age_years(c: Column) -> Column:
-    """'3 years' / '18 months' / '2.5 yrs' -> years with two decimals."""
+def age_years(c: Column) -> Column:
+    """'3 years' / '18 months' / '2.5 yrs' -> years, not yet rounded."""
     s = F.lower(c)
     number = F.regexp_substr(s, F.lit(FIRST_NUMBER)).try_cast("double")
-    return round_float(F.when(s.contains("month"), number / F.lit(12.0)).otherwise(number), 2)
+    return F.when(s.contains("month"), number / F.lit(12.0)).otherwise(number)
 
 
 def parse_rate(c: Column) -> Column:
@@ -65,17 +66,15 @@ def parse_rate(c: Column) -> Column:
     return F.regexp_substr(c, F.lit(FIRST_NUMBER)).try_cast("double")
 
 
-def parse_duration_minutes(c: Column) -> Column:
-    """'14m 32s' -> 14.53; a plain number keeps its value; seconds alone -> null."""
+def duration_minutes(c: Column) -> Column:
+    """'14m 32s' -> 14.5333..; a plain number keeps its value; seconds alone -> null."""
 
     def part(pattern: str) -> Column:
         return F.nullif(F.regexp_extract(c, pattern, 1), F.lit("")).try_cast("double")
 
     minutes, seconds = part(MINUTES), F.coalesce(part(SECONDS), F.lit(0.0))
     plain = lenient_double(F.regexp_replace(c, r"(?<=\d)_(?=\d)", ""))
-    return round_float(
-        F.when(minutes.isNotNull(), minutes + seconds / F.lit(60.0)).otherwise(plain), 2
-    )
+    return F.coalesce(minutes + seconds / F.lit(60.0), plain)
 
 
 def parse_views(c: Column) -> Column:

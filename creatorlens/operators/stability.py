@@ -9,8 +9,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .. import fixed_values as fv
-from .kmeans import nearest
 
 
 def modal_count(labels: Sequence[Column], k: int) -> Column:
@@ -40,10 +38,32 @@ def stability(
     )
 
 
-def with_run_labels(points: DataFrame, columns: Sequence[str], centroid_sets) -> DataFrame:
-    """Adds label columns run_0, run_1, ...: the nearest centroid under each run."""
-    labels = {f"run_{i}": nearest(columns, c) for i, c in enumerate(centroid_sets)}
-    return points.withColumns(labels)
+def with_run_labels(
+    points: DataFrame, key: str, columns: Sequence[str], centroid_sets
+) -> DataFrame:
+    """(key, run_0, run_1, ...): the nearest centroid under each run, one scan."""
+    cols = list(columns)
+    sets = [np.ascontiguousarray(c, dtype=float) for c in centroid_sets]
+    names = [f"run_{i}" for i in range(len(sets))]
+
+    def label(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]])
+            out = [batch.column(0)]
+            for c in sets:
+                dist = np.zeros((len(x), len(c)))
+                for j in range(x.shape[1]):
+                    diff = x[:, j : j + 1] - c[:, j]
+                    dist += diff * diff
+                out.append(pa.array(np.argmin(dist, axis=1).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays(out, names=[key, *names])
+
+    kind = dict(points.dtypes)[key]
+    schema = ", ".join([f"{key} {kind}", *[f"{n} int" for n in names]])
+    return points.select(key, *cols).mapInArrow(label, schema)
 
 
 def align_to_first(centroid_sets: list[np.ndarray]) -> list[np.ndarray]:
@@ -71,6 +91,3 @@ def inertia_cv(runs: DataFrame) -> DataFrame:
         F.avg("inertia").alias("mean_inertia"),
         (F.stddev_pop("inertia") / F.nullif(F.avg("inertia"), F.lit(0.0)) * 100.0).alias("cv_pct"),
     )
-
-
-DEFAULT_AGREEMENT = fv.STABILITY_AGREEMENT

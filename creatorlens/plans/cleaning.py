@@ -9,17 +9,18 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions import (
+    age_years,
     bucketize,
     clip,
+    duration_minutes,
     lenient_double,
     lenient_long,
-    parse_age_years,
     parse_count,
     parse_currency,
     parse_date,
-    parse_duration_minutes,
     parse_rate,
     parse_views,
+    round_float,
     round_scaled,
     strip,
 )
@@ -35,7 +36,7 @@ from ..specs import DEFAULT_SPEC, SegmentSpec
 CREATOR_PARSERS = {
     "subscriber_count": parse_count,
     "revenue_90d": parse_currency,
-    "channel_age_years": parse_age_years,
+    "channel_age_years": age_years,
     "upload_freq_per_month": parse_rate,
     "avg_retention_rate": lenient_double,
     "avg_ctr": lenient_double,
@@ -46,7 +47,7 @@ CREATOR_PARSERS = {
 }
 VIDEO_PARSERS = {
     "publish_date": parse_date,
-    "video_length_mins": parse_duration_minutes,
+    "video_length_mins": duration_minutes,
     "views": parse_views,
     "revenue": lenient_double,
     "retention_rate": lenient_double,
@@ -61,10 +62,20 @@ def strip_strings(df: DataFrame) -> DataFrame:
     return df.select(*[strip(F.col(c)).alias(c) if c in text else F.col(c) for c in df.columns])
 
 
+# columns rounded after parsing
+ROUNDED = {"channel_age_years": 2, "video_length_mins": 2}
+
+
 def parse_columns(df: DataFrame, parsers: dict) -> DataFrame:
-    return df.select(
+    """Typed columns. Rounding uses its input many times, so it gets a projection
+    of its own and every text is parsed once."""
+    typed = df.select(
         *[parsers[c](F.col(c)).alias(c) if c in parsers else F.col(c) for c in df.columns]
     )
+    digits = {c: d for c, d in ROUNDED.items() if c in parsers and c in df.columns}
+    if not digits:
+        return typed
+    return typed.withColumns({c: round_float(F.col(c), d) for c, d in digits.items()})
 
 
 def null_invalid(df: DataFrame) -> DataFrame:

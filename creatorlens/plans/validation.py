@@ -86,7 +86,7 @@ class StabilityRuns:
         return km.runs_frame(self.std.points.sparkSession, self.runs)
 
     def _score(self, centroid_sets, agreement: int) -> DataFrame:
-        labelled = st.with_run_labels(self.std.points, self.std.columns, centroid_sets)
+        labelled = st.with_run_labels(self.std.points, KEY, self.std.columns, centroid_sets)
         names = [f"run_{i}" for i in range(len(self.runs))]
         return st.stability(labelled, names, self.runs[0].k, agreement)
 

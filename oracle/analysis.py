@@ -123,7 +123,7 @@ def analysis() -> dict[str, str]:
             round(median({c}), 2) AS median FROM segments""" for c in PROFILE
     )
     q["histogram"] = seg + " UNION ALL ".join(
-        f"""SELECT feature, bin, round(lo, 4) AS lo, round(hi, 4) AS hi, n
+        f"""SELECT feature, bin, round(lo, 8) AS lo, round(hi, 8) AS hi, n
             FROM ({_hist("segments", c, 40, f"'{c}' AS feature,")})""" for c in PROFILE
     )
     q["corr_matrix"] = seg + " UNION ALL ".join(
