@@ -141,24 +141,25 @@ def make_run(pool: np.ndarray, k: int, seed: int, restart: int = 0) -> Run:
     return Run(k, seed, restart, pool[pick].copy())
 
 
-def _pass(points: DataFrame, columns: Sequence[str], centroid_sets: list[np.ndarray]) -> list:
-    """One scan: (run, cluster, n, sums.., squared distance) reduced over all tasks."""
+def _pass(
+    points: DataFrame, columns: Sequence[str], centroid_sets: list[np.ndarray]
+) -> list[np.ndarray]:
+    """One scan: per centroid set a (K, d + 2) array of n, squared distance, sums.
+
+    Each task reduces its points to one number per (set, cluster, statistic);
+    those are summed over tasks by slot, and only the totals are collected.
+    """
     cols, sets = list(columns), [np.ascontiguousarray(c) for c in centroid_sets]
     d = len(cols)
-    schema = ", ".join(
-        ["run int", "cluster int", "n bigint", "sq double", *[f"s{j} double" for j in range(d)]]
-    )
+    stacked = np.concatenate(sets)
+    ends = np.cumsum([len(s) for s in sets]).tolist()
+    spans = list(zip([0, *ends[:-1]], ends))
 
     def reduce_task(batches):
         import numpy as np
         import pyarrow as pa
 
-        stacked = np.concatenate(sets)
-        ends = np.cumsum([len(s) for s in sets])
-        starts = ends - np.array([len(s) for s in sets])
-        n = np.zeros(len(stacked), dtype=np.int64)
-        sq = np.zeros(len(stacked))
-        sums = np.zeros((len(stacked), d))
+        totals = np.zeros((len(stacked), d + 2))
         for batch in batches:
             x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
             for lo in range(0, len(x), 8192):
@@ -168,24 +169,20 @@ def _pass(points: DataFrame, columns: Sequence[str], centroid_sets: list[np.ndar
                     diff = part[:, j : j + 1] - stacked[:, j]
                     dist += diff * diff
                 rows = np.arange(len(part))
-                for a, b in zip(starts, ends):
+                for a, b in spans:
                     near = np.argmin(dist[:, a:b], axis=1)
-                    n[a:b] += np.bincount(near, minlength=b - a)
-                    sq[a:b] += np.bincount(near, weights=dist[rows, a + near], minlength=b - a)
-                    for j in range(d):
-                        sums[a:b, j] += np.bincount(near, weights=part[:, j], minlength=b - a)
-        run = np.repeat(np.arange(len(sets), dtype=np.int32), ends - starts)
-        cluster = np.concatenate([np.arange(b - a, dtype=np.int32) for a, b in zip(starts, ends)])
-        names = ["run", "cluster", "n", "sq", *[f"s{j}" for j in range(d)]]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(v) for v in (run, cluster, n, sq, *[sums[:, j].copy() for j in range(d)])],
-            names=names,
-        )
+                    weights = [None, dist[rows, a + near], *part.T]
+                    for w, values in enumerate(weights):
+                        totals[a:b, w] += np.bincount(near, weights=values, minlength=b - a)
+        slots = pa.array(np.arange(totals.size, dtype=np.int32))
+        yield pa.RecordBatch.from_arrays([slots, pa.array(totals.ravel())], names=["slot", "v"])
 
-    partial = points.select(*cols).mapInArrow(reduce_task, schema)
-    return partial.groupBy("run", "cluster").agg(
-        *[F.sum(c).alias(c) for c in ("n", "sq", *[f"s{j}" for j in range(d)])]
-    ).collect()
+    partial = points.select(*cols).mapInArrow(reduce_task, "slot int, v double")
+    totals = np.zeros(stacked.shape[0] * (d + 2))
+    for slot, v in partial.groupBy("slot").agg(F.sum("v")).collect():
+        totals[slot] = v
+    totals = totals.reshape(-1, d + 2)
+    return [totals[a:b] for a, b in spans]
 
 
 def lloyd(
@@ -202,18 +199,12 @@ def lloyd(
     runs drop out of the pass. A cluster that lost all points restarts at a
     pool point drawn with the run's seed.
     """
-    d = len(columns)
     for it in range(max_iter):
         live = [r for r in runs if not r.done]
         if not live:
             break
-        stats = [(np.zeros(r.k), np.zeros(r.k), np.zeros((r.k, d))) for r in live]
-        for row in _pass(points, columns, [r.centroids for r in live]):
-            n, sq, sums = stats[row["run"]]
-            c = row["cluster"]
-            n[c], sq[c] = row["n"], row["sq"]
-            sums[c] = [row[f"s{j}"] for j in range(d)]
-        for r, (n, sq, sums) in zip(live, stats):
+        for r, totals in zip(live, _pass(points, columns, [r.centroids for r in live])):
+            n, sq, sums = totals[:, 0], totals[:, 1], totals[:, 2:]
             filled = n > 0
             new = np.empty_like(r.centroids)
             new[filled] = sums[filled] / n[filled, None]

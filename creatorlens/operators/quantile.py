@@ -25,6 +25,7 @@ GRID_STEPS = 500
 GRID = [i / GRID_STEPS for i in range(GRID_STEPS + 1)]
 ACCURACY = 10_000
 MARGIN = 2.0 / ACCURACY
+MAX_PASSES = 24  # each pass cuts a bracket by orders of magnitude; ranking is exact at any width
 
 RankOf = Callable[[Column], Column]  # non-null count -> 1-based rank
 
@@ -107,29 +108,39 @@ def select_ranks(
         ),
         "rank-grid",
     )
-    inside_n, margin = None, MARGIN
-    while True:
+    margin = MARGIN
+    brackets = brackets.withColumn("prev", n + 1)
+    for left in range(MAX_PASSES, -1, -1):
         counted = materialize(_count_bracket(long, keys, brackets, groups_n), "rank-bracket")
         # a bracket that missed its rank (approximation error) falls back to the full range
-        ok = (F.col("below") < F.col("r_low")) & (F.col("r_high") <= F.col("below") + F.col("inside"))
+        hit = (F.col("below") < F.col("r_low")) & (F.col("r_high") <= F.col("below") + F.col("inside"))
+        # repeated values cannot be narrowed; they collapse when they are counted
+        shrinks = (
+            (F.col("inside") > limit) & (F.col("lo") < F.col("hi")) & (F.col("inside") < F.col("prev"))
+        )
         checks = counted.agg(
-            F.min(ok.cast("int")).alias("ok"), F.max("inside").alias("inside")
+            F.bool_and(hit).alias("all_hit"), F.bool_or(shrinks).alias("any_shrinks")
         ).first()
-        if not checks["ok"]:
+        if checks["all_hit"] is None:  # no group has the wanted rank
+            break
+        if not checks["all_hit"]:
             margin *= 4
+            full = ~hit | F.lit(left <= 1)
             brackets = counted.select(
                 *keys, "n", "r_low", "r_high",
-                F.when(ok, F.col("lo")).otherwise(F.col("v_min")).alias("lo"),
-                F.when(ok, F.col("hi")).otherwise(F.col("v_max")).alias("hi"),
+                F.when(full, F.col("v_min")).otherwise(F.col("lo")).alias("lo"),
+                F.when(full, F.col("v_max")).otherwise(F.col("hi")).alias("hi"),
+                (n + 1).alias("prev"),
             )
             continue
-        # values that repeat cannot be narrowed further; they collapse when counted
-        if checks["inside"] <= limit or checks["inside"] == inside_n:
+        if not checks["any_shrinks"] or left <= 1:
             break
-        inside_n = checks["inside"]
         low, high = F.col("r_low") - F.col("below"), F.col("r_high") - F.col("below")
         lo, hi = _grid_bounds(low, high, F.col("inside"), margin)
-        brackets = counted.select(*keys, "n", "r_low", "r_high", lo.alias("lo"), hi.alias("hi"))
+        brackets = counted.select(
+            *keys, "n", "r_low", "r_high", lo.alias("lo"), hi.alias("hi"),
+            F.col("inside").alias("prev"),
+        )
     return _rank_inside(long, keys, counted, groups_n)
 
 
@@ -137,11 +148,11 @@ def _count_bracket(
     long: DataFrame, keys: Sequence[str], brackets: DataFrame, rows: int
 ) -> DataFrame:
     b = bounded_broadcast(
-        brackets.select(*_prefixed(keys), "n", "r_low", "r_high", "lo", "hi"), rows
+        brackets.select(*_prefixed(keys), "n", "r_low", "r_high", "lo", "hi", "prev"), rows
     )
     joined = long.join(b, _same(keys, long))
     inside = (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))
-    return joined.groupBy(*keys, "n", "r_low", "r_high", "lo", "hi").agg(
+    return joined.groupBy(*keys, "n", "r_low", "r_high", "lo", "hi", "prev").agg(
         F.count_if(F.col("v") < F.col("lo")).alias("below"),
         F.count_if(inside).alias("inside"),
         F.min("v").alias("v_min"),
