@@ -33,7 +33,7 @@ from .plans import cleaning as C
 from .plans import reports as R
 from .plans import segmentation as S
 from .plans import validation as V
-from .session import scratch_path
+from .session import once, scratch_path
 from .sources import marts, schemas
 from .sources.readers import POSITION, read_strings, read_typed, write_table
 
@@ -60,17 +60,6 @@ def shifted_centroids(runs: int = fv.STABILITY_RUNS) -> list[list[list[float]]]:
     return sets
 
 
-_RESULTS: dict[tuple[str, str, str], object] = {}
-
-
-def once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], object]):
-    """Result of a fit or cleaning job that several queries of one application use."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _RESULTS:
-        _RESULTS[key] = build()
-    return _RESULTS[key]
-
-
 def _table(name: str, fn, *args) -> Query:
     return lambda spark, sf_dir: fn(marts.stored(spark, sf_dir, name), *args)
 
@@ -109,12 +98,12 @@ def export_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cleaned_creators(spark: SparkSession, sf_dir: str) -> C.Cleaned:
     raw = marts.stored(spark, sf_dir, "creators_messy")
-    return once(spark, sf_dir, "creators", lambda: C.clean_creators(raw))
+    return once(spark, ("creators", sf_dir), lambda: C.clean_creators(raw))
 
 
 def cleaned_videos(spark: SparkSession, sf_dir: str) -> C.Cleaned:
     raw = marts.stored(spark, sf_dir, "videos_messy")
-    return once(spark, sf_dir, "videos", lambda: C.clean_videos(raw))
+    return once(spark, ("videos", sf_dir), lambda: C.clean_videos(raw))
 
 
 def _clean_creators(*columns: str) -> Query:
@@ -260,9 +249,7 @@ def win_total(segments: DataFrame) -> DataFrame:
 def global_rank(segments: DataFrame) -> DataFrame:
     """Row number and shared rank by views: values repeat, some are null."""
     narrow = segments.select("creator_id", "views_90d")
-    ranked = RK.global_rank(narrow, "views_90d", ["creator_id"], "rnk", "n_total")
-    numbered = RK.global_row_number(narrow, ["views_90d", "creator_id"], "rn", "n_rows")
-    return ranked.join(numbered.select("creator_id", "rn"), "creator_id")
+    return RK.global_rank(narrow, "views_90d", ["creator_id"], "rnk", "n_total", "rn")
 
 
 # ── clustering ──────────────────────────────────────────────────────────────
@@ -339,12 +326,12 @@ def stability_raw(segments: DataFrame) -> DataFrame:
 
 def fitted(spark: SparkSession, sf_dir: str) -> S.Segmentation:
     seg = marts.stored(spark, sf_dir, "segments")
-    return once(spark, sf_dir, "fit", lambda: S.segment(seg))
+    return once(spark, ("fit", sf_dir), lambda: S.segment(seg))
 
 
 def fitted_runs(spark: SparkSession, sf_dir: str) -> V.StabilityRuns:
     seg = marts.stored(spark, sf_dir, "segments")
-    return once(spark, sf_dir, "runs", lambda: V.stability_runs(seg))
+    return once(spark, ("runs", sf_dir), lambda: V.stability_runs(seg))
 
 
 def validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

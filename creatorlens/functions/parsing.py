@@ -85,7 +85,10 @@ def parse_views(c: Column) -> Column:
 def parse_date(c: Column) -> Column:
     """Epoch seconds, ISO, month-first slashed and written-out dates -> date (UTC)."""
     seconds = F.when(c.rlike(EPOCH), c.try_cast("bigint"))
-    epoch = F.when(seconds <= LAST_NANOSECOND_EPOCH, F.timestamp_seconds(seconds).cast("date"))
+    days = F.floor(seconds / F.lit(86400)).cast("int")  # UTC whatever the session's time zone
+    epoch = F.when(
+        seconds <= LAST_NANOSECOND_EPOCH, F.date_add(F.lit("1970-01-01").cast("date"), days)
+    )
     local_day = F.regexp_substr(c, F.lit(r"^\d{4}-\d{1,2}-\d{1,2}"))
     iso = F.when(
         c.rlike(ISO_DATE) & F.try_to_timestamp(c).isNotNull(), local_day.try_cast("date")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 POOL_SIZE = 4096  # start points are drawn from this many hash-ordered points
-ROWS_PER_TASK = 5_000_000
+SMALL_TASK = 200_000  # rows per core below which a table counts as small
 
 
 def portable_hash(key: str, seed: int = 0) -> Column:
@@ -220,10 +220,16 @@ def lloyd(
 
 
 def spread_points(std: Standardized) -> DataFrame:
-    """Points in enough partitions for all cores, cached for the iterations."""
+    """Points cached for the iterations.
+
+    A small table is spread over the cores; a large one already comes in enough
+    scan partitions and is not shuffled.
+    """
     cores = std.points.sparkSession.sparkContext.defaultParallelism
-    parts = max(min(cores, -(-std.n // 2000)), -(-std.n // ROWS_PER_TASK), 1)
-    return std.points.repartition(int(parts)).persist()
+    points = std.points
+    if std.n <= cores * SMALL_TASK:
+        points = points.repartition(max(1, min(cores, -(-std.n // 2000))))
+    return points.persist()
 
 
 def best_of(runs: list[Run]) -> Run:

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import strip
+from ..session import literal_frame
 
 
 def synonym_table(spark: SparkSession, synonyms: dict[str, tuple[str, ...]]) -> DataFrame:
     rows = [(v, canon) for canon, variants in synonyms.items() for v in variants]
-    return spark.createDataFrame(rows, "_variant string, _canonical string")
+    return literal_frame(spark, ("_variant", "_canonical"), rows)
 
 
 def normalize_labels(

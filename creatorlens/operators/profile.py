@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pct_of
+from ..session import literal_frame
 from .quantile import GROUP_LIMIT, exact_quantiles
 
 
@@ -160,8 +161,7 @@ def tier_share(
 
     Shares are taken over the few aggregated rows by scalar subqueries.
     """
-    spark = df.sparkSession
-    order = spark.createDataFrame(list(enumerate(tier_order)), "tier_rank int, _tier string")
+    order = literal_frame(df.sparkSession, ("tier_rank", "_tier"), list(enumerate(tier_order)))
     agg = df.filter(F.col(tier).isin(*tier_order)).groupBy(tier).agg(
         F.count("*").alias("n_creators"),
         F.avg(amount).alias("avg_rev"),

@@ -79,9 +79,15 @@ def global_ntile(
 
 
 def global_rank(
-    df: DataFrame, value: str, tiebreak: Sequence[str], rank: str = "rank", total: str = "n_total"
+    df: DataFrame,
+    value: str,
+    tiebreak: Sequence[str],
+    rank: str = "rank",
+    total: str = "n_total",
+    rn: str | None = None,
 ) -> DataFrame:
-    """Adds the competition rank of ``value`` (equal values share the lowest rank).
+    """Adds the competition rank of ``value`` (equal values share the lowest rank),
+    the row count and, if named, the row number.
 
     A run of equal values is found per partition; a run that crosses partitions
     takes its start from the first partition that holds the value. That table
@@ -103,6 +109,7 @@ def global_rank(
     return local.join(F.broadcast(starts), F.col(value).eqNullSafe(F.col("_bv")), "left").select(
         *df.columns,
         F.least(F.col("_run"), F.col("_start")).alias(rank),
+        *([F.col("_rn").alias(rn)] if rn else []),
         F.lit(n).cast("bigint").alias(total),
     )
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..plans.cleaning import len_consistency, tier_label
+from ..session import literal_frame
 from ..sources.readers import project_existing, with_column_if_absent
 from ..specs import DEFAULT_SPEC, SegmentSpec
 from .gap import gap_export
@@ -55,7 +56,7 @@ def name_clusters(
     if free:
         names[free[0]] = fv.DABBLERS
     rows = [(c, names.get(c, f"Cluster_{c}")) for c in range(k)]
-    return assigned.sparkSession.createDataFrame(rows, "cluster int, archetype string")
+    return literal_frame(assigned.sparkSession, ("cluster", "archetype"), rows)
 
 
 def with_cluster_names(assigned: DataFrame, names: DataFrame) -> DataFrame:

@@ -10,10 +10,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_SCRATCH: dict[str, str] = {}
+_RESULTS: dict[str, dict[tuple, object]] = {}
 
 
 def build_session(app: str = "creatorlens", master: str | None = None, **conf) -> SparkSession:
@@ -59,7 +62,23 @@ def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> D
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
+def once(spark: SparkSession, key: tuple, build: Callable[[], object]):
+    """Result of ``build``, made once per application: stored tables and fits
+    that several queries read."""
+    results = _RESULTS.setdefault(spark.sparkContext.applicationId, {})
+    if key not in results:
+        results[key] = build()
+    return results[key]
+
+
+def literal_frame(spark: SparkSession, names: Sequence[str], rows: Sequence[tuple]) -> DataFrame:
+    """A short fixed table as literals of the plan (no Python data source, no job)."""
+    cells = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r)]) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*cells)))
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete this application's intermediate tables (call when results are saved)."""
+    _RESULTS.pop(spark.sparkContext.applicationId, None)
     path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

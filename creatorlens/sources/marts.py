@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import round_scaled
 from ..plans.cleaning import len_consistency, tier_label
-from ..session import materialize
+from ..session import materialize, once
 from ..specs import SegmentSpec
 from .readers import POSITION
 
@@ -253,7 +253,7 @@ def videos_messy(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 53 == 0, F.lit("soon"))
         .when(k % 3 == 0, F.date_format(day, "yyyy-MM-dd"))
         .when(k % 3 == 1, F.date_format(day, "MM/dd/yyyy"))
-        .otherwise(F.unix_timestamp(day.cast("timestamp")).cast("string"))
+        .otherwise((F.datediff(day, F.lit("1970-01-01").cast("date")) * 86400).cast("string"))
         .alias("publish_date"),
         F.when(
             k % 4 == 0,
@@ -298,7 +298,6 @@ STORED = {
     "creators_messy": (creators_messy, None),
     "videos_messy": (videos_messy, None),
 }
-_TABLES: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -307,8 +306,9 @@ def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     This is the hand-off between the derivation job and the queries: the joins
     and the line aggregation run once, each query then reads only its columns.
     """
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _TABLES:
-        build, partition = STORED[name]
-        _TABLES[key] = materialize(build(spark, sf_dir), f"mart-{name}", partition)
-    return _TABLES[key]
+    build, partition = STORED[name]
+    return once(
+        spark,
+        ("table", sf_dir, name),
+        lambda: materialize(build(spark, sf_dir), f"mart-{name}", partition),
+    )

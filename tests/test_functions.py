@@ -94,6 +94,15 @@ def test_parse_date(spark):
     assert apply(spark, list(cases), fn.parse_date) == list(cases.values())
 
 
+def test_epoch_day_is_utc_in_any_session_zone(spark):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = apply(spark, ["1711929600", "2024-04-01", "04/01/2024"], fn.parse_date)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == [dt.date(2024, 4, 1)] * 3
+
+
 @pytest.mark.parametrize("digits", [1, 2])
 def test_round_float_is_exact_half_even(spark, digits):
     values = [2.675, 0.125, 0.375, 1.005, -2.675, 2.5, 12.345, 14.535, 0.0, 1e17, 99.995, 0.25, 0.35]
