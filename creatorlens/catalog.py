@@ -211,14 +211,9 @@ def cleaning_query(fn) -> Query:
 
 def histogram(segments: DataFrame) -> DataFrame:
     """The profiling features, 40 bins each."""
-    out = None
-    for c in fv.PROFILE_FEATURES:
-        one = P.histogram(segments, c, 40).select(
-            F.lit(c).alias("feature"), "bin",
-            F.round("lo", 8).alias("lo"), F.round("hi", 8).alias("hi"), "n",
-        )
-        out = one if out is None else out.unionByName(one)
-    return out
+    return P.histograms(segments, fv.PROFILE_FEATURES, 40).select(
+        "feature", "bin", F.round("lo", 8).alias("lo"), F.round("hi", 8).alias("hi"), "n"
+    )
 
 
 def tier_internal_std(segments: DataFrame) -> DataFrame:
@@ -473,7 +468,7 @@ def report_queries() -> dict[str, Query]:
         "q5_4_video_consistency": v(R.video_consistency, SPEC),
         "q5_5_trim_ntile": s(R.trim_by_ntile, SPEC),
         "q5_6_summary": s(R.validation_one_row, SPEC),
-        "scalar_share": s(R.scalar_share, "niche_category"),
+        "scalar_share": s(R.base_share, "niche_category"),
     }
 
 

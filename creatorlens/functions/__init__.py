@@ -8,6 +8,7 @@ from .numeric import (  # noqa: F401
     round_float,
     round_scaled,
     safe_div,
+    total_over_groups,
 )
 from .parsing import (  # noqa: F401
     age_years,

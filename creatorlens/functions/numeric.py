@@ -8,7 +8,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 
@@ -23,8 +23,7 @@ def floor_zero(x: Column) -> Column:
 
 def safe_div(a: Column, b: Column) -> Column:
     """a / b as double, null when b is 0 or either side is null."""
-    a, b = _lit(a).cast("double"), _lit(b).cast("double")
-    return F.when(b != 0, a / b)
+    return F.try_divide(_lit(a).cast("double"), _lit(b).cast("double"))
 
 
 def pct_of(part: Column, whole: Column) -> Column:
@@ -32,6 +31,15 @@ def pct_of(part: Column, whole: Column) -> Column:
     return safe_div(_lit(part).cast("double") * F.lit(100.0), whole)
 
 
+def total_over_groups(x: Column) -> Column:
+    """Total of a column of an aggregated result.
+
+    For results with one row per group (tiers, niches, archetypes): a window
+    over those few rows costs nothing, a scalar subquery would scan again.
+    """
+    return F.sum(x).over(Window.partitionBy(F.lit(0)))
+
+
 def clip(x: Column, lo: float, hi: float) -> Column:
     """Limit to [lo, hi]; null stays null."""
     return F.when(x < lo, F.lit(float(lo))).when(x > hi, F.lit(float(hi))).otherwise(x)

@@ -68,7 +68,7 @@ def clean(spark: SparkSession, data: str, csv: bool = False, spec: SegmentSpec =
 def profile(spark: SparkSession, data: str, spec: SegmentSpec = DEFAULT_SPEC) -> dict:
     creators, videos = load_clean(spark, data)
     mid = F.col("subscriber_tier") == spec.tier_labels()[2]
-    out = {
+    return {
         "shape": P.table_shape(creators=creators, videos=videos),
         "nulls": P.null_audit(creators),
         "tiers": P.tier_share(creators, "subscriber_tier", spec.tier_labels()[::-1], "revenue_90d"),
@@ -81,10 +81,10 @@ def profile(spark: SparkSession, data: str, spec: SegmentSpec = DEFAULT_SPEC) ->
             creators, "avg_retention_rate", fv.HIGH_RETENTION_ZONE, "rpm", fv.LOW_RPM_ZONE
         ),
         "mid_tier_spread": P.subset_spread(creators, mid, "avg_retention_rate"),
+        "mid_tier_inside": P.histogram(creators.filter(mid), "avg_retention_rate", 40),
+        "mid_tier_outside": P.histogram(creators.filter(~mid), "avg_retention_rate", 40),
+        "histograms": P.histograms(creators, fv.PROFILE_FEATURES, 40),
     }
-    for c in fv.PROFILE_FEATURES:
-        out[f"histogram_{c}"] = P.histogram(creators, c, 40)
-    return out
 
 
 def segment(spark: SparkSession, data: str, csv: bool = False, k: int = 5, n_init: int = 20,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import floor_zero, pct_of, round_scaled
+from ..functions import floor_zero, pct_of, round_scaled, total_over_groups
 from ..specs import DEFAULT_SPEC, SegmentSpec
 
 
@@ -77,14 +77,13 @@ def gap_by_category(
             F.coalesce(F.sum("revenue_gap"), F.lit(0.0)).alias("gap"),
         )
     )
-    total = agg.agg(F.sum("gap").alias("gap")).scalar()
     return agg.select(
         category,
         "n_creators",
         F.round("current_rev", 0).alias("current_rev"),
         F.round("parity_rev", 0).alias("parity_rev"),
         F.round("gap", 0).alias("gap"),
-        F.round(pct_of(F.col("gap"), total), 1).alias("gap_pct"),
+        F.round(pct_of(F.col("gap"), total_over_groups(F.col("gap"))), 1).alias("gap_pct"),
     ).orderBy(F.col("gap").desc())
 
 

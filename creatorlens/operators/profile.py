@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import pct_of
+from ..functions import pct_of, total_over_groups
 from ..session import literal_frame
 from .quantile import GROUP_LIMIT, exact_quantiles
 
@@ -66,40 +66,58 @@ def feature_moments(
     )
 
 
-def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
-    """Equal-width bins over the column's range: (bin, lo, hi, n), empty bins kept.
+def histograms(df: DataFrame, columns: Sequence[str], bins: int) -> DataFrame:
+    """Equal-width bins over each column's range: (feature, bin, lo, hi, n).
 
-    The range arrives as a scalar subquery; rows are counted per bin on the map
-    side. The last bin is closed. A constant column gets a range of width 1.
+    One scan finds all ranges (two numbers per column), a second counts all
+    bins on the map side. Nulls are left out, the last bin is closed, empty
+    bins are kept, a constant column gets a range of width 1.
     """
-    x = F.col(column)
-    ends = df.agg(F.min(x).cast("double").alias("a"), F.max(x).cast("double").alias("b"))
-    widened = F.col("a") == F.col("b")
-    ends = ends.select(
-        F.struct(
-            F.when(widened, F.col("a") - 0.5).otherwise(F.col("a")).alias("a"),
-            F.when(widened, F.col("b") + 0.5).otherwise(F.col("b")).alias("b"),
-        ).alias("ends")
-    )
-    spark = df.sparkSession
-    lo, hi = ends.scalar().getField("a"), ends.scalar().getField("b")
-    place = F.floor((x.cast("double") - lo) / (hi - lo) * F.lit(float(bins)))
+    columns = list(columns)
+    ends = df.agg(
+        *[F.min(c).cast("double").alias(f"lo{i}") for i, c in enumerate(columns)],
+        *[F.max(c).cast("double").alias(f"hi{i}") for i, c in enumerate(columns)],
+    ).first()
+    cells, ranges = [], []
+    for i, c in enumerate(columns):
+        lo, hi = ends[f"lo{i}"], ends[f"hi{i}"]
+        if lo is not None and lo == hi:
+            lo, hi = lo - 0.5, hi + 0.5
+        low, high = F.lit(lo).cast("double"), F.lit(hi).cast("double")
+        place = F.floor((F.col(c).cast("double") - low) / (high - low) * F.lit(float(bins)))
+        inside = F.when(F.col(c).isNotNull(), F.least(place, F.lit(bins - 1)))
+        cells.append(F.struct(F.lit(c).alias("_f"), inside.cast("int").alias("_b")))
+        ranges.append(F.struct(F.lit(c).alias("feature"), low.alias("a"), high.alias("z")))
     counts = (
-        df.filter(x.isNotNull())
-        .select(F.least(place, F.lit(bins - 1)).cast("int").alias("_bin"))
-        .groupBy("_bin")
-        .agg(F.count("*").alias("n"))
+        df.select(F.inline(F.array(*cells)))
+        .filter(F.col("_b").isNotNull())
+        .groupBy("_f", "_b")
+        .agg(F.count("*").alias("c"))
+    )
+    every = df.sparkSession.range(bins).select(
+        F.col("id").cast("int").alias("bin"), F.inline(F.array(*ranges))
+    )
+    width = (F.col("z") - F.col("a")) / F.lit(float(bins))
+    # at most one row per feature and bin
+    joined = every.join(
+        F.broadcast(counts),
+        (F.col("feature") == F.col("_f")) & (F.col("bin") == F.col("_b")),
+        "left",
     )
-    all_bins = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
-    width = (hi - lo) / F.lit(float(bins))
-    return all_bins.join(F.broadcast(counts), F.col("bin") == F.col("_bin"), "left").select(
+    return joined.select(
+        "feature",
         "bin",
-        (lo + width * F.col("bin")).alias("lo"),
-        (lo + width * (F.col("bin") + 1)).alias("hi"),
-        F.coalesce("n", F.lit(0)).cast("bigint").alias("n"),
+        (F.col("a") + width * F.col("bin")).alias("lo"),
+        (F.col("a") + width * (F.col("bin") + 1)).alias("hi"),
+        F.coalesce("c", F.lit(0)).cast("bigint").alias("n"),
     )
 
 
+def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
+    """(bin, lo, hi, n) of one column."""
+    return histograms(df, [column], bins).drop("feature")
+
+
 def corr_matrix(df: DataFrame, columns: Sequence[str], digits: int = 3) -> DataFrame:
     """Pairwise-complete Pearson matrix in long form (a, b, r); one pass.
 
@@ -159,7 +177,7 @@ def tier_share(
 ) -> DataFrame:
     """Per tier: rows, mean and sum of ``amount``, shares; absent tiers stay as null rows.
 
-    Shares are taken over the few aggregated rows by scalar subqueries.
+    Shares are taken over the few aggregated rows; the table is read once.
     """
     order = literal_frame(df.sparkSession, ("tier_rank", "_tier"), list(enumerate(tier_order)))
     agg = df.filter(F.col(tier).isin(*tier_order)).groupBy(tier).agg(
@@ -167,18 +185,18 @@ def tier_share(
         F.avg(amount).alias("avg_rev"),
         F.sum(amount).alias("total_rev"),
     )
-    totals = agg.agg(
-        F.struct(F.sum("n_creators").alias("n"), F.sum("total_rev").alias("rev")).alias("t")
-    )
-    t = totals.scalar()
     return order.join(agg, F.col("_tier") == F.col(tier), "left").select(
         "tier_rank",
         F.col("_tier").alias("subscriber_tier"),
         "n_creators",
         F.round("avg_rev", 2).alias("avg_rev"),
         F.round("total_rev", 2).alias("total_rev"),
-        F.round(pct_of(F.col("n_creators"), t.getField("n")), 2).alias("pct_creators"),
-        F.round(pct_of(F.col("total_rev"), t.getField("rev")), 2).alias("pct_revenue"),
+        F.round(pct_of(F.col("n_creators"), total_over_groups(F.col("n_creators"))), 2).alias(
+            "pct_creators"
+        ),
+        F.round(pct_of(F.col("total_rev"), total_over_groups(F.col("total_rev"))), 2).alias(
+            "pct_revenue"
+        ),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import chain
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
@@ -82,15 +82,10 @@ def profile_minmax(
     means = named.filter(F.col("archetype").isNotNull()).groupBy("archetype").agg(
         *[F.avg(c).alias(c) for c in features]
     )
-    ends = means.agg(
-        F.struct(
-            *[F.min(c).alias(f"lo_{c}") for c in features],
-            *[F.max(c).alias(f"hi_{c}") for c in features],
-        ).alias("ends")
-    ).scalar()
+    few = Window.partitionBy(F.lit(0))  # one row per archetype
 
     def scaled(c: str) -> Column:
-        lo, hi = ends.getField(f"lo_{c}"), ends.getField(f"hi_{c}")
+        lo, hi = F.min(c).over(few), F.max(c).over(few)
         return F.round((F.col(c) - lo) / (hi - lo + F.lit(1e-9)), digits).alias(c)
 
     return means.select("archetype", *[scaled(c) for c in features])

@@ -2,8 +2,7 @@
 
 ``creators`` is a typed creator table, ``videos`` a typed video table. Segment
 roles and bins come from a SegmentSpec. Grouped results are a handful of rows,
-so shares are taken over the aggregate by scalar subquery and final ordering
-sorts only those rows.
+so shares are taken over the aggregate and final ordering sorts only those rows.
 """
 
 from __future__ import annotations
@@ -12,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
-from ..functions import bucketize, pct_of, safe_div
+from ..functions import bucketize, pct_of, safe_div, total_over_groups
 from ..operators.gap import (
     parity_gap,
     platform_revenue,
@@ -40,8 +39,9 @@ def _share(part: Column, whole: Column) -> Column:
     return F.round(pct_of(part, whole), 1)
 
 
-def _row_count(df: DataFrame) -> Column:
-    return df.agg(F.count("*").alias("n")).scalar()
+def _share_of_total(c: str) -> Column:
+    """Share of a grouped column in its total over all groups."""
+    return _share(F.col(c), total_over_groups(F.col(c)))
 
 
 def _pass(value: Column, threshold: float) -> Column:
@@ -141,23 +141,21 @@ def niche_retention(creators: DataFrame) -> DataFrame:
 # ── tiers ───────────────────────────────────────────────────────────────────
 
 
-def _tier_totals(creators: DataFrame, tier: Column, name: str) -> tuple[DataFrame, Column]:
-    agg = creators.groupBy(tier.alias(name)).agg(
+def _tier_totals(creators: DataFrame, tier: Column, name: str) -> DataFrame:
+    return creators.groupBy(tier.alias(name)).agg(
         _n("n"), F.avg("revenue_90d").alias("avg_rev"), F.sum("revenue_90d").alias("rev")
     )
-    totals = agg.agg(F.struct(F.sum("n").alias("n"), F.sum("rev").alias("rev")).alias("t"))
-    return agg, totals.scalar()
 
 
 def tier_revenue(creators: DataFrame, spec: SegmentSpec = DEFAULT_SPEC) -> DataFrame:
-    agg, t = _tier_totals(creators, report_tier(spec), "subscriber_tier")
+    agg = _tier_totals(creators, report_tier(spec), "subscriber_tier")
     return agg.select(
         "subscriber_tier",
         F.col("n").alias("n_creators"),
-        _share(F.col("n"), t.getField("n")).alias("pct_of_base"),
+        _share_of_total("n").alias("pct_of_base"),
         F.round("avg_rev", 0).alias("avg_rev_per_creator"),
         F.round("rev", 0).alias("total_tier_revenue"),
-        _share(F.col("rev"), t.getField("rev")).alias("pct_of_platform_rev"),
+        _share_of_total("rev").alias("pct_of_platform_rev"),
     ).orderBy("subscriber_tier")
 
 
@@ -237,12 +235,12 @@ def mid_tier(creators: DataFrame, spec: SegmentSpec = DEFAULT_SPEC) -> DataFrame
 def tier_scatter(creators: DataFrame, spec: SegmentSpec = DEFAULT_SPEC) -> DataFrame:
     names = ["Micro", "Small", "Mid", "Large", "Mega"]
     tier = bucketize(F.col("subscriber_count"), spec.tier_edges, names, null_label=names[0])
-    agg, t = _tier_totals(creators, tier, "tier_short")
+    agg = _tier_totals(creators, tier, "tier_short")
     return agg.select(
         "tier_short",
         F.col("n").alias("n_creators"),
-        _share(F.col("n"), t.getField("n")).alias("pct_creators"),
-        _share(F.col("rev"), t.getField("rev")).alias("pct_revenue"),
+        _share_of_total("n").alias("pct_creators"),
+        _share_of_total("rev").alias("pct_revenue"),
         F.round("avg_rev", 0).alias("avg_rev"),
     )
 
@@ -262,9 +260,9 @@ def archetype_profile(segments: DataFrame) -> DataFrame:
         _avg("revenue_90d", 0).alias("avg_revenue_90d"),
         _sum("revenue_90d").alias("total_archetype_revenue"),
     )
-    return agg.withColumn(
-        "pct_of_base", _share(F.col("n_creators"), _row_count(segments))
-    ).orderBy(F.col("avg_retention").desc())
+    return agg.withColumn("pct_of_base", _share_of_total("n_creators")).orderBy(
+        F.col("avg_retention").desc()
+    )
 
 
 def head_to_head(segments: DataFrame, spec: SegmentSpec = DEFAULT_SPEC) -> DataFrame:
@@ -287,9 +285,8 @@ def target_tiers(segments: DataFrame, spec: SegmentSpec = DEFAULT_SPEC) -> DataF
     agg = target_rows(segments, spec).groupBy("subscriber_tier").agg(
         _n("niche_specialist_count")
     )
-    total = agg.agg(F.sum("niche_specialist_count").alias("n")).scalar()
     return agg.withColumn(
-        "pct_of_archetype", _share(F.col("niche_specialist_count"), total)
+        "pct_of_archetype", _share_of_total("niche_specialist_count")
     ).orderBy(F.col("pct_of_archetype").desc())
 
 
@@ -386,14 +383,13 @@ def gap_by_niche(segments: DataFrame, spec: SegmentSpec = DEFAULT_SPEC) -> DataF
         _sum("revenue_at_parity").alias("parity_total_rev"),
         F.sum("revenue_gap").alias("gap"),
     )
-    total = agg.agg(F.sum("gap").alias("gap")).scalar()
     return agg.select(
         "niche_category",
         "n_creators",
         "current_total_rev",
         "parity_total_rev",
         F.round("gap", 0).alias("total_gap"),
-        _share(F.col("gap"), total).alias("pct_of_total_gap"),
+        _share_of_total("gap").alias("pct_of_total_gap"),
     ).orderBy(F.col("total_gap").desc())
 
 
@@ -519,12 +515,11 @@ def trim_by_ntile(
     agg = rows.groupBy(label.alias("group_label")).agg(
         _n("n_creators"), F.sum("revenue_gap").alias("gap")
     )
-    total = agg.agg(F.sum("gap").alias("gap")).scalar()
     return agg.select(
         "group_label",
         "n_creators",
         F.round("gap", 0).alias("total_gap"),
-        _share(F.col("gap"), total).alias("pct_of_total_gap"),
+        _share_of_total("gap").alias("pct_of_total_gap"),
     )
 
 
@@ -552,9 +547,7 @@ def validation_one_row(
     )
 
 
-def scalar_share(segments: DataFrame, group: str) -> DataFrame:
-    """Share of the base per group, the denominator as a scalar subquery."""
-    return segments.groupBy(group).agg(_n("n")).withColumn(
-        "pct_of_base", _share(F.col("n"), _row_count(segments))
-    )
-
+def base_share(segments: DataFrame, group: str) -> DataFrame:
+    """Rows per group and their share of the base."""
+    agg = segments.groupBy(group).agg(_n("n"))
+    return agg.withColumn("pct_of_base", _share_of_total("n"))
