@@ -495,6 +495,7 @@ def cluster_queries() -> dict[str, Query]:
         "profile_minmax": _seg(lambda s: SG.profile_minmax(_named(s))),
         "scatter_feed": _seg(lambda s: SG.scatter_feed(_named(s))),
         "kmeans_fit": lambda spark, sf: km.runs_frame(spark, fitted(spark, sf).runs),
+        "kmeans_history": lambda spark, sf: km.history_frame(spark, fitted(spark, sf).best),
         "segment_fit": lambda spark, sf: fitted(spark, sf).summary(),
         "k_sweep": _seg(S.k_sweep),
     }

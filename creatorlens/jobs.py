@@ -67,7 +67,7 @@ def clean(spark: SparkSession, data: str, csv: bool = False, spec: SegmentSpec =
 
 def profile(spark: SparkSession, data: str, spec: SegmentSpec = DEFAULT_SPEC) -> dict:
     creators, videos = load_clean(spark, data)
-    mid = F.col("subscriber_tier") == spec.tier_labels()[2]
+    mid = F.coalesce(F.col("subscriber_tier") == spec.tier_labels()[2], F.lit(False))
     return {
         "shape": P.table_shape(creators=creators, videos=videos),
         "nulls": P.null_audit(creators),

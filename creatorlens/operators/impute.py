@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import round_scaled
 from ..session import materialize
-from .quantile import BROADCAST_ROWS, GROUP_LIMIT, bounded_broadcast, exact_quantiles
+from . import quantile as Q
+from .quantile import GROUP_LIMIT, exact_quantiles
+from .skew import lookup_join
 
 
 def impute_group_median(
@@ -21,11 +23,10 @@ def impute_group_median(
 ) -> DataFrame:
     """Fill nulls with the median of the row's group, else with the global median.
 
-    ``df`` should be a stored table. Rows without a gap are passed through
-    untouched; only the incomplete rows meet the medians. A null key has no
-    group, so it takes the global median. Keys above ``limit`` rows meet their
-    medians by broadcast (there are at most rows/limit of them), which keeps a
-    dominant key out of the shuffle.
+    ``df`` should be a stored table. A null key has no group, so it takes the
+    global median. Many groups (too many to broadcast their medians): rows
+    without a gap pass through untouched and only incomplete rows are joined,
+    with dominant keys kept out of the shuffle.
     """
     columns = list(columns)
     medians = exact_quantiles(df.select(key, *columns), columns, 0.5, [key], limit)
@@ -41,41 +42,14 @@ def impute_group_median(
     for c in columns:
         any_gap = any_gap | F.col(c).isNull()
 
-    def filled(rows: DataFrame, with_medians: bool) -> DataFrame:
-        def cell(c: str):
-            glob = F.lit(fallback[c]).cast("double")
-            value = F.coalesce(F.col(f"_med_{c}"), glob) if with_medians else glob
-            return F.coalesce(F.col(c), round_scaled(value, digits)).alias(c)
+    def cell(c: str):
+        median = F.coalesce(F.col(f"_med_{c}"), F.lit(fallback[c]).cast("double"))
+        return F.coalesce(F.col(c), round_scaled(median, digits)).alias(c)
 
-        return rows.select(*[cell(c) if c in columns else F.col(c) for c in df.columns])
+    def fill(rows: DataFrame) -> DataFrame:
+        joined = lookup_join(rows, medians, key, "_key", "left", limit)
+        return joined.select(*[cell(c) if c in columns else F.col(c) for c in df.columns])
 
-    n_groups = medians.count()
-    if n_groups <= BROADCAST_ROWS:
-        return filled(df.join(F.broadcast(medians), df[key] == F.col("_key"), "left"), True)
-
-    whole = df.filter(~any_gap)
-    gaps = df.filter(any_gap)
-    no_key = filled(gaps.filter(F.col(key).isNull()), False)
-    keyed = gaps.filter(F.col(key).isNotNull())
-    parts = [whole, no_key]
-    heavy = materialize(
-        keyed.groupBy(key).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > limit)
-        .select(F.col(key).alias("_heavy")),
-        "heavy-keys",
-    )
-    n_heavy = heavy.count()
-    if n_heavy:
-        b = bounded_broadcast(heavy, n_heavy)
-        med_heavy = medians.join(b, F.col("_key") == F.col("_heavy"), "left_semi")
-        parts.append(
-            filled(
-                keyed.join(bounded_broadcast(med_heavy, n_heavy), keyed[key] == F.col("_key")),
-                True,
-            )
-        )
-        keyed = keyed.join(b, keyed[key] == F.col("_heavy"), "left_anti")
-    parts.append(filled(keyed.join(medians, keyed[key] == F.col("_key"), "left"), True))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    if medians.count() <= Q.BROADCAST_ROWS:  # one scan, nothing shuffled
+        return fill(df)
+    return df.filter(~any_gap).unionByName(fill(df.filter(any_gap)))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import round_scaled
+from ..operators.skew import lookup_join
 from ..plans.cleaning import len_consistency, tier_label
 from ..session import materialize, once
 from ..specs import SegmentSpec
@@ -60,7 +61,8 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed creators, one per order; metrics of orders without lines are null.
 
     Lines are aggregated by order before any join, so a heavy order collapses
-    on the map side and the join sees one row per key.
+    on the map side and the join sees one row per key. Customers are looked up
+    with heavy customers kept out of the shuffle.
     """
     orders = table(spark, sf_dir, "orders")
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
@@ -78,9 +80,8 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.stddev_pop("l_quantity").alias("std_qty"),
         )
     )
-    joined = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).join(
-        lines, F.col("o_orderkey") == F.col("l_orderkey"), "left"
-    )
+    placed = lookup_join(orders, customers, "o_custkey", "c_custkey", "inner")
+    joined = placed.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     age_days = F.datediff(F.lit("2001-12-31").cast("date"), F.col("o_orderdate"))
     base = joined.select(
         F.col("o_orderkey").alias("creator_id"),
@@ -108,7 +109,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
     gross = round_scaled(F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount")), 4)
     views = F.col("l_quantity") * F.lit(100.0)
-    return lines.join(labels, F.col("l_orderkey") == F.col("o_orderkey")).select(
+    return lookup_join(lines, labels, "l_orderkey", "o_orderkey", "inner").select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("video_id"),
         F.col("l_orderkey").alias("creator_id"),
         F.col("l_shipdate").cast("date").alias("publish_date"),

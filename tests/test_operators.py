@@ -12,6 +12,7 @@ from creatorlens.operators import quantile as Q
 from creatorlens.operators import ranking as RK
 from creatorlens.operators.dedup import keep_first
 from creatorlens.operators.profile import histogram
+from creatorlens.operators.skew import lookup_join
 from creatorlens.plans import reports as R
 
 
@@ -145,7 +146,6 @@ def brute_impute(rows):
 
 @pytest.mark.parametrize("limit,broadcast_rows", [(1_000_000, 100_000), (50, 100_000), (20, 5)])
 def test_impute_group_median(frame, monkeypatch, limit, broadcast_rows):
-    monkeypatch.setattr(I, "BROADCAST_ROWS", broadcast_rows)
     monkeypatch.setattr(Q, "BROADCAST_ROWS", broadcast_rows)
     out = I.impute_group_median(frame, "g", ["x"], 2, limit)
     assert {r["id"]: r["x"] for r in out.collect()} == brute_impute(skewed())
@@ -165,3 +165,15 @@ def test_histogram_of_constant(spark):
     got = histogram(df, "v", 4).orderBy("bin").collect()
     n, edges = np.histogram([3.0, 3.0], bins=4)
     assert [r["n"] for r in got] == n.tolist() and [r["lo"] for r in got] == edges[:-1].tolist()
+
+
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_lookup_join_with_heavy_and_missing_keys(spark, frame, monkeypatch, how):
+    monkeypatch.setattr(Q, "BROADCAST_ROWS", 3)
+    keys = ["hot", *[f"g{i}" for i in range(1, 30)], "unused"]
+    dim = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k string, v int")
+    got = lookup_join(frame.select("id", "g"), dim, "g", "k", how, limit=200)
+    at = {k: i for i, k in enumerate(keys)}
+    want = {(i, at.get(g)) for i, g, _, _ in skewed() if how == "left" or g in at}
+    assert {(r["id"], r["v"]) for r in got.collect()} == want
+    assert got.count() == len(want)
