@@ -166,7 +166,7 @@ def _variant(label: Column, key: Column, variants: dict[str, tuple[str, ...]]) -
 
 def creators_messy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All-text creators with duplicates, odd spellings, units, junk and gaps."""
-    e = entities(spark, sf_dir).withColumn(
+    e = stored(spark, sf_dir, "segments").withColumn(
         "copy",
         F.explode(
             F.when(F.col("creator_id") % 50 == 0, F.array(F.lit(0), F.lit(1))).otherwise(
@@ -239,7 +239,7 @@ def creators_messy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def videos_messy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All-text videos with repeated ids, three date formats, durations and gaps."""
-    v = items(spark, sf_dir)
+    v = stored(spark, sf_dir, "items")
     k = F.col("video_id")
     day = F.col("publish_date")
     length = F.col("video_length_mins").cast("bigint").cast("string")
@@ -284,8 +284,12 @@ def videos_messy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Typed creators with the stored tier and the consistency score."""
-    e = entities(spark, sf_dir)
+    """Typed creators with the stored tier and the consistency score.
+
+    The score needs the largest spread of all creators, so the joined rows are
+    stored first instead of deriving them twice.
+    """
+    e = materialize(entities(spark, sf_dir), "entities")
     return e.withColumn("subscriber_tier", tier_label(MART_SPEC)).withColumn(
         "len_consistency_score", len_consistency(e)
     )
