@@ -32,13 +32,17 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(spark: SparkSession) -> None:
-    """Delete the tables stored so far. Call it when no frame built on them is read again."""
-    for name in _PATHS.pop(spark.sparkContext.applicationId, []):
+def drop_paths(spark: SparkSession, names: Sequence[str]) -> None:
+    for name in names:
         path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def drop_stored(spark: SparkSession) -> None:
+    """Delete the tables stored so far. Call it when no frame built on them is read again."""
+    drop_paths(spark, _PATHS.pop(spark.sparkContext.applicationId, []))
+
+
 def with_arrow_columns(
     df: DataFrame,
     fields: Sequence[T.StructField],
