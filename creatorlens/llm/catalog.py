@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_runs, packing, simhash_trie, topk
+from . import decontaminate, langid, line_runs, packing, quality, simhash_trie, topk
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -25,6 +25,17 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 20 == 0, 20)
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    items = F.array_sort(F.transform("items", lambda i: i.cast("string")))
+    hit = decontaminate.n_hit(F.col("hits"))
+    return found.select(
+        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
+    )
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_runs.dedup_lines(docs, min_docs=10, min_chars=1).select(
@@ -32,11 +43,25 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    learn = table(spark, sf_dir, "labels").select("doc_id", "quality").where(quality.fold("doc_id", 3) != 1)
+    docs = docs.withColumn("held_out", quality.fold("doc_id", 3) == 1)
+    return quality.scored(docs, quality.train(docs, learn)).drop("text")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_trie.near_duplicates(table(spark, sf_dir, "documents"), 3, 2, keep=["doc_id"])
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = docs.withColumn("held_out", quality.fold("doc_id", 5) == 0)
+    model = langid.train(docs.where("not held_out"))
+    return langid.identified(docs.drop("lang"), model).drop("text")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
     return packed.select(
@@ -45,7 +70,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk, op4_line_dedup, op6_simhash, op9_packing)}
+    return {f.__name__: f for f in (op1_topk, op3_decontaminate, op4_line_dedup, op5_quality, op6_simhash, op7_langid, op9_packing)}
 
 
 def all_sql() -> dict[str, str]:

@@ -128,8 +128,9 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches
     spark = docs.sparkSession
     # equal rows lose the same lines, and a document that is given another's frequent hashes
     # besides its own loses no other line: a 64-bit hash serves as the row's key
+    rest = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
     keyed = docs.select(
-        F.struct("*").alias("_doc"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", "text").alias("_row")
+        F.struct(*rest).alias("_doc"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", "text").alias("_row")
     )
     path = new_path(spark, "line-batches")
     (
@@ -171,7 +172,6 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches
 
     fields = [T.StructField("_kept", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]
     out = with_arrow_columns(joined, fields, cut, drop=["text", "_frequent"])
-    rest = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
     return out.select(*[F.col("_doc").getField(c).alias(c) for c in rest], F.col("_kept").alias("text"), "n_lines", "n_dropped")
 
 
