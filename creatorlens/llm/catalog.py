@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, line_runs, packing, quality, simhash_trie, topk
+from . import decontaminate, langid, line_runs, packing, quality, secrets, simhash_trie, topk
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -25,6 +25,20 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 20 == 0, 20)
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    base = F.col("base")
+    return found.select(
+        "doc_id",
+        secrets.count_kind(base, 0).alias("n_assign"),
+        secrets.count_kind(base, 1).alias("n_access"),
+        secrets.count_kind(base, 2).alias("n_hex"),
+        F.sha2(secrets.written(base), 256).alias("base_sha256"),
+        secrets.written(F.array_sort(F.concat("base", "added"))).alias("spans"),
+        secrets.count_kind(F.col("added"), 3).alias("n_random"),
+    )
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
@@ -70,7 +84,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk, op3_decontaminate, op4_line_dedup, op5_quality, op6_simhash, op7_langid, op9_packing)}
+    return {f.__name__: f for f in (op1_topk, op2_secrets, op3_decontaminate, op4_line_dedup, op5_quality, op6_simhash, op7_langid, op9_packing)}
 
 
 def all_sql() -> dict[str, str]:
