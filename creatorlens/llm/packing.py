@@ -27,7 +27,8 @@ from .common import byte_texts
 
 OPEN_BINS = 1024
 CHARS_PER_TASK = 1 << 25
-CACHED_WORDS = 300_000
+CACHED_WORDS = 400_000  # of each of two generations
+TEXT_BYTES = 1 << 20
 PUNCTUATION = ".,!?;:|*#%&$"
 END_OF_WORD = "</w>"
 
@@ -39,35 +40,54 @@ class WordEncoder:
     """Ids of whole texts, by a bounded cache of white-space-separated words.
 
     The tokenizer never joins what ASCII white space separates, so a text's ids are those
-    of its words in a row. Unknown words go to the tokenizer many at a time.
+    of its words in a row. Unknown words go to the tokenizer many at a time. The cache has
+    two generations: words of the older that occur again move to the younger; when that is
+    full, it becomes the older.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for word, i in vocab.items() if word.endswith(END_OF_WORD)]] = True
-        self.by_word = bool(self.ends.any())
-        self.cache: dict[bytes, bytes] = {}
-
-    def __call__(self, text: bytes) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        words = text.split()
-        cache = self.cache
-        try:
-            return b"".join(map(cache.__getitem__, words))
-        except KeyError:
-            pass
-        known = {w: cache[w] for w in set(words) if w in cache}
-        known.update(self._encode_words([w for w in dict.fromkeys(words) if w not in known]))
-        if len(cache) + len(known) > CACHED_WORDS:
-            cache.clear()
-        cache.update(known)
-        return b"".join(map(known.__getitem__, words))
-
-    def _encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
+        # lower-case words of letters need no normalizer and no pattern to split them
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        if hasattr(self.plain.model, "_resize_cache"):
+            self.plain.model._resize_cache(0)  # words seen before never get there
+        probe = "the größe déjà niño naïve strength"
+        self.by_word = bool(self.ends.any()) and all(
+            self.plain.encode(w, add_special_tokens=False).ids == self.tokenizer.encode(w, add_special_tokens=False).ids
+            for w in [*probe.split(), probe]
+        )
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        out: list[bytes] = []
+        at = 0
+        while at < len(texts):  # some texts at a time, so that their words need little memory
+            split, size = [], 0
+            while at < len(texts) and size < TEXT_BYTES:
+                split.append(texts[at].split())
+                size += len(texts[at])
+                at += 1
+            new = set().union(*split).difference(self.young)
+            again = new.intersection(self.old)
+            self.young.update((w, self.old[w]) for w in again)
+            self.young.update(self._encode_words(new - again))
+            out += [b"".join(map(self.young.__getitem__, words)) for words in split]
+            if len(self.young) > CACHED_WORDS:
+                self.old, self.young = self.young, {}
+        return out
+
+    def _encode_words(self, words: set[bytes]) -> dict[bytes, bytes]:
         """A word of letters with punctuation behind it is the ids of both in turn, since
         the tokenizer splits there; any other word is encoded on its own."""
         parts: dict[bytes, tuple[bytes, bytes]] = {}
@@ -81,10 +101,10 @@ class WordEncoder:
             else:
                 alone.append(word)
         cores = dict.fromkeys(core for core, _ in parts.values())
-        ids = {c: self.cache[c] for c in cores if c in self.cache}
+        ids = {c: cache[c] for c in cores for cache in (self.old, self.young) if c in cache}
         new = [c for c in cores if c not in ids]
-        for i in range(0, len(new), 2000):
-            ids.update(self._encode_letters(new[i : i + 2000]))
+        for i in range(0, len(new), 250):
+            ids.update(self._encode_letters(new[i : i + 250]))
         tails = {tail for _, tail in parts.values() if tail}
         ends = dict(zip(tails, self._encode_each(list(tails)))) | {b"": b""}
         out = {word: ids[core] + ends[tail] for word, (core, tail) in parts.items()}
@@ -93,7 +113,7 @@ class WordEncoder:
 
     def _encode_letters(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Words of letters only: each ends where a token with the end mark stands."""
-        ids = np.array(self.tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False).ids, dtype="<u4")
+        ids = np.array(self.plain.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
         stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) != len(words):
             return dict(zip(words, self._encode_each(words)))
@@ -124,8 +144,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int, end_id: int =
         task, count = TaskContext.get().partitionId(), 0
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1))):
-                ids = encode(text) + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(byte_texts(batch.column(1)))):
+                ids += end
                 for n, at in enumerate(range(0, len(ids), 4 * max_tokens)):
                     part = ids[at : at + 4 * max_tokens]
                     rows.append((doc_id, n, at // 4, len(part) // 4, part, (task << 40) + count))
