@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, line_runs, packing, quality, secrets, simhash_trie, topk
+from . import decontaminate, langid, line_runs, packing, quality, secrets, simhash_trie, topk, url_cascade, warc
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -76,6 +76,10 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(docs.drop("lang"), model).drop("text")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"), min_bytes=0)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
     return packed.select(
@@ -83,8 +87,24 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+URL_RULES = [
+    ("block", "net", "/"),
+    ("allow", "example.net", "/en/"),
+    ("block", "example.com", "/de/"),
+    ("allow", "org", "/fr/"),
+]
+#: Hosts with a label that begins with one of these words are listed.
+LISTED_LABELS = "(^|[.])(adult|casino|porn|warez)"
+
+
+def op10_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    listed = pages.select(url_cascade.host_of(F.col("url")).alias("key")).where(F.col("key").rlike(LISTED_LABELS)).distinct()
+    return url_cascade.judged(pages, URL_RULES, listed)
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk, op2_secrets, op3_decontaminate, op4_line_dedup, op5_quality, op6_simhash, op7_langid, op9_packing)}
+    return {f.__name__: f for f in (op1_topk, op2_secrets, op3_decontaminate, op4_line_dedup, op5_quality, op6_simhash, op7_langid, op8_warc, op9_packing, op10_url_cascade)}
 
 
 def all_sql() -> dict[str, str]:
