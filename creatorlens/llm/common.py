@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,8 @@ from pyspark.sql import types as T
 
 from creatorlens.session import scratch_path
 
-_PATHS: dict[str, list[str]] = {}
+_PATHS: dict[tuple[str, str], list[str]] = {}
+_SCOPE = [""]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,12 +20,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh folder below spark.checkpoint.dir, remembered until ``drop_stored``."""
+    """A fresh folder below spark.checkpoint.dir, remembered under the current scope."""
     path = scratch_path(spark, label)
-    _PATHS.setdefault(spark.sparkContext.applicationId, []).append(path)
+    _PATHS.setdefault((spark.sparkContext.applicationId, _SCOPE[-1]), []).append(path)
     return path
 
 
+@contextmanager
+def scope(spark: SparkSession, name: str) -> Iterator[None]:
+    """Folders made inside belong to ``name``. Those that it made before are deleted, so what
+    was built on them must have been written or read to the end."""
+    drop_paths(spark, _PATHS.pop((spark.sparkContext.applicationId, name), []))
+    _SCOPE.append(name)
+    try:
+        yield
+    finally:
+        _SCOPE.pop()
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: cuts the lineage and
     survives lost executors."""
@@ -38,11 +52,6 @@ def drop_paths(spark: SparkSession, names: Sequence[str]) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def drop_stored(spark: SparkSession) -> None:
-    """Delete the tables stored so far. Call it when no frame built on them is read again."""
-    drop_paths(spark, _PATHS.pop(spark.sparkContext.applicationId, []))
-
-
 def with_arrow_columns(
     df: DataFrame,
     fields: Sequence[T.StructField],

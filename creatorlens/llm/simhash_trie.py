@@ -249,15 +249,22 @@ def near_duplicates(
     pair_limit: int = PAIR_LIMIT,
     keep: list[str] | None = None,
 ) -> DataFrame:
-    """The columns ``keep`` of ``docs`` (default all) plus ``fp`` (long) and ``component_id``
-    (smallest doc_id reachable by links)."""
-    rest = [c for c in (keep or docs.columns) if c not in ("fp", "component_id")]
+    """The columns ``keep`` of ``docs`` (default all) plus ``fp`` (long), ``component_id``
+    (smallest doc_id reachable by links) and ``first``, true for one row of each component: a
+    row with that doc_id."""
+    names = ("fp", "component_id", "first")
+    rest = [c for c in (keep or docs.columns) if c not in names]
     keyed = docs.select(F.struct(*rest).alias("_doc"), F.col("doc_id").alias("_id"), "text")
-    keyed = stored(with_fingerprints(keyed, words_per_shingle).drop("text"), "simhash")
-    heads = stored(keyed.groupBy("fp").agg(F.min("_id").alias("head")), "simhash-heads")
+    keyed = with_fingerprints(keyed, words_per_shingle).drop("text").withColumn("_row", F.monotonically_increasing_id())
+    keyed = stored(keyed, "simhash")
+    head = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"))
+    heads = stored(keyed.groupBy("fp").agg(F.min(head).alias("head")), "simhash-heads")
     roots = components(links(heads.select("fp"), max_bits, pair_limit))
     # nodes are fingerprints; the smallest doc_id of a component is looked up by its root
     grouped = heads.join(roots, heads["fp"] == roots["node"], "left").select("fp", "head", F.coalesce("root", "fp").alias("root"))
-    least = grouped.groupBy("root").agg(F.min("head").alias("component_id"))
-    ids = grouped.join(least, "root").select("fp", "component_id")
-    return keyed.join(ids, "fp").select(*[F.col("_doc").getField(c).alias(c) for c in rest], "fp", "component_id")
+    least = grouped.groupBy("root").agg(F.min("head").alias("least"))
+    ids = grouped.join(least, "root").select("fp", "least")
+    return keyed.join(ids, "fp").select(
+        *[F.col("_doc").getField(c).alias(c) for c in rest],
+        "fp", F.col("least.id").alias("component_id"), (F.col("_row") == F.col("least.row")).alias("first"),
+    )
