@@ -105,24 +105,24 @@ def _matrix(lists: pa.ChunkedArray, width: int) -> np.ndarray:
     return out
 
 
-def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact inner products as int64."""
+def _scores(q: np.ndarray, c: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Exact inner products as int64, where ``wanted``."""
     reach = float(np.abs(q.astype(float)).max(initial=0)) * float(np.abs(c.astype(float)).max(initial=0)) * q.shape[1]
     if reach < 2**53:
         return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
     if reach < 2**62:
         return q @ c.T
     wide = q.astype(object) @ c.astype(object).T
-    return wide.astype(np.int64)  # raises OverflowError where a score is no long
+    return np.where(wanted, wide, 0).astype(np.int64)  # raises OverflowError where a score is no long
 
 
 def _best_of_tile(q_ids, q, c_ids, c, k):
     """k best of one tile: (query row, score, candidate id), unordered. c_ids ascend."""
-    s = _scores(q, c)
-    others = np.ones(s.shape, dtype=bool)
+    others = np.ones((len(q), len(c)), dtype=bool)
     at = np.searchsorted(c_ids, q_ids)
     own = (at < len(c_ids)) & (c_ids[np.minimum(at, len(c_ids) - 1)] == q_ids)
     others[np.flatnonzero(own), at[own]] = False
+    s = _scores(q, c, others)
     place = len(c_ids) - 1 - np.arange(len(c_ids))
     if np.abs(s.astype(float)).max(initial=0) < 2**62 / len(c_ids):
         key = s * len(c_ids) + place  # unique: a tie goes to the smaller id
