@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, line_runs, packing, quality, secrets, simhash_trie, topk, url_cascade, warc
+from . import decontaminate, langid, line_runs, oracle, packing, quality, secrets, simhash_trie, topk, url_cascade, warc
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -108,4 +108,12 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def all_sql() -> dict[str, str]:
-    return {}
+    """Models, fingerprints, tokenizers and false discovery limits are no SQL; those queries
+    are tested against brute force."""
+    return {
+        "op1_topk": oracle.top_k(),
+        "op3_decontaminate": oracle.decontamination(),
+        "op4_line_dedup": oracle.line_dedup(),
+        "op8_warc": oracle.warc(),
+        "op10_url_cascade": oracle.url_cascade(URL_RULES, LISTED_LABELS),
+    }
