@@ -38,14 +38,17 @@ def scope(spark: SparkSession, name: str) -> Iterator[None]:
         _SCOPE.pop()
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: cuts the lineage and
-    survives lost executors."""
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+def stored_at(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written once and read back: cuts the lineage and survives lost executors."""
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``stored_at`` a fresh folder."""
+    return stored_at(df, new_path(df.sparkSession, label))
+
+
 def drop_paths(spark: SparkSession, names: Sequence[str]) -> None:
     for name in names:
         path = spark._jvm.org.apache.hadoop.fs.Path(name)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_texts, new_path, stored, with_arrow_columns
+from .common import byte_texts, drop_paths, new_path, stored, stored_at, with_arrow_columns
 
 VERSION = b"WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -109,7 +109,8 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0, segment_bytes: int =
     numbered = with_arrow_columns(
         numbered, [T.StructField("digest", T.StringType()), T.StructField("bytes", T.LongType())], digests
     ).withColumn("row", F.monotonically_increasing_id())
-    numbered = stored(numbered, "warc-pages")  # row numbers must not change between the two uses
+    held = new_path(pages.sparkSession, "warc-pages")
+    numbered = stored_at(numbered, held)  # row numbers must not change between the two uses
     order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")
     firsts = (
         numbered.where(F.col("bytes") >= min_bytes)
@@ -135,6 +136,7 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0, segment_bytes: int =
     rows.mapInArrow(build, "record binary").select(F.col("record").cast("string")).write.option("lineSep", END).option(
         "compression", "gzip"
     ).text(path)
+    drop_paths(pages.sparkSession, [held])
 
 
 _HEADERS = "record_id string, type string, url string, refers_to string, origin string, segment int, total long, digest string"
