@@ -73,7 +73,8 @@ def _seg(fn, *args) -> Query:
 
 def src_csv_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "creators-csv")
-    raw = marts.stored(spark, sf_dir, "creators_messy").select(*schemas.CREATORS_MESSY.names)
+    # in another order than the schema's: columns are found by name
+    raw = marts.stored(spark, sf_dir, "creators_messy").select(*reversed(schemas.CREATORS_MESSY.names))
     write_table(raw, path, "csv")
     return read_strings(spark, path, schemas.CREATORS_MESSY, with_position=False)
 
@@ -81,7 +82,7 @@ def src_csv_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _roundtrip(name: str, schema, fmt: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = scratch_path(spark, f"{name}-{fmt}")
-        write_table(marts.stored(spark, sf_dir, name).select(*schema.names), path, fmt)
+        write_table(marts.stored(spark, sf_dir, name).select(*reversed(schema.names)), path, fmt)
         return read_typed(spark, path, schema, fmt)
 
     return run

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import csv
+from collections.abc import Iterable, Sequence
+from multiprocessing.pool import ThreadPool
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 POSITION = "_pos"
+BAD_ROW = "_bad_row"
 
 # --- Fixed values: cell texts that mean "missing" in a CSV export ---
 MISSING_TEXTS = (
@@ -32,37 +36,105 @@ def _guard(load, path: str, made_by: str) -> DataFrame:
         raise
 
 
+def _header(spark: SparkSession, file: str) -> tuple[str, ...]:
+    """Column names in the first line of a file; none if the file is empty."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(file)
+    stream = path.getFileSystem(conf).open(path)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
+    reader = jvm.java.io.BufferedReader(
+        jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8")
+    )
+    try:
+        line = reader.readLine()
+    finally:
+        reader.close()
+    return tuple(next(csv.reader([line.removeprefix("\ufeff")]), ())) if line else ()
+
+
+def _csv_by_name(
+    spark: SparkSession,
+    path: str,
+    names: Sequence[str],
+    multi_line: bool,
+    fail_on_malformed: bool,
+    extra: Sequence[Column] = (),
+) -> DataFrame:
+    """Headered CSV files as text, columns found by name.
+
+    Spark applies a schema by place, so every file's header is read first and files of one
+    header are read together; their columns may stand in any order, and others may stand
+    between them. A row whose number of cells differs from its header's makes the read fail,
+    or is cut and padded if ``fail_on_malformed`` is off.
+    """
+    files = [unquote(f) for f in spark.read.text(path).inputFiles()]
+    with ThreadPool(16) as pool:
+        headers = pool.map(lambda f: _header(spark, f), files)
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for file, header in zip(files, headers):
+        if not header:
+            continue
+        missing = [n for n in names if n not in header]
+        if missing:
+            raise ValueError(f"{file}: no column {', '.join(missing)}")
+        groups.setdefault(header, []).append(file)
+    out = None
+    for header, members in groups.items():
+        if len(set(header)) < len(header):
+            raise ValueError(f"{members[0]}: a column name occurs twice")
+        fields = [T.StructField(n, T.StringType()) for n in (*header, BAD_ROW)]
+        df = (
+            spark.read.schema(T.StructType(fields))
+            .option("header", True).option("quote", '"').option("escape", '"')
+            .option("multiLine", multi_line).option("columnNameOfCorruptRecord", BAD_ROW)
+            .csv(members)
+        )
+        if fail_on_malformed:
+            # with a data column in it, since Spark reads no file for its bad rows alone
+            first = F.coalesce(F.col(f"`{names[0]}`"), F.lit(""))
+            text = F.concat(F.lit("row with too many or too few cells: "), F.substring(BAD_ROW, 1, 200), F.lit(" / "), first)
+            df = df.where(F.when(F.col(BAD_ROW).isNotNull(), F.raise_error(text).cast("boolean")).otherwise(True))
+        df = df.select(*[F.col(f"`{n}`") for n in names], *extra)
+        out = df if out is None else out.union(df)
+    if out is None:
+        out = spark.createDataFrame([], T.StructType([T.StructField(n, T.StringType()) for n in names]))
+    return out
+
+
 def read_strings(
     spark: SparkSession,
     path: str,
     schema: T.StructType,
     made_by: str = "the export",
     with_position: bool = True,
+    multi_line: bool = False,
+    fail_on_malformed: bool = True,
 ) -> DataFrame:
     """Headered CSV with every column as text, plus each row's place in its file.
 
-    Cells holding one of the usual missing-value texts are read as null.
+    Columns are found by name. Cells holding one of the usual missing-value texts are read
+    as null. ``multi_line`` allows line breaks in quoted cells, at the price that one task
+    reads a whole file.
 
     The position orders rows by file, block and row within the block, so
     "first occurrence" does not depend on how Spark packs files into tasks.
     """
+    pos = F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    ).alias(POSITION)
     df = _guard(
-        lambda: spark.read.schema(schema).option("header", True).option("quote", '"')
-        .option("escape", '"').csv(path),
+        lambda: _csv_by_name(spark, path, schema.names, multi_line, fail_on_malformed, [pos] if with_position else []),
         path,
         made_by,
     )
     values = [
         F.when(~F.col(c).isin(*MISSING_TEXTS), F.col(c)).alias(c) for c in schema.names
     ]
-    if not with_position:
-        return df.select(*values)
-    pos = F.struct(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("row"),
-    )
-    return df.select(*values, pos.alias(POSITION))
+    if with_position and POSITION not in df.columns:  # no file has a row
+        df = df.withColumn(POSITION, F.lit(None).cast("struct<file:string,block:bigint,row:bigint>"))
+    return df.select(*values, *[POSITION] * with_position)
 
 
 def read_typed(
@@ -71,14 +143,14 @@ def read_typed(
     schema: T.StructType,
     fmt: str = "parquet",
     made_by: str = "the cleaning job",
+    multi_line: bool = False,
 ) -> DataFrame:
-    """Typed table from Parquet or headered CSV (dates as yyyy-MM-dd)."""
-    reader = spark.read.schema(schema)
-    if fmt == "csv":
-        reader = reader.option("header", True).option("dateFormat", "yyyy-MM-dd").option(
-            "quote", '"'
-        ).option("escape", '"')
-    return _guard(lambda: reader.format(fmt).load(path), path, made_by)
+    """Typed table from Parquet or headered CSV (columns by name, dates as yyyy-MM-dd; a
+    cell that does not fit its type is null)."""
+    if fmt != "csv":
+        return _guard(lambda: spark.read.schema(schema).format(fmt).load(path), path, made_by)
+    df = _guard(lambda: _csv_by_name(spark, path, schema.names, multi_line, True), path, made_by)
+    return df.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema])
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:

@@ -4,6 +4,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from creatorlens import fixed_values as fv
 from creatorlens import jobs
@@ -121,6 +122,47 @@ def test_csv_missing_texts_become_null(spark, tmp_path):
         [(" a ", None), (None, None), ('x,"y"', "ok")], key=str)
 
 
+CSV_SCHEMA = schemas.all_strings(["p", "q"])
+
+
+def _csv(folder, **files):
+    folder.mkdir()
+    for name, text in files.items():
+        (folder / f"{name}.csv").write_text(text)
+    return str(folder)
+
+
+def test_csv_columns_by_name(spark, tmp_path):
+    path = _csv(tmp_path / "t", a="q,x,p\n1,9,a\n2,9,b\n", b="p,q\nc,3\n", c='p,"y,z",q\nd,8,4\n', d="")
+    got = read_strings(spark, path, CSV_SCHEMA)
+    assert sorted((r.p, r.q) for r in got.collect()) == [("a", "1"), ("b", "2"), ("c", "3"), ("d", "4")]
+    assert got.where("_pos is null").count() == 0
+    typed = read_typed(spark, path, T.StructType.fromDDL("q int, p string"), "csv")
+    assert sorted(map(tuple, typed.collect())) == [(1, "a"), (2, "b"), (3, "c"), (4, "d")]
+
+
+def test_csv_missing_and_repeated_columns(spark, tmp_path):
+    with pytest.raises(ValueError, match="no column q"):
+        read_strings(spark, _csv(tmp_path / "a", a="p,q\n1,2\n", b="p,r\n1,2\n"), CSV_SCHEMA)
+    with pytest.raises(ValueError, match="occurs twice"):
+        read_strings(spark, _csv(tmp_path / "b", a="p,q,p\n1,2,3\n"), CSV_SCHEMA)
+    assert read_strings(spark, _csv(tmp_path / "c", a=""), CSV_SCHEMA).count() == 0
+
+
+def test_csv_line_break_in_a_cell(spark, tmp_path):
+    path = _csv(tmp_path / "t", a='q,p\n1,"two\nlines"\n2,x\n')
+    got = read_strings(spark, path, CSV_SCHEMA, with_position=False, multi_line=True)
+    assert sorted(map(tuple, got.collect())) == [("two\nlines", "1"), ("x", "2")]
+
+
+@pytest.mark.parametrize("row", ["1", "1,2,3"])
+def test_csv_malformed_row_fails_unless_allowed(spark, tmp_path, row):
+    path = _csv(tmp_path / "t", a=f"p,q\na,b\n{row}\n")
+    with pytest.raises(Exception, match="too many or too few cells"):
+        read_strings(spark, path, CSV_SCHEMA, with_position=False).collect()
+    assert read_strings(spark, path, CSV_SCHEMA, with_position=False, fail_on_malformed=False).count() == 2
+
+
 def test_helpers(spark):
     df = spark.createDataFrame([(1, 2)], "a int, b int")
     assert project_existing(df, ["b", "zzz", "a"]).columns == ["b", "a"]
