@@ -13,10 +13,9 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-POOL_SIZE = 4096  # start points are drawn from this many hash-ordered points
 SMALL_TASK = 200_000  # rows per core below which a table counts as small
 
 
@@ -38,6 +37,14 @@ class Standardized:
     n_rejected: int
 
 
+def complete_row(features: Sequence[str]) -> Column:
+    """Every feature present and a number: the rows that can be placed."""
+    complete = F.lit(True)
+    for c in features:
+        complete = complete & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    return complete
+
+
 def standardize(df: DataFrame, key: str, features: Sequence[str]) -> Standardized:
     """(x - mean) / population std per feature, std 0 read as 1.
 
@@ -45,9 +52,7 @@ def standardize(df: DataFrame, key: str, features: Sequence[str]) -> Standardize
     Statistics take one aggregate and come back as literals.
     """
     features = list(features)
-    complete = F.lit(True)
-    for c in features:
-        complete = complete & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    complete = complete_row(features)
     whole = [F.when(complete, F.col(c).cast("double")) for c in features]
     stats = df.agg(
         F.count_if(complete).alias("n"),
@@ -121,24 +126,62 @@ class Run:
     label_centroids: np.ndarray | None = None
     history: list[float] = field(default_factory=list)
     done: bool = False
+    restarted: int = 0  # clusters that were emptied and placed anew so far
 
     @property
     def inertia(self) -> float:
         return self.history[-1]
 
 
-def start_pool(points: DataFrame, key: str, columns: Sequence[str]) -> np.ndarray:
-    """A bounded random pool of points, the same for every run on this table."""
-    rows = points.orderBy(portable_hash(key), key).limit(POOL_SIZE).select(*columns).collect()
-    return np.array([tuple(r) for r in rows], dtype=float).reshape(len(rows), len(columns))
+def start_points(
+    points: DataFrame, key: str, columns: Sequence[str], orders: Sequence[tuple[int, int]], count: int
+) -> dict[tuple[int, int], np.ndarray]:
+    """The first ``count`` points of the whole table in the order of each (seed, restart).
 
+    The order is that of md5(key:seed:restart), which any SQL engine can repeat; the key's
+    features break ties. Each task keeps ``count`` points per order, in one pass.
+    """
+    cols, orders = list(columns), list(dict.fromkeys(orders))
+    suffixes = [f":{seed}:{restart}".encode() for seed, restart in orders]
 
-def make_run(pool: np.ndarray, k: int, seed: int, restart: int = 0) -> Run:
-    """Start from k distinct points drawn with the run's own generator."""
-    if k > len(pool):
-        raise ValueError(f"cannot place {k} centroids on {len(pool)} points")
-    pick = np.random.default_rng([seed, restart]).choice(len(pool), size=k, replace=False)
-    return Run(k, seed, restart, pool[pick].copy())
+    def first_of_task(batches):
+        import heapq
+        from hashlib import md5
+
+        import pyarrow as pa
+
+        held: list[list[tuple]] = [[] for _ in suffixes]
+        for batch in batches:
+            keys = [(k or "").encode() for k in batch.column(0).to_pylist()]
+            values = list(zip(*(c.to_pylist() for c in batch.columns[1:])))
+            for i, suffix in enumerate(suffixes):
+                ordered = ((md5(k + suffix).hexdigest(), v) for k, v in zip(keys, values))
+                held[i] = heapq.nsmallest(count, (*held[i], *heapq.nsmallest(count, ordered)))
+        rows = [(i, h, *v) for i, hs in enumerate(held) for h, v in hs]
+        names = ["slot", "h", *cols]
+        data = list(zip(*rows)) or [()] * len(names)
+        kinds = [pa.int32(), pa.string(), *[pa.float64()] * len(cols)]
+        yield pa.RecordBatch.from_arrays([pa.array(d, k) for d, k in zip(data, kinds)], names=names)
+
+    schema = ", ".join(["slot int, h string", *[f"{c} double" for c in cols]])
+    kept = points.select(F.col(key).cast("string"), *cols).mapInArrow(first_of_task, schema)
+    order = Window.partitionBy("slot").orderBy("h", *cols)
+    rows = kept.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= count).collect()
+    out: dict[tuple[int, int], list] = {o: [] for o in orders}
+    for r in sorted(rows, key=lambda r: (r["slot"], r["rn"])):
+        out[orders[r["slot"]]].append([r[c] for c in cols])
+    return {o: np.array(v, dtype=float).reshape(len(v), len(cols)) for o, v in out.items()}
+
+
+def make_runs(
+    points: DataFrame, key: str, columns: Sequence[str], specs: Sequence[tuple[int, int, int]]
+) -> list[Run]:
+    """A run per (k, seed, restart), started at the first k points of its order."""
+    starts = start_points(points, key, columns, [s[1:] for s in specs], max(s[0] for s in specs))
+    for k, seed, restart in specs:
+        if k > len(starts[seed, restart]):
+            raise ValueError(f"cannot place {k} centroids on {len(starts[seed, restart])} points")
+    return [Run(k, seed, restart, starts[seed, restart][:k].copy()) for k, seed, restart in specs]
 
 
 def _pass(
@@ -146,8 +189,8 @@ def _pass(
 ) -> list[np.ndarray]:
     """One scan: per centroid set a (K, d + 2) array of n, squared distance, sums.
 
-    Each task reduces its points to one number per (set, cluster, statistic);
-    those are summed over tasks by slot, and only the totals are collected.
+    Each task reduces its points to one row per (set, cluster); those are summed
+    over tasks, and only the totals are collected.
     """
     cols, sets = list(columns), [np.ascontiguousarray(c) for c in centroid_sets]
     d = len(cols)
@@ -174,32 +217,33 @@ def _pass(
                     weights = [None, dist[rows, a + near], *part.T]
                     for w, values in enumerate(weights):
                         totals[a:b, w] += np.bincount(near, weights=values, minlength=b - a)
-        slots = pa.array(np.arange(totals.size, dtype=np.int32))
-        yield pa.RecordBatch.from_arrays([slots, pa.array(totals.ravel())], names=["slot", "v"])
-
-    partial = points.select(*cols).mapInArrow(reduce_task, "slot int, v double")
-    totals = np.zeros(stacked.shape[0] * (d + 2))
-    for slot, v in partial.groupBy("slot").agg(F.sum("v")).collect():
-        totals[slot] = v
-    totals = totals.reshape(-1, d + 2)
+        slots = pa.array(np.arange(len(totals), dtype=np.int32))
+        yield pa.RecordBatch.from_arrays([slots, *[pa.array(t) for t in totals.T]], names=["slot", *names])
+
+    names = [f"t{w}" for w in range(d + 2)]
+    schema = ", ".join(["slot int", *[f"{n} double" for n in names]])
+    partial = points.select(*cols).mapInArrow(reduce_task, schema)
+    totals = np.zeros((stacked.shape[0], d + 2))
+    for slot, *values in partial.groupBy("slot").agg(*[F.sum(n) for n in names]).collect():
+        totals[slot] = values
     return [totals[a:b] for a, b in spans]
 
 
 def lloyd(
     points: DataFrame,
+    key: str,
     columns: Sequence[str],
     runs: list[Run],
-    pool: np.ndarray,
     max_iter: int = 300,
     tol: float = 1e-6,
 ) -> list[Run]:
     """Advance all runs until each converges or reaches ``max_iter``.
 
     A run ends when its largest centroid shift falls below ``tol``; finished
-    runs drop out of the pass. A cluster that lost all points restarts at a
-    pool point drawn with the run's seed.
+    runs drop out of the pass. A cluster that lost all points restarts at the
+    next point of the run's own order.
     """
-    for it in range(max_iter):
+    for _ in range(max_iter):
         live = [r for r in runs if not r.done]
         if not live:
             break
@@ -208,9 +252,13 @@ def lloyd(
             filled = n > 0
             new = np.empty_like(r.centroids)
             new[filled] = sums[filled] / n[filled, None]
-            rng = np.random.default_rng([r.seed, r.restart, it])
-            for c in np.flatnonzero(~filled):
-                new[c] = pool[rng.integers(len(pool))]
+            empty = np.flatnonzero(~filled)
+            if len(empty):
+                wanted = r.k + r.restarted + len(empty)
+                order = start_points(points, key, columns, [(r.seed, r.restart)], wanted)[r.seed, r.restart]
+                for c in empty:
+                    new[c] = order[(r.k + r.restarted) % len(order)]
+                    r.restarted += 1
             # spread around the new means: shift the sums taken around the old ones
             moved = ((new - r.centroids) ** 2).sum(axis=1)
             r.history.append(float((sq[filled] - n[filled] * moved[filled]).sum()))
@@ -223,7 +271,8 @@ def spread_points(std: Standardized) -> DataFrame:
     """Points cached for the iterations.
 
     A small table is spread over the cores; a large one already comes in enough
-    scan partitions and is not shuffled.
+    scan partitions and is not shuffled. Float sums then add up in another order,
+    which may move the last digits and, at the tolerance, the number of passes.
     """
     cores = std.points.sparkSession.sparkContext.defaultParallelism
     points = std.points
@@ -248,9 +297,8 @@ def kmeans(
     """Best of ``n_init`` restarts by inertia, and all restarts."""
     points = spread_points(std)
     try:
-        pool = start_pool(points, key, std.columns)
-        runs = [make_run(pool, k, seed, i) for i in range(n_init)]
-        lloyd(points, std.columns, runs, pool, max_iter, tol)
+        runs = make_runs(points, key, std.columns, [(k, seed, i) for i in range(n_init)])
+        lloyd(points, key, std.columns, runs, max_iter, tol)
     finally:
         points.unpersist()
     return best_of(runs), runs

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import permutations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -69,21 +68,46 @@ def with_run_labels(
 def align_to_first(centroid_sets: list[np.ndarray]) -> list[np.ndarray]:
     """Reorder each run's centroids to sit closest to the first run's.
 
-    Cluster numbers are arbitrary per run; K is at most a handful, so all
-    orders of the K x K distances are compared.
+    Cluster numbers are arbitrary per run. The order of least total distance is
+    an assignment problem on the K x K distances, for any K.
     """
     base = centroid_sets[0]
-    k = len(base)
-    if k > 8:
-        raise ValueError("alignment enumerates orders; use at most 8 clusters")
     out = [base]
     for c in centroid_sets[1:]:
         cost = np.sqrt(((base[:, None, :] - c[None, :, :]) ** 2).sum(axis=2))
-        order = min(permutations(range(k)), key=lambda p: sum(cost[i, p[i]] for i in range(k)))
-        out.append(c[list(order)])
+        out.append(c[least_cost_order(cost)])
     return out
 
 
+def least_cost_order(cost: np.ndarray) -> list[int]:
+    """For each row its column, all different, of least total cost: rows join one by one,
+    each along the shortest augmenting path over reduced costs."""
+    k = len(cost)
+    row_of = np.full(k + 1, -1)  # by column; column k is where a new row starts
+    row_price, column_price = np.zeros(k), np.zeros(k + 1)
+    for row in range(k):
+        row_of[k], column = row, k
+        best, came_from, seen = np.full(k, np.inf), np.full(k, k), np.zeros(k + 1, dtype=bool)
+        while row_of[column] >= 0:
+            seen[column] = True
+            open_ = ~seen[:k]
+            reduced = cost[row_of[column]] - row_price[row_of[column]] - column_price[:k]
+            nearer = open_ & (reduced < best)
+            best[nearer], came_from[nearer] = reduced[nearer], column
+            nearest = int(np.where(open_, best, np.inf).argmin())
+            step = best[nearest]
+            row_price[row_of[seen]] += step
+            column_price[seen] -= step
+            best[open_] -= step
+            column = nearest
+        while column != k:  # hand the columns over along the path
+            row_of[column] = row_of[came_from[column]]
+            column = int(came_from[column])
+    order = np.empty(k, dtype=int)
+    order[row_of[:k]] = np.arange(k)
+    return order.tolist()
+
+
 def inertia_cv(runs: DataFrame) -> DataFrame:
     """Population std of the runs' inertia as a percentage of its mean."""
     return runs.agg(

@@ -45,11 +45,8 @@ def attach_clusters(df: DataFrame, std: km.Standardized, centroids) -> DataFrame
         f: (F.col(c).cast("double") - F.lit(m)) / F.lit(s)
         for c, f, m, s in zip(std.features, std.columns, std.mean, std.std)
     }
-    complete = F.lit(True)
-    for c in std.features:
-        complete = complete & F.col(c).isNotNull()
     return (
-        df.filter(complete)
+        df.filter(km.complete_row(std.features))
         .withColumns(z)
         .withColumn("cluster", km.nearest(std.columns, centroids))
         .drop(*std.columns)
@@ -85,9 +82,8 @@ def k_sweep(
     spark = df.sparkSession
     points = km.spread_points(std)
     try:
-        pool = km.start_pool(points, KEY, std.columns)
-        runs = [km.make_run(pool, k, seed, i) for k in ks for i in range(n_init)]
-        km.lloyd(points, std.columns, runs, pool, max_iter)
+        runs = km.make_runs(points, KEY, std.columns, [(k, seed, i) for k in ks for i in range(n_init)])
+        km.lloyd(points, KEY, std.columns, runs, max_iter)
         rows = hash_sample(points, KEY, sample_size).collect()
     finally:
         points.unpersist()

@@ -1,7 +1,10 @@
 """k-means, silhouette and stability against plain NumPy versions and invariants."""
 
+from hashlib import md5
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from creatorlens import fixed_values as fv
 from creatorlens.operators import kmeans as km
@@ -63,10 +66,9 @@ def sequential(x, start, max_iter=300, tol=1e-6):
 
 def test_batched_runs_equal_sequential_runs(std):
     x = local(std)
-    pool = km.start_pool(std.points, "id", std.columns)
-    runs = [km.make_run(pool, k, seed) for k in (2, 3) for seed in range(3)]
+    runs = km.make_runs(std.points, "id", std.columns, [(k, seed, 0) for k in (2, 3) for seed in range(3)])
     starts = [r.centroids.copy() for r in runs]
-    km.lloyd(std.points, std.columns, runs, pool)
+    km.lloyd(std.points, "id", std.columns, runs)
     for run, start in zip(runs, starts):
         c, history = sequential(x, start)
         assert np.allclose(run.centroids, c)
@@ -92,11 +94,51 @@ def test_k_equals_n_and_too_large(spark):
 
 
 def test_empty_cluster_restarts_at_a_point(std):
-    pool = km.start_pool(std.points, "id", std.columns)
     far = np.array([[0.0, 0.0], [1e6, 1e6]])
     run = km.Run(2, 1, 0, far)
-    km.lloyd(std.points, std.columns, [run], pool, max_iter=1)
-    assert any(np.allclose(run.centroids[1], p) for p in pool)
+    km.lloyd(std.points, "id", std.columns, [run], max_iter=1)
+    third = hashed_order(range(300), 1, 0)[2]
+    assert run.restarted == 1 and np.allclose(run.centroids[1], local(std)[third])
+
+
+def hashed_order(ids, seed, restart):
+    return sorted(ids, key=lambda i: md5(f"{i}:{seed}:{restart}".encode()).hexdigest())
+
+
+def test_starts_come_from_the_whole_table(spark):
+    n = 20_000
+    df = spark.range(n).select("id", F.col("id").cast("double").alias("f0")).repartition(7)
+    runs = km.make_runs(df, "id", ["f0"], [(k, seed, r) for k in (3, 5) for seed in (1, 2) for r in (0, 1)])
+    for run in runs:
+        assert run.centroids.ravel().tolist() == hashed_order(range(n), run.seed, run.restart)[: run.k]
+    assert max(run.centroids.max() for run in runs) > 4096
+
+
+def test_alignment_of_many_clusters():
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(12, 2)) * 10
+    order = rng.permutation(12)
+    aligned = ST.align_to_first([base, base[order] + 0.01])
+    assert np.allclose(aligned[1], base + 0.01)
+
+
+def test_rows_with_nan_are_left_out_of_fit_and_labels(spark):
+    df = spark.createDataFrame([(1, 0.0), (2, 1.0), (3, 9.0), (4, float("nan")), (5, None)], "creator_id int, a double")
+    std = km.standardize(df, "creator_id", ["a"])
+    labelled = S.attach_clusters(df, std, [[-1.0], [1.0]])
+    assert std.n == 3 and sorted(r["creator_id"] for r in labelled.collect()) == [1, 2, 3]
+
+
+@pytest.mark.parametrize("stable,status", [(8496, "FAIL"), (8500, "PASS")])
+def test_verdict_on_the_unrounded_figure(spark, monkeypatch, stable, status):
+    full = spark.range(1).select(F.lit(99.0).alias("pct"))
+    monkeypatch.setattr(V, "_trimmed", lambda *a: full)
+    monkeypatch.setattr(V, "_positive", lambda *a: full)
+    counts = spark.createDataFrame([(10_000, stable)], "n bigint, n_stable bigint")
+    rows = {r["check"]: r for r in V.summary(full, counts).collect()}
+    row = rows["Cluster assignment stability"]
+    assert (row["value"], row["status"]) == (85.0, status)
+    assert {r["all_passed"] for r in rows.values()} == {status == "PASS"}
 
 
 def test_ties_go_to_the_lowest_cluster(spark):
