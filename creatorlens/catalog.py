@@ -320,6 +320,14 @@ def stability_raw(segments: DataFrame) -> DataFrame:
     return ST.stability(labelled, names, len(CENTROIDS), fv.STABILITY_AGREEMENT)
 
 
+#: Digits of sums over many floats, whose last places depend on the order of addition.
+DIGITS = {"inertia": 3, "mean_inertia": 3, "cv_pct": 6, "silhouette": 6}
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, n) for c, n in DIGITS.items() if c in df.columns})
+
+
 def fitted(spark: SparkSession, sf_dir: str) -> S.Segmentation:
     seg = marts.stored(spark, sf_dir, "segments")
     return once(spark, ("fit", sf_dir), lambda: S.segment(seg))
@@ -495,10 +503,10 @@ def cluster_queries() -> dict[str, Query]:
         "cluster_summary": _seg(lambda s: SG.cluster_summary(_named(s))),
         "profile_minmax": _seg(lambda s: SG.profile_minmax(_named(s))),
         "scatter_feed": _seg(lambda s: SG.scatter_feed(_named(s))),
-        "kmeans_fit": lambda spark, sf: km.runs_frame(spark, fitted(spark, sf).runs),
-        "kmeans_history": lambda spark, sf: km.history_frame(spark, fitted(spark, sf).best),
-        "segment_fit": lambda spark, sf: fitted(spark, sf).summary(),
-        "k_sweep": _seg(S.k_sweep),
+        "kmeans_fit": lambda spark, sf: _rounded(km.runs_frame(spark, fitted(spark, sf).runs)),
+        "kmeans_history": lambda spark, sf: _rounded(km.history_frame(spark, fitted(spark, sf).best)),
+        "segment_fit": lambda spark, sf: _rounded(fitted(spark, sf).summary()),
+        "k_sweep": _seg(lambda seg: _rounded(S.k_sweep(seg))),
     }
 
 
@@ -521,10 +529,11 @@ def validation_queries() -> dict[str, Query]:
         "trim_quantile": _seg(V.outlier_trim, SPEC),
         "broad_base": _seg(V.broad_base, SPEC),
         "stability_raw": _seg(stability_raw),
+        "stability_labels": lambda spark, sf: fitted_runs(spark, sf).labels(),
         "stability_runs": lambda spark, sf: fitted_runs(spark, sf).raw(),
         "stability_aligned": lambda spark, sf: fitted_runs(spark, sf).aligned(),
-        "seed_inertia": lambda spark, sf: fitted_runs(spark, sf).inertia_table(),
-        "inertia_cv": lambda spark, sf: ST.inertia_cv(fitted_runs(spark, sf).inertia_table()),
+        "seed_inertia": lambda spark, sf: _rounded(fitted_runs(spark, sf).inertia_table()),
+        "inertia_cv": lambda spark, sf: _rounded(ST.inertia_cv(fitted_runs(spark, sf).inertia_table())),
         "validation_summary": validation_summary,
     }
 

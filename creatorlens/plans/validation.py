@@ -95,6 +95,13 @@ class StabilityRuns:
     def inertia_table(self) -> DataFrame:
         return km.runs_frame(self.std.points.sparkSession, self.runs)
 
+    def labels(self) -> DataFrame:
+        """(creator_id, run, cluster): every point under every run."""
+        sets = [r.label_centroids for r in self.runs]
+        wide = st.with_run_labels(self.std.points, KEY, self.std.columns, sets)
+        by_run = F.array(*[F.col(f"run_{i}") for i in range(len(sets))])
+        return wide.select(KEY, F.posexplode(by_run).alias("run", "cluster"))
+
     def _score(self, centroid_sets, agreement: int) -> DataFrame:
         labelled = st.with_run_labels(self.std.points, KEY, self.std.columns, centroid_sets)
         names = [f"run_{i}" for i in range(len(self.runs))]
