@@ -53,7 +53,7 @@ SWITCHES = 0.15  # chance of a change of character class in a text-like string
 CORRELATION = 0.8  # least correlation of neighbours in an ordered string
 RATE = 0.05  # false discovery rate
 STEPS = 100  # steps per decimal power of p
-DOUBLINGS = 24  # running sums over up to 2^24 matches of a text
+BLOCK = 256  # matches summed up at a time
 
 
 def _let(value: Column, body) -> Column:
@@ -62,18 +62,20 @@ def _let(value: Column, body) -> Column:
 
 
 def _running_sum(numbers: Column) -> Column:
-    """Inclusive sums along an array, by doubling the reach."""
+    """Inclusive sums along an array: inside blocks first, then with what lies before each."""
 
-    def adding(reach: int):
-        def add(a: Column) -> Column:
-            shifted = F.concat(F.array_repeat(F.lit(0).cast("long"), reach), F.slice(a, 1, F.greatest(F.size(a) - reach, F.lit(0))))
-            return F.when(F.size(a) > reach, F.zip_with(a, shifted, lambda x, y: x + y)).otherwise(a)
+    def in_block(block: Column) -> Column:
+        last = lambda acc: F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0).cast("long"))
+        return F.aggregate(block, F.array().cast("array<long>"), lambda acc, x: F.concat(acc, F.array(last(acc) + x)))
 
-        return add
+    def joined(blocks: Column) -> Column:
+        ends = F.transform(blocks, lambda b: F.element_at(b, -1))
+        before = lambda i: F.aggregate(F.slice(ends, 1, i), F.lit(0).cast("long"), lambda acc, x: acc + x)
+        return F.flatten(F.transform(blocks, lambda b, i: _let(before(i), lambda o: F.transform(b, lambda x: x + o))))
 
-    for k in range(DOUBLINGS):
-        numbers = _let(numbers, adding(1 << k))
-    return numbers
+    starts = F.sequence(F.lit(1), F.size(numbers), F.lit(BLOCK))
+    blocks = F.transform(starts, lambda at: in_block(F.slice(numbers, at, F.lit(BLOCK))))
+    return F.when(F.size(numbers) > 0, _let(blocks, joined)).otherwise(F.array().cast("array<long>"))
 
 
 _SPANS = "array<struct<start:long,end:long,token:string>>"
@@ -86,9 +88,8 @@ def matches(text: Column, pattern: str) -> Column:
         sizes = F.transform(found, lambda m: F.length(m).cast("long"))
         # between two ends lie one gap and one match
         steps = F.zip_with(F.slice(gaps, 1, F.greatest(F.size(found), F.lit(0))), sizes, lambda g, s: g + s)
-        return F.zip_with(
-            found, _running_sum(steps), lambda m, end: F.struct((end - F.length(m)).alias("start"), end.alias("end"), m.alias("token"))
-        )
+        ends = _let(steps, _running_sum)
+        return F.zip_with(found, ends, lambda m, end: F.struct((end - F.length(m)).alias("start"), end.alias("end"), m.alias("token")))
 
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     return F.when(text.rlike(pattern), _let(found, placed)).otherwise(F.array().cast(_SPANS)).cast(_SPANS)
@@ -97,7 +98,7 @@ def matches(text: Column, pattern: str) -> Column:
 def _tail(z: Column) -> Column:
     """-log10 of a bound on the upper tail of the normal distribution, 0 for z <= 0
     (Lin's approximation)."""
-    return F.when(z > 0, (0.717 * z + 0.416 * z * z) / math.log(10) + math.log10(2)).otherwise(0.0)
+    return _let(z, lambda x: F.when(x > 0, (0.717 * x + 0.416 * x * x) / math.log(10) + math.log10(2)).otherwise(0.0))
 
 
 def evidence(token: Column) -> Column:
@@ -124,13 +125,15 @@ def evidence(token: Column) -> Column:
         spread = F.sqrt(n * (n - 1) * (n - 2) * (TRIPLE - 1) * equal * equal + all_pairs * (equal - equal * equal))
         uniform = (all_pairs * equal - pairs) / spread
 
-        neighbours = lambda a: F.arrays_zip(F.slice(a, 1, F.size(a) - 1).alias("x"), F.slice(a, 2, F.size(a) - 1).alias("y"))
-        changes = F.size(F.filter(neighbours(kinds), lambda p: p["x"] != p["y"])).cast("double")
+        def neighbours(array: Column, pair) -> Column:
+            return _let(array, lambda a: F.zip_with(F.slice(a, 1, F.size(a) - 1), F.slice(a, 2, F.size(a) - 1), pair))
+
+        changes = F.size(F.filter(neighbours(kinds, lambda x, y: x != y), lambda differs: differs)).cast("double")
         runs = (changes - (n - 1) * SWITCHES) / F.sqrt((n - 1) * SWITCHES * (1 - SWITCHES))
 
         mean = F.aggregate(codes, F.lit(0.0), lambda a, x: a + x) / n
         moments = _let(mean, lambda m: F.array(
-            F.aggregate(neighbours(codes), F.lit(0.0), lambda a, p: a + (p["x"] - m) * (p["y"] - m)),
+            F.aggregate(neighbours(codes, lambda x, y: (x - m) * (y - m)), F.lit(0.0), lambda a, p: a + p),
             F.aggregate(codes, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)),
         ))
         rho = _let(moments, lambda v: F.when(v[1] > 0, F.greatest(F.least(v[0] / v[1], F.lit(0.999)), F.lit(-0.999))).otherwise(0.999))
@@ -162,6 +165,7 @@ def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
         ).alias("base"),
         matches(F.col("text"), RUN).alias("runs"),
     )
+    places = stored(places, "secret-places")
     apart = lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
     tested = places.select(
         "doc_id", "base",
