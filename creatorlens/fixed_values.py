@@ -61,6 +61,29 @@ SUB_TIER_EDGES = (10_000, 25_000, 50_000, 100_000)
 CADENCE_EDGES = (2, 6, 12, 20)
 VIDEO_RETENTION_EDGES = (20, 35, 50)
 
+# --- Fixed values: labels of the intervals, lowest first ---
+CADENCE_LABELS = (
+    "A. Very Low  (<2/mo)",
+    "B. Low       (2–6/mo)",
+    "C. Medium    (6–12/mo)",
+    "D. High      (12–20/mo)",
+    "E. Very High (20+/mo)",
+)
+VIDEO_RETENTION_LABELS = (
+    "D. Very Low (<20%)",
+    "C. Low    (20–35%)",
+    "B. Medium (35–50%)",
+    "A. High   (50%+)",
+)
+
+# --- Fixed values: labels of report rows ---
+TOP_DECILE = "Top 10% by revenue"
+BOTTOM_HALF = "Bottom 50% by revenue"
+GAP_POSITIVE = "positive"
+GAP_NOT_POSITIVE = "zero / negative"
+TRIM_RETAINED = "Retained (bottom 95%)"
+TRIM_REMOVED = "Removed  (top 5% view-spike)"
+
 # --- Fixed values: thresholds of the profiling zones and validation checks ---
 HIGH_RETENTION_ZONE = (48.0, 80.0)
 LOW_RPM_ZONE = (0.0, 2.0)

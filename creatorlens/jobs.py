@@ -129,9 +129,21 @@ def validate(spark: SparkSession, data: str, spec: SegmentSpec = DEFAULT_SPEC) -
     }
 
 
+SHOWN = 40  # rows of a result that the command line prints
+
 JOBS = {"clean": clean, "profile": profile, "segment": segment, "gap": gap, "validate": validate}
 
 
+def store_results(results: dict[str, DataFrame], data: str, job: str) -> dict[str, DataFrame]:
+    """Write every result whole below the data folder; the frames read what was written."""
+    out = {}
+    for name, df in results.items():
+        path = f"{data}/results/{job}/{name}"
+        write_table(df, path)
+        out[name] = df.sparkSession.read.parquet(path)
+    return out
+
+
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawTextHelpFormatter)
     p.add_argument("job", choices=JOBS)
@@ -141,9 +153,10 @@ def main(argv: list[str] | None = None) -> None:
     a = p.parse_args(argv)
     spark = build_session(f"creatorlens-{a.job}", a.master)
     extra = {"csv": a.csv} if a.job in ("clean", "segment") else {}
-    for name, df in JOBS[a.job](spark, a.data, **extra).items():
-        print(f"\n{name}")
-        df.show(40, truncate=False)
+    for name, df in store_results(JOBS[a.job](spark, a.data, **extra), a.data, a.job).items():
+        n = df.count()
+        print(f"\n{name}: {n} rows in {a.data}/results/{a.job}/{name}" + (f", first {SHOWN}" if n > SHOWN else ""))
+        df.show(SHOWN, truncate=False)
     drop_scratch(spark)
 
 

@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .kmeans import portable_hash
 
 BLOCK = 2048
@@ -67,11 +68,14 @@ def _sums(reference: DataFrame, columns: Sequence[str], block: np.ndarray) -> Da
 
 
 def _scores(sums: DataFrame, own: DataFrame) -> DataFrame:
+    return _point_scores(sums.join(F.broadcast(own), "i"))
+
+
+def _point_scores(sums: DataFrame) -> DataFrame:
     """One score per scored point: (b - a) / max(a, b), 0 for a lone point."""
     same = F.col("cluster") == F.col("own")
     per_point = (
-        sums.join(F.broadcast(own), "i")
-        .groupBy("i")
+        sums.groupBy("i")
         .agg(
             F.max(F.when(same, F.col("n"))).alias("n_own"),
             F.max(F.when(same, F.col("total"))).alias("sum_own"),
@@ -95,33 +99,69 @@ def silhouette(
 ) -> DataFrame:
     """(n_scored, silhouette) of rows that carry ``cluster``.
 
-    With a sample size both sides are the sample. With ``None`` every point is
-    scored against every point: blocks of ``BLOCK`` points are scored one pass
-    each, so the work is quadratic in the table. Fewer than two clusters score 0.
+    With a sample size both sides are the sample. With ``None`` every row is
+    scored against every row, whatever its key: the rows are dealt to a grid of
+    blocks, so the work is quadratic in the table but no driver loop, and no
+    pair is a row. Fewer than two clusters score 0.
     """
     spark = labelled.sparkSession
     narrow = labelled.select(key, "cluster", *columns)
-    if sample_size:
-        sample = hash_sample(narrow, key, sample_size, seed).collect()
-        reference = spark.createDataFrame(sample, narrow.schema)
-        parts = [_score_block(reference, columns, sample)]
-    else:
-        parts = []
-        last = None
-        while True:
-            rest = narrow if last is None else narrow.filter(F.col(key) > F.lit(last))
-            block = rest.orderBy(key).limit(BLOCK).collect()
-            if not block:
-                break
-            parts.append(_score_block(narrow, columns, block))
-            last = block[-1][key]
-    n = sum(p[0] for p in parts)
-    total = sum(p[1] for p in parts)
+    if not sample_size:
+        return _all_points(narrow, columns)
+    sample = hash_sample(narrow, key, sample_size, seed).collect()
+    n, total = _score_block(spark.createDataFrame(sample, narrow.schema), columns, sample)
     return spark.createDataFrame(
         [(n, total / n if n else 0.0)], "n_scored bigint, silhouette double"
     )
 
 
+def _all_points(labelled: DataFrame, columns: Sequence[str]) -> DataFrame:
+    cols = list(columns)
+    other = [f"o{j}" for j in range(len(cols))]
+    rows = materialize(
+        labelled.select("cluster", *cols).withColumn("row", F.monotonically_increasing_id()), "silhouette"
+    )
+    blocks = max(1, -(-rows.count() // BLOCK))
+    dealt = F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    scored = rows.select(dealt.alias("r"), every.alias("c"), "row", "cluster", *cols)
+    against = rows.select(
+        every.alias("r"), dealt.alias("c"), F.col("cluster").alias("other"), *[F.col(c).alias(o) for c, o in zip(cols, other)]
+    )
+
+    def cell(left, right):
+        import pyarrow as pa
+
+        parts = [(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0))]
+        if left.num_rows and right.num_rows:
+            dist = np.zeros((left.num_rows, right.num_rows))
+            for c, o in zip(cols, other):
+                diff = left[c].to_numpy()[:, None] - right[o].to_numpy()
+                dist += diff * diff
+            dist = np.sqrt(dist)
+            lab = right["other"].to_numpy()
+            for c in np.unique(lab):
+                mine = lab == c
+                size = left.num_rows
+                parts.append((
+                    left["row"].to_numpy(), left["cluster"].to_numpy().astype(np.int32), np.full(size, c, np.int32),
+                    np.full(size, mine.sum(), np.int64), dist[:, mine].sum(axis=1),
+                ))
+        names = ("i", "own", "cluster", "n", "total")
+        return pa.table(dict(zip(names, (np.concatenate(x) for x in zip(*parts)))))
+
+    sums = (
+        scored.groupBy("r", "c")
+        .cogroup(against.groupBy("r", "c"))
+        .applyInArrow(cell, "i long, own int, cluster int, n long, total double")
+        .groupBy("i", "own", "cluster")
+        .agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    )
+    return _point_scores(sums).agg(
+        F.count("*").alias("n_scored"), F.coalesce(F.avg("score"), F.lit(0.0)).alias("silhouette")
+    )
+
+
 def _score_block(reference: DataFrame, columns: Sequence[str], block: list) -> tuple[int, float]:
     spark = reference.sparkSession
     if not block:

@@ -109,7 +109,7 @@ def by_channel_age(creators: DataFrame) -> DataFrame:
 
 
 def by_cadence(creators: DataFrame, spec: SegmentSpec = DEFAULT_SPEC) -> DataFrame:
-    labels = spec.cadence_labels()
+    labels = list(spec.cadence_labels)
     bucket = bucketize(
         F.col("upload_freq_per_month"), spec.cadence_edges, labels, null_label=labels[-1]
     )
@@ -185,7 +185,7 @@ def revenue_concentration(creators: DataFrame, limit: int = GROUP_LIMIT) -> Data
         return F.coalesce(x > F.lit(v), F.lit(False))
 
     top, half = (at_least(c, v) for c, v in zip(cuts, values))
-    parts = (("Top 10% by revenue", top), ("Bottom 50% by revenue", ~half))
+    parts = ((fv.TOP_DECILE, top), (fv.BOTTOM_HALF, ~half))
     # both segments and the total in one pass
     sums = rows.agg(
         F.sum(x).alias("all"),
@@ -360,7 +360,8 @@ def creator_gap(segments: DataFrame, spec: SegmentSpec = DEFAULT_SPEC) -> DataFr
             F.round("revenue_at_parity", 2).alias("revenue_at_parity"),
             F.round("revenue_gap", 2).alias("revenue_gap"),
         )
-        .orderBy(F.col("revenue_gap").desc())
+        # the id spreads the many gaps of zero over the partitions of the sort
+        .orderBy(F.col("revenue_gap").desc(), "creator_id")
     )
 
 
@@ -413,7 +414,7 @@ def gap_by_sub_tier(segments: DataFrame, spec: SegmentSpec = DEFAULT_SPEC) -> Da
 
 
 def video_retention_buckets(videos: DataFrame, spec: SegmentSpec = DEFAULT_SPEC) -> DataFrame:
-    labels = spec.video_retention_labels()
+    labels = list(spec.video_retention_labels)
     bucket = bucketize(
         F.col("retention_rate"), spec.video_retention_edges, labels, null_label=labels[0]
     )
@@ -449,7 +450,7 @@ def broad_base_check(segments: DataFrame, spec: SegmentSpec = DEFAULT_SPEC) -> D
 
 
 def sub_tier_direction(segments: DataFrame, spec: SegmentSpec = DEFAULT_SPEC) -> DataFrame:
-    direction = F.when(F.avg("revenue_gap") > 0, "positive").otherwise("zero / negative")
+    direction = F.when(F.avg("revenue_gap") > 0, fv.GAP_POSITIVE).otherwise(fv.GAP_NOT_POSITIVE)
     return _sub_tier_gap(segments, spec, direction.alias("gap_direction"))
 
 
@@ -509,8 +510,8 @@ def trim_by_ntile(
         kept = (
             views.isNull() | (views < F.lit(v)) | ((views == F.lit(v)) & (cid <= F.lit(last_id)))
         )
-    label = F.when(kept, F.lit("Retained (bottom 95%)")).otherwise(
-        F.lit("Removed  (top 5% view-spike)")
+    label = F.when(kept, F.lit(fv.TRIM_RETAINED)).otherwise(
+        F.lit(fv.TRIM_REMOVED)
     )
     agg = rows.groupBy(label.alias("group_label")).agg(
         _n("n_creators"), F.sum("revenue_gap").alias("gap")

@@ -42,7 +42,9 @@ class SegmentSpec:
     tier_edges: tuple[int, ...] = fv.TIER_EDGES
     sub_tier_edges: tuple[int, ...] = fv.SUB_TIER_EDGES
     cadence_edges: tuple[int, ...] = fv.CADENCE_EDGES
+    cadence_labels: tuple[str, ...] = fv.CADENCE_LABELS  # lowest interval first
     video_retention_edges: tuple[int, ...] = fv.VIDEO_RETENTION_EDGES
+    video_retention_labels: tuple[str, ...] = fv.VIDEO_RETENTION_LABELS
 
     # -- labels, lowest interval first --
     def tier_labels(self) -> list[str]:
@@ -62,23 +64,6 @@ class SegmentSpec:
         texts = [f"Under {e[0]}", *[f"{a}–{b}" for a, b in zip(e, e[1:])], f"{e[-1]}+"]
         return [f"{c}. {t}" for c, t in zip("ABCDE", texts)]
 
-    def cadence_labels(self) -> list[str]:
-        names = ("Very Low", "Low", "Medium", "High", "Very High")
-        e = [f"{x:g}" for x in self.cadence_edges]
-        texts = [f"(<{e[0]}/mo)", *[f"({a}–{b}/mo)" for a, b in zip(e, e[1:])], f"({e[-1]}+/mo)"]
-        width = max(len(n) for n in names) + 1
-        return [f"{c}. {n.ljust(width)}{t}" for c, n, t in zip("ABCDE", names, texts)]
-
-    def video_retention_labels(self) -> list[str]:
-        """Lowest interval first; the report letters run from the top down."""
-        a, b, c = (f"{x:g}" for x in self.video_retention_edges)
-        return [
-            f"D. Very Low (<{a}%)",
-            f"C. Low    ({a}–{b}%)",
-            f"B. Medium ({b}–{c}%)",
-            f"A. High   ({c}%+)",
-        ]
-
     @property
     def mid_range(self) -> tuple[int, int]:
         return self.tier_edges[1], self.tier_edges[2]

@@ -128,7 +128,7 @@ def reports() -> dict[str, str]:
         subscriber_count, avg_retention_rate, rpm AS actual_rpm, round(parity_rpm, 4) AS parity_rpm,
         views_90d, round(revenue_90d, 2) AS current_revenue,
         round(revenue_at_parity, 2) AS revenue_at_parity, round(gap, 2) AS revenue_gap
-        FROM gaps ORDER BY revenue_gap DESC"""
+        FROM gaps ORDER BY revenue_gap DESC, creator_id"""
     q["q4_3_headline"] = gap + f"""SELECT count(*) AS n_niche_creators,
         {pos} AS creators_with_positive_gap, round(sum(gap), 0) AS total_gap_usd,
         round(avg(gap), 0) AS avg_gap_per_creator,

@@ -171,6 +171,18 @@ def test_silhouette_of_all_points(std, monkeypatch):
     assert row["silhouette"] == pytest.approx(brute_silhouette(x, lab))
 
 
+def test_silhouette_of_all_points_with_repeated_and_null_keys(spark, monkeypatch):
+    monkeypatch.setattr(SIL, "BLOCK", 4)
+    x = np.array([[0.0], [0.1], [0.2], [5.0], [5.1], [9.0], [9.3]])
+    lab = np.array([0, 0, 0, 1, 1, 2, 2])
+    keys = [1, 1, 1, 1, None, None, None]
+    rows = [(k, int(c), float(v)) for k, c, v in zip(keys, lab, x[:, 0])]
+    row = SIL.silhouette(spark.createDataFrame(rows, "id int, cluster int, f0 double"), "id", ["f0"], None).first()
+    assert row["n_scored"] == 7 and row["silhouette"] == pytest.approx(brute_silhouette(x, lab))
+    none = spark.createDataFrame([], "id int, cluster int, f0 double")
+    assert tuple(SIL.silhouette(none, "id", ["f0"], None).first()) == (0, 0.0)
+
+
 def test_silhouette_edge_cases(spark):
     one = spark.createDataFrame([(1, 0, 0.0), (2, 0, 1.0)], "id int, cluster int, f0 double")
     assert SIL.silhouette(one, "id", ["f0"], 500).first()["silhouette"] == 0.0

@@ -101,6 +101,12 @@ def test_pipeline(spark, data):
     assert all(r["all_passed"] == all(c["status"] == "PASS" for c in checks) for r in checks)
 
 
+def test_results_are_stored_whole(spark, data):
+    kept = jobs.store_results(jobs.profile(spark, data), data, "profile")
+    assert kept["histograms"].count() == 200 and kept["correlations"].count() == 49
+    assert spark.read.parquet(f"{data}/results/profile/histograms").count() == 200
+
+
 def test_csv_position_follows_the_file(spark, data):
     df = read_strings(spark, f"{data}/creators_messy.csv", schemas.CREATORS_MESSY)
     ids = [r["creator_id"] for r in df.orderBy("_pos").limit(205).collect()]
