@@ -159,10 +159,10 @@ def test_sub_tier_null_goes_to_the_top(spark):
 
 
 def test_labels():
-    assert DEFAULT_SPEC.cadence_labels() == [
+    assert list(DEFAULT_SPEC.cadence_labels) == [
         "A. Very Low  (<2/mo)", "B. Low       (2–6/mo)", "C. Medium    (6–12/mo)",
         "D. High      (12–20/mo)", "E. Very High (20+/mo)"]
-    assert DEFAULT_SPEC.video_retention_labels()[::-1] == [
+    assert list(DEFAULT_SPEC.video_retention_labels)[::-1] == [
         "A. High   (50%+)", "B. Medium (35–50%)", "C. Low    (20–35%)", "D. Very Low (<20%)"]
     assert DEFAULT_SPEC.sub_tier_labels() == [
         "A. Under 10K", "B. 10K–25K", "C. 25K–50K", "D. 50K–100K", "E. 100K+"]
