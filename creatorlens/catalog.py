@@ -99,12 +99,12 @@ def export_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cleaned_creators(spark: SparkSession, sf_dir: str) -> C.Cleaned:
     raw = marts.stored(spark, sf_dir, "creators_messy")
-    return once(spark, ("creators", sf_dir), lambda: C.clean_creators(raw))
+    return once(spark, ("creators",), sf_dir, lambda: C.clean_creators(raw))
 
 
 def cleaned_videos(spark: SparkSession, sf_dir: str) -> C.Cleaned:
     raw = marts.stored(spark, sf_dir, "videos_messy")
-    return once(spark, ("videos", sf_dir), lambda: C.clean_videos(raw))
+    return once(spark, ("videos",), sf_dir, lambda: C.clean_videos(raw))
 
 
 def _clean_creators(*columns: str) -> Query:
@@ -330,12 +330,12 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 def fitted(spark: SparkSession, sf_dir: str) -> S.Segmentation:
     seg = marts.stored(spark, sf_dir, "segments")
-    return once(spark, ("fit", sf_dir), lambda: S.segment(seg))
+    return once(spark, ("fit",), sf_dir, lambda: S.segment(seg))
 
 
 def fitted_runs(spark: SparkSession, sf_dir: str) -> V.StabilityRuns:
     seg = marts.stored(spark, sf_dir, "segments")
-    return once(spark, ("runs", sf_dir), lambda: V.stability_runs(seg))
+    return once(spark, ("runs",), sf_dir, lambda: V.stability_runs(seg))
 
 
 def validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
+from hashlib import md5
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,9 +63,22 @@ def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> D
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
-def once(spark: SparkSession, key: tuple, build: Callable[[], object]):
-    """Result of ``build``, made once per application: stored tables and fits
-    that several queries read."""
+def input_version(spark: SparkSession, folder: str) -> str:
+    """Changes when a table directly below ``folder`` is replaced or gets other files."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(conf)
+    seen = []
+    for entry in fs.listStatus(path):
+        parts = fs.listStatus(entry.getPath()) if entry.isDirectory() else [entry]
+        seen += [(p.getPath().toString(), p.getLen(), p.getModificationTime()) for p in parts]
+    return md5(repr(sorted(seen)).encode()).hexdigest()
+
+
+def once(spark: SparkSession, key: tuple, folder: str, build: Callable[[], object]):
+    """Result of ``build``, made once per application and state of the input ``folder``:
+    stored tables and fits that several queries read."""
+    key = (*key, folder, input_version(spark, folder))
     results = _RESULTS.setdefault(spark.sparkContext.applicationId, {})
     if key not in results:
         results[key] = build()

@@ -314,6 +314,7 @@ def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     build, partition = STORED[name]
     return once(
         spark,
-        ("table", sf_dir, name),
+        ("table", name),
+        sf_dir,
         lambda: materialize(build(spark, sf_dir), f"mart-{name}", partition),
     )

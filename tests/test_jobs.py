@@ -11,6 +11,7 @@ from creatorlens import jobs
 from creatorlens.operators import segments as SG
 from creatorlens.plans import cleaning as C
 from creatorlens.plans import reports as R
+from creatorlens.session import once
 from creatorlens.sources import marts, schemas
 from creatorlens.sources.readers import (
     MissingInputError,
@@ -169,6 +170,17 @@ def test_csv_malformed_row_fails_unless_allowed(spark, tmp_path, row):
     assert read_strings(spark, path, CSV_SCHEMA, with_position=False, fail_on_malformed=False).count() == 2
 
 
+def test_kept_results_follow_the_input(spark, tmp_path):
+    made = []
+    folder = str(tmp_path / "in")
+    spark.range(3).write.parquet(f"{folder}/t.parquet")
+    for _ in range(2):
+        once(spark, ("rows",), folder, lambda: made.append(1) or len(made))
+    assert len(made) == 1
+    spark.range(5).write.mode("overwrite").parquet(f"{folder}/t.parquet")
+    assert once(spark, ("rows",), folder, lambda: made.append(1) or len(made)) == 2
+
+
 def test_helpers(spark):
     df = spark.createDataFrame([(1, 2)], "a int, b int")
     assert project_existing(df, ["b", "zzz", "a"]).columns == ["b", "a"]
