@@ -55,6 +55,13 @@ def drop_paths(spark: SparkSession, names: Sequence[str]) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches, so that the Python copies of their texts stay small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def with_arrow_columns(
     df: DataFrame,
     fields: Sequence[T.StructField],
@@ -73,7 +80,7 @@ def with_arrow_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
-        for batch in batches:
+        for batch in small_batches(batches):
             columns = [batch.column(i) for i in kept]
             yield pa.RecordBatch.from_arrays(columns + compute(batch), names=names)
 

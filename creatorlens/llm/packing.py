@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts
+from .common import byte_texts, small_batches
 
 OPEN_BINS = 1024
 CHARS_PER_TASK = 1 << 25
@@ -142,7 +142,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int, end_id: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path)
         task, count = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in small_batches(batches):
             rows = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), encode(byte_texts(batch.column(1)))):
                 ids += end
@@ -222,7 +222,7 @@ def pack(
             rows.extend((*item, number, offset) for item, offset in held)
             number += 1
 
-        for batch in batches:
+        for batch in small_batches(batches):
             for item in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 for held in bins.add(item, item[3]):
                     close(held)
