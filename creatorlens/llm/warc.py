@@ -164,6 +164,8 @@ def records(spark: SparkSession, path: str) -> DataFrame:
                     out.append(_parsed(held))
                     held = b""
                 file = name
+                if not held and not value:  # before the first record of a file
+                    continue
                 held = held + VERSION + value if held else value
                 need = _needed(held)
                 if need is not None and len(held) >= need:
@@ -173,7 +175,7 @@ def records(spark: SparkSession, path: str) -> DataFrame:
         if held:
             yield _arrow([_parsed(held)], names)
 
-    return lines.where(F.length("value") > 0).mapInArrow(parse, schema)
+    return lines.mapInArrow(parse, schema)
 
 
 def _needed(data: bytes) -> int | None:
