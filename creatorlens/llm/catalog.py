@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, line_runs, oracle, packing, quality, secrets, simhash_trie, topk, url_cascade, warc
+from . import decontaminate, divergence, langid, line_runs, oracle, packing, quality, secrets, simhash_trie, topk, url_cascade, warc
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -103,8 +103,18 @@ def op10_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judged(pages, URL_RULES, listed)
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk, op2_secrets, op3_decontaminate, op4_line_dedup, op5_quality, op6_simhash, op7_langid, op8_warc, op9_packing, op10_url_cascade)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_topk, op2_secrets, op3_decontaminate, op4_line_dedup, op5_quality, op6_simhash, op7_langid, op8_warc,
+            op9_packing, op10_url_cascade, op13_divergence,
+        )
+    }
 
 
 def all_sql() -> dict[str, str]:
@@ -116,4 +126,5 @@ def all_sql() -> dict[str, str]:
         "op4_line_dedup": oracle.line_dedup(),
         "op8_warc": oracle.warc(),
         "op10_url_cascade": oracle.url_cascade(URL_RULES, LISTED_LABELS),
+        "op13_divergence": oracle.divergence(divergence.MIN_DOCS, divergence.TOP_TERMS),
     }

@@ -93,3 +93,38 @@ SELECT page_id, host, path, rule,
   CASE WHEN kind IS NOT NULL THEN kind WHEN regexp_matches(host, '{listed}') THEN 'block' ELSE 'allow' END AS verdict,
   regexp_matches(host, '{listed}') AS listed
 FROM u LEFT JOIN best USING (r)"""
+
+
+def divergence(min_docs: int, top_terms: int) -> str:
+    words = rf"regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x00-\x60\x7B-\x7F]+')"
+    p = "1 + 1000000000::HUGEINT * ({0} + 2) // ({1} + 2 * v)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {words} AS w FROM documents),
+c AS (
+  SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs
+  FROM (SELECT r, lang, source, unnest(w) AS term FROM d) GROUP BY ALL
+),
+k AS (SELECT lang, term, sum(n)::BIGINT AS n FROM c GROUP BY ALL HAVING sum(docs) >= {min_docs}),
+vs AS (SELECT lang, count(*) AS v, sum(n)::BIGINT AS total FROM k GROUP BY ALL),
+g AS (
+  SELECT lang, source, coalesce(sum(c.n) FILTER (WHERE k.term IS NOT NULL), 0)::BIGINT AS total
+  FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) LEFT JOIN k USING (lang, term) GROUP BY ALL
+),
+s AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, {p.format("coalesce(c.n, 0)", "g.total")} AS p, {p.format("k.n", "vs.total")} AS q
+  FROM g JOIN k USING (lang) JOIN vs USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+),
+pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+    coalesce(sum(CASE WHEN sa.p IS NOT NULL THEN (sa.p - sb.p) * (sa.p - sb.p) // (sa.p + sb.p) END), 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN s sa ON sa.lang = a.lang AND sa.source = a.source
+  LEFT JOIN s sb ON sb.lang = b.lang AND sb.source = b.source AND sb.term = sa.term
+  GROUP BY ALL
+),
+term AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value FROM s WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+  FROM (FROM pair UNION ALL FROM term)
+)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= {top_terms}"""
