@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, divergence, langid, line_runs, oracle, packing, quality, secrets, simhash_trie, topk, url_cascade, warc
+from . import decontaminate, divergence, langid, line_runs, oracle, packing, quality, secrets, simhash_trie, topk, url_cascade, warc, whitening
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -103,6 +103,10 @@ def op10_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judged(pages, URL_RULES, listed)
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"), "embedding", 8, 1024.0, keep=["vec_id"])
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -112,7 +116,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op1_topk, op2_secrets, op3_decontaminate, op4_line_dedup, op5_quality, op6_simhash, op7_langid, op8_warc,
-            op9_packing, op10_url_cascade, op13_divergence,
+            op9_packing, op10_url_cascade, op12_whitening, op13_divergence,
         )
     }
 
