@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, divergence, langid, line_runs, oracle, packing, quality, secrets, simhash_trie, topk, url_cascade, warc, whitening
+from . import decontaminate, divergence, langid, license_scan, line_runs, oracle, packing, quality, secrets, simhash_trie, topk, url_cascade, warc, whitening
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -103,6 +103,21 @@ def op10_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judged(pages, URL_RULES, listed)
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    base, stay = F.col("base.label"), F.col("found.label")
+    starts = F.col("base.start")
+
+    def written(labels):
+        return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+
+    return found.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        written(base).alias("base_labels"), written(F.concat(base, stay)).alias("labels"), "score",
+    )
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings"), "embedding", 8, 1024.0, keep=["vec_id"])
 
@@ -116,7 +131,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op1_topk, op2_secrets, op3_decontaminate, op4_line_dedup, op5_quality, op6_simhash, op7_langid, op8_warc,
-            op9_packing, op10_url_cascade, op12_whitening, op13_divergence,
+            op9_packing, op10_url_cascade, op11_licenses, op12_whitening, op13_divergence,
         )
     }
 

@@ -90,3 +90,14 @@ def with_arrow_columns(
 def byte_texts(column: pa.Array) -> list[bytes]:
     """UTF-8 of a string column; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+def word_parts(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words between the white space of ``data``, those of about ``size`` bytes at a time; no
+    word is cut. ``data`` has no white space but spaces."""
+    at = 0
+    while at < len(data):
+        stop = data.find(b" ", at + size)
+        stop = len(data) if stop < 0 else stop
+        yield data[at:stop].split()
+        at = stop

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_texts, small_batches, stored
+from .common import byte_texts, small_batches, stored, word_parts
 
 MIN_DOCS = 10
 TOP_TERMS = 10
@@ -35,7 +35,6 @@ LEADING = 8  # sources whose counts lead the order of terms
 BLOCK_BITS = 14  # a block has up to 2^14 terms
 TILE_SOURCES = 128  # mean number of sources of a tile
 TALLIED = 200_000  # (group, term) entries that a task holds before it hands them on
-PART_BYTES = 1 << 20
 
 #: A-Z lower-cased, other ASCII but letters a space; every other byte belongs to a term
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -43,16 +42,6 @@ _COUNTS = "lang string, source string, term string, n long, docs long"
 _SUMS = "lang string, source string, item string, value long"
 
 
-def _parts(text: bytes) -> Iterator[list[bytes]]:
-    """The terms of a text, about a part's bytes at a time; no term is cut."""
-    data, at = text.translate(_TABLE), 0
-    while at < len(data):
-        stop = data.find(b" ", at + PART_BYTES)
-        stop = len(data) if stop < 0 else stop
-        yield data[at:stop].split()
-        at = stop
-
-
 def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Occurrences and documents of each (lang, source, term); a group's null term marks that
     the group occurs."""
@@ -77,7 +66,7 @@ def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), byte_texts(batch.column(2))):
             counts = occurrences.setdefault((lang, source), Counter())
             found: set[bytes] = set()
-            for words in _parts(text):
+            for words in word_parts(text.translate(_TABLE)):
                 counts.update(words)
                 found.update(words)
             documents.setdefault((lang, source), Counter()).update(found)
