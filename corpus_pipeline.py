@@ -14,13 +14,11 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creatorlens.llm import common, decontaminate, jaccard, line_runs, packing, quality
+from creatorlens.llm import common, decontaminate, line_runs, packing, quality, simhash_trie
 from creatorlens.llm.catalog import tokenizer_path
 
-#: The SimHash link that near_dedup used before and the older stage test still compares with. No
-#: stage reads them.
 SHINGLE_WORDS = 3
-NEAR_BITS = 3
+NEAR_BITS = 2
 LINE_DOCS = 10
 
 
@@ -37,10 +35,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: that with the smallest doc_id. A group is linked by a
-    similarity of 0.8 and more, of sets of five-word shingles. Documents that line dedup left
-    without a word are one group."""
-    found = jaccard.near_duplicates(docs)
+    """One document of each group stays: that with the smallest doc_id, or any of those without an
+    id if no row has one. Groups are those of the SimHash operator, as the op6 query calls it;
+    documents that line dedup left without a word are one group."""
+    found = simhash_trie.near_duplicates(docs, SHINGLE_WORDS, NEAR_BITS)
     return found.where("first").select(*docs.columns)
 
 
