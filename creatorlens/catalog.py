@@ -32,6 +32,7 @@ from .operators.silhouette import silhouette
 from .plans import cleaning as C
 from .plans import reports as R
 from .plans import segmentation as S
+from .plans import sql_reports as Q
 from .plans import validation as V
 from .session import once, scratch_path
 from .sources import marts, schemas
@@ -352,6 +353,8 @@ def source_queries() -> dict[str, Query]:
         "src_typed": _roundtrip("items", schemas.VIDEOS_CLEAN, "csv"),
         "sink_roundtrip": _roundtrip("segments", schemas.CREATORS_CLEAN, "parquet"),
         "export_segments": export_segments,
+        "sql_views": _seg(Q.gap_by_sub_tier, SPEC),
+        "sql_video_buckets": _table("items", Q.video_buckets, SPEC),
     }
 
 

@@ -5,9 +5,13 @@
     python -m creatorlens.jobs segment  --data DIR
     python -m creatorlens.jobs gap      --data DIR
     python -m creatorlens.jobs validate --data DIR
+    python -m creatorlens.jobs sql      --data DIR --query FILE [--param NAME=VALUE ...]
 
 ``DIR`` holds ``creators_messy.csv`` and ``videos_messy.csv`` (files or
 folders) and receives the results. ``--csv`` also writes headered CSV.
+
+``sql`` runs one statement over the stored tables ``creators``, ``videos`` and, once there is one,
+``creator_segments``; ``:NAME`` in it takes the text of the parameter.
 """
 
 from __future__ import annotations
@@ -27,7 +31,8 @@ from .plans import segmentation as S
 from .plans import validation as V
 from .session import build_session, drop_scratch, materialize
 from .sources import schemas
-from .sources.readers import read_strings, read_typed, write_table
+from .sources.readers import MissingInputError, read_strings, read_typed, write_table
+from .sources.sql import run_sql
 from .specs import DEFAULT_SPEC, SegmentSpec
 
 
@@ -129,9 +134,20 @@ def validate(spark: SparkSession, data: str, spec: SegmentSpec = DEFAULT_SPEC) -
     }
 
 
+def sql(spark: SparkSession, data: str, query: str, params: dict[str, str] | None = None) -> dict:
+    """The result of one SQL statement over the stored tables."""
+    creators, videos = load_clean(spark, data)
+    tables = {"creators": creators, "videos": videos}
+    try:
+        tables["creator_segments"] = load_segments(spark, data)
+    except MissingInputError:
+        pass  # a statement that asks for it fails with its name
+    return {"result": run_sql(spark, query, params, **tables)}
+
+
 SHOWN = 40  # rows of a result that the command line prints
 
-JOBS = {"clean": clean, "profile": profile, "segment": segment, "gap": gap, "validate": validate}
+JOBS = {"clean": clean, "profile": profile, "segment": segment, "gap": gap, "validate": validate, "sql": sql}
 
 
 def store_results(results: dict[str, DataFrame], data: str, job: str) -> dict[str, DataFrame]:
@@ -150,9 +166,15 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--data", required=True)
     p.add_argument("--master", default=None)
     p.add_argument("--csv", action="store_true")
+    p.add_argument("--query", type=argparse.FileType("r", encoding="utf-8"))
+    p.add_argument("--param", action="append", default=[], metavar="NAME=VALUE")
     a = p.parse_args(argv)
+    if (a.job == "sql") != (a.query is not None):
+        p.error("sql needs --query, and only sql takes it")
     spark = build_session(f"creatorlens-{a.job}", a.master)
     extra = {"csv": a.csv} if a.job in ("clean", "segment") else {}
+    if a.job == "sql":
+        extra = {"query": a.query.read(), "params": dict(x.split("=", 1) for x in a.param)}
     for name, df in store_results(JOBS[a.job](spark, a.data, **extra), a.data, a.job).items():
         n = df.count()
         print(f"\n{name}: {n} rows in {a.data}/results/{a.job}/{name}" + (f", first {SHOWN}" if n > SHOWN else ""))

@@ -176,4 +176,6 @@ def reports() -> dict[str, str]:
           CASE WHEN base >= 80 THEN 'PASS' ELSE 'FAIL' END AS broadbase_check,
           round(trim, 1) AS pct_gap_after_trim,
           CASE WHEN trim >= 85 THEN 'PASS' ELSE 'FAIL' END AS outlier_trim_check FROM m"""
+    # the same reports, asked as SQL over views
+    q["sql_views"], q["sql_video_buckets"] = q["q4_5_gap_subtier"], q["q4_6_video_buckets"]
     return q
