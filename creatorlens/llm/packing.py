@@ -13,12 +13,14 @@ gives no rows. Other columns of the input are not read.
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,14 +30,30 @@ from .common import byte_texts, small_batches
 OPEN_BINS = 1024
 CHARS_PER_TASK = 1 << 25
 CACHED_WORDS = 400_000  # of each of two generations
-TEXT_BYTES = 1 << 20
-PUNCTUATION = ".,!?;:|*#%&$"
+TEXT_BYTES = 1 << 22
+PUNCTUATION = b".,!?;:|*#%&$"
 END_OF_WORD = "</w>"
 
 _PIECE = "doc_id long, piece int, start long, length long, ids binary, slot long"
 _PACKED = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
 
 
+_NO_IDS = np.zeros(0, dtype="<u4")
+_WHITE = re.compile(rb"[ \t\n\v\f\r]")
+
+
+def _cut(text: bytes) -> Iterator[bytes]:
+    """Parts of about TEXT_BYTES, cut at white space."""
+    at = 0
+    while len(text) - at > TEXT_BYTES:
+        white = _WHITE.search(text, at + TEXT_BYTES)
+        if not white:
+            break
+        yield text[at : white.start()]
+        at = white.end()
+    yield text[at:]
+
+
 class WordEncoder:
     """Ids of whole texts, by a bounded cache of white-space-separated words.
 
@@ -60,65 +78,115 @@ class WordEncoder:
         )
         if hasattr(self.plain.model, "_resize_cache"):
             self.plain.model._resize_cache(0)  # words seen before never get there
-        probe = "the größe déjà niño naïve strength"
+        probe = "the größe déjà niño naïve strength The GRÖSSE Ünïcode"
         self.by_word = bool(self.ends.any()) and all(
-            self.plain.encode(w, add_special_tokens=False).ids == self.tokenizer.encode(w, add_special_tokens=False).ids
+            self.plain.encode(w.lower(), add_special_tokens=False).ids == self.tokenizer.encode(w, add_special_tokens=False).ids
             for w in [*probe.split(), probe]
         )
+        self.added = [str(t.content).lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        out: list[bytes] = []
-        at = 0
-        while at < len(texts):  # some texts at a time, so that their words need little memory
-            split, size = [], 0
-            while at < len(texts) and size < TEXT_BYTES:
-                split.append(texts[at].split())
-                size += len(texts[at])
-                at += 1
-            new = set().union(*split).difference(self.young)
-            again = new.intersection(self.old)
-            self.young.update((w, self.old[w]) for w in again)
-            self.young.update(self._encode_words(new - again))
-            out += [b"".join(map(self.young.__getitem__, words)) for words in split]
-            if len(self.young) > CACHED_WORDS:
-                self.old, self.young = self.young, {}
-        return out
-
-    def _encode_words(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """A word of letters with punctuation behind it is the ids of both in turn, since
-        the tokenizer splits there; any other word is encoded on its own."""
-        parts: dict[bytes, tuple[bytes, bytes]] = {}
+    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each text, as unsigned 32-bit numbers."""
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        parts: list[tuple[int, bytes]] = []
+        size = 0
+        for n, text in enumerate(texts):
+            for part in _cut(text):
+                parts.append((n, part))
+                size += len(part)
+                if size >= TEXT_BYTES:
+                    self._encode_parts(parts, out)
+                    parts, size = [], 0
+        self._encode_parts(parts, out)
+        return [p[0] if len(p) == 1 else np.concatenate([*p, _NO_IDS]) for p in out]
+
+    def _encode_parts(self, parts: list[tuple[int, bytes]], out: list[list[np.ndarray]]) -> None:
+        """Append the ids of each part to those of its text. A word that occurs often is looked up once."""
+        if not parts:
+            return
+        split = pc.ascii_split_whitespace(pa.array([self._lower(p) for _, p in parts], pa.string()))
+        coded = split.values.dictionary_encode()
+        words = coded.dictionary.cast(pa.binary()).to_pylist()
+        ids = list(map(self.young.get, words))
+        unknown = [i for i, x in enumerate(ids) if x is None]
+        new = {words[i] for i in unknown}
+        again = [w for w in new if w in self.old]
+        self.young.update([(w, self.old[w]) for w in again])
+        self._learn(new.difference(again))
+        for i in unknown:
+            ids[i] = self.young[words[i]]
+        # the ids of all words in a row, then those of each occurrence gathered
+        lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        every = np.frombuffer(b"".join(ids), dtype="<u4")
+        code = coded.indices.to_numpy()
+        held = lengths[code]
+        ends = np.concatenate([[0], np.cumsum(held)])
+        at = np.repeat((np.cumsum(lengths) - lengths)[code] - ends[:-1], held)
+        found = every[at + np.arange(len(at))]
+        edges = ends[split.offsets.to_numpy()]
+        for (n, _), a, b in zip(parts, edges[:-1].tolist(), edges[1:].tolist()):
+            out[n].append(found[a:b])
+        if len(self.young) > CACHED_WORDS:
+            self.old, self.young = self.young, {}
+
+    def _lower(self, text: bytes) -> bytes:
+        """Lower-case ASCII letters make fewer words, and such a tokenizer makes them so itself; but it
+        looks for its added tokens before."""
+        lower = text.lower()
+        return lower if self.by_word and not any(token in lower for token in self.added) else text
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Put the ids of new words into the cache. A word of letters with punctuation behind it is the
+        ids of both in turn, since the tokenizer splits there; any other word is encoded on its own."""
+        ended: list[bytes] = []
+        cores: list[bytes] = []
         alone: list[bytes] = []
-        for word in words:
-            text = word.decode()
-            core = text.rstrip(PUNCTUATION)
-            lower = core.lower()
-            if self.by_word and lower.isalpha() and "Σ" not in core and unicodedata.is_normalized("NFC", core):
-                parts[word] = lower.encode(), text[len(core) :].encode()
-            else:
-                alone.append(word)
-        cores = dict.fromkeys(core for core, _ in parts.values())
-        ids = {c: cache[c] for c in cores for cache in (self.old, self.young) if c in cache}
-        new = [c for c in cores if c not in ids]
-        for i in range(0, len(new), 250):
-            ids.update(self._encode_letters(new[i : i + 250]))
-        tails = {tail for _, tail in parts.values() if tail}
-        ends = dict(zip(tails, self._encode_each(list(tails)))) | {b"": b""}
-        out = {word: ids[core] + ends[tail] for word, (core, tail) in parts.items()}
-        out.update(zip(alone, self._encode_each(alone)))
-        return out | ids
-
-    def _encode_letters(self, words: list[bytes]) -> dict[bytes, bytes]:
+        plain: set[bytes] = set()
+        words.discard(b"")  # beside leading white space
+        self.young[b""] = b""
+        for word in words if self.by_word else ():
+            core = word.rstrip(PUNCTUATION)
+            if not core.isalpha():  # more than ASCII letters
+                text = core.decode()
+                lower = text.lower()
+                if not lower.isalpha() or "Σ" in text or not unicodedata.is_normalized("NFC", text):
+                    alone.append(word)
+                    continue
+                core = lower.encode()
+            plain.add(core)
+            if core != word:
+                ended.append(word)
+                cores.append(core)
+        young = self.young
+        todo = []
+        for core in plain:
+            if core not in young:
+                known = self.old.get(core)
+                if known:
+                    young[core] = known
+                else:
+                    todo.append(core)
+        for i in range(0, len(todo), 250):
+            self._encode_letters(todo[i : i + 250])
+        rests = [word[len(word.rstrip(PUNCTUATION)) :] for word in ended]
+        tails = list(set(rests))
+        ends = dict(zip(tails, self._encode_each(tails)))
+        for word, core, rest in zip(ended, cores, rests):
+            young[word] = young[core] + ends[rest]
+        alone = alone if self.by_word else list(words)
+        young.update(zip(alone, self._encode_each(alone)))
+
+    def _encode_letters(self, words: list[bytes]) -> None:
         """Words of letters only: each ends where a token with the end mark stands."""
         ids = np.array(self.plain.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
         stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) != len(words):
-            return dict(zip(words, self._encode_each(words)))
+            self.young.update(zip(words, self._encode_each(words)))
+            return
         data, stops = ids.tobytes(), (stops * 4).tolist()
-        return {w: data[a:b] for w, a, b in zip(words, [0, *stops], stops)}
+        self.young.update(zip(words, [data[a:b] for a, b in zip([0, *stops], stops)]))
 
     def _encode_each(self, words: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False) if words else []
@@ -137,7 +205,7 @@ def encoder(path: str) -> WordEncoder:
 
 def pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int, end_id: int = 0) -> DataFrame:
     """One row per piece; ``slot`` numbers the pieces for an even deal."""
-    end = np.array([end_id], dtype="<u4").tobytes()
+    end = np.array([end_id], dtype="<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path)
@@ -145,10 +213,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int, end_id: int =
         for batch in small_batches(batches):
             rows = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), encode(byte_texts(batch.column(1)))):
-                ids += end
-                for n, at in enumerate(range(0, len(ids), 4 * max_tokens)):
-                    part = ids[at : at + 4 * max_tokens]
-                    rows.append((doc_id, n, at // 4, len(part) // 4, part, (task << 40) + count))
+                ids = np.concatenate([ids, end])
+                for n, at in enumerate(range(0, len(ids), max_tokens)):
+                    part = ids[at : at + max_tokens]
+                    rows.append((doc_id, n, at, len(part), part.tobytes(), (task << 40) + count))
                     count += 1
             yield _batch(rows, ("doc_id", "piece", "start", "length", "ids", "slot"))
 

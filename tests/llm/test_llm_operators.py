@@ -419,9 +419,10 @@ def test_word_cache_evicts_and_stays_right(monkeypatch):
     monkeypatch.setattr(packing, "TEXT_BYTES", 20)
     encode = packing.WordEncoder(tokenizer_path())
     texts = [t or "" for t in TEXTS[:14]] * 2 + ["İstanbul ΣΟΦΟΣ e\u0301te\u0301 a\u00a0b\u2003c <|endoftext|>x ½ don't", "a\x1cb\x85c"]
+    texts += ["X<|ENDOFTEXT|>Y <|EndOfText|> <|endoftext|>", " Lead  and TRAIL\t\n", "ΑΣ ΑΣA ÀÉ!!! Wörter, Wörter. WÖRTER?!"]
     got = encode([t.encode() for t in texts])
     want = [np.array(encode.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
-    assert got == want
+    assert [g.tobytes() for g in got] == want
 
 
 # --- 10
