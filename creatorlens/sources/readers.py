@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import csv
 from collections.abc import Iterable, Sequence
-from multiprocessing.pool import ThreadPool
 from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
@@ -12,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .csv_split import first_lines, records
+
 POSITION = "_pos"
 BAD_ROW = "_bad_row"
 
@@ -36,20 +37,18 @@ def _guard(load, path: str, made_by: str) -> DataFrame:
         raise
 
 
-def _header(spark: SparkSession, file: str) -> tuple[str, ...]:
-    """Column names in the first line of a file; none if the file is empty."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(file)
-    stream = path.getFileSystem(conf).open(path)
-    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
-    reader = jvm.java.io.BufferedReader(
-        jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8")
-    )
-    try:
-        line = reader.readLine()
-    finally:
-        reader.close()
-    return tuple(next(csv.reader([line.removeprefix("\ufeff")]), ())) if line else ()
+def _columns(header: str) -> tuple[str, ...]:
+    """Column names in the first line of a file."""
+    return tuple(next(csv.reader([header]), ()))
+
+
+def _parsed_records(spark: SparkSession, files: list[str], schema: T.StructType) -> DataFrame:
+    """Rows of files whose quoted cells may hold line breaks, with the place of each as ``_at``."""
+    text = F.regexp_replace("text", "\r$", "")
+    body = records(spark, files).where("block > 0 or row > 0").withColumn("text", text).where(F.trim("text") != "")
+    ddl = ", ".join("`{}` string".format(n.replace("`", "``")) for n in schema.names)
+    options = {"quote": '"', "escape": '"', "multiLine": "true", "columnNameOfCorruptRecord": BAD_ROW}
+    return body.select(F.from_csv("text", ddl, options).alias("r"), F.struct("file", "block", "row").alias("_at")).select("r.*", "_at")
 
 
 def _csv_by_name(
@@ -58,20 +57,19 @@ def _csv_by_name(
     names: Sequence[str],
     multi_line: bool,
     fail_on_malformed: bool,
-    extra: Sequence[Column] = (),
+    with_position: bool = False,
+    quoted_breaks: bool = False,
 ) -> DataFrame:
     """Headered CSV files as text, columns found by name.
 
-    Spark applies a schema by place, so every file's header is read first and files of one
-    header are read together; their columns may stand in any order, and others may stand
+    Spark applies a schema by place, so every file's header is read first, by tasks, and files
+    of one header are read together; their columns may stand in any order, and others may stand
     between them. A row whose number of cells differs from its header's makes the read fail,
     or is cut and padded if ``fail_on_malformed`` is off.
     """
-    files = [unquote(f) for f in spark.read.text(path).inputFiles()]
-    with ThreadPool(16) as pool:
-        headers = pool.map(lambda f: _header(spark, f), files)
     groups: dict[tuple[str, ...], list[str]] = {}
-    for file, header in zip(files, headers):
+    for file, line in sorted(first_lines(spark, path)):
+        file, header = unquote(file), _columns(line)
         if not header:
             continue
         missing = [n for n in names if n not in header]
@@ -83,18 +81,27 @@ def _csv_by_name(
         if len(set(header)) < len(header):
             raise ValueError(f"{members[0]}: a column name occurs twice")
         fields = [T.StructField(n, T.StringType()) for n in (*header, BAD_ROW)]
-        df = (
-            spark.read.schema(T.StructType(fields))
-            .option("header", True).option("quote", '"').option("escape", '"')
-            .option("multiLine", multi_line).option("columnNameOfCorruptRecord", BAD_ROW)
-            .csv(members)
-        )
+        if quoted_breaks:
+            df = _parsed_records(spark, members, T.StructType(fields))
+            place = F.col("_at")
+        else:
+            df = (
+                spark.read.schema(T.StructType(fields))
+                .option("header", True).option("quote", '"').option("escape", '"')
+                .option("multiLine", multi_line).option("columnNameOfCorruptRecord", BAD_ROW)
+                .csv(members)
+            )
+            place = F.struct(
+                F.col("_metadata.file_path").alias("file"),
+                F.col("_metadata.file_block_start").alias("block"),
+                F.monotonically_increasing_id().alias("row"),
+            )
         if fail_on_malformed:
             # with a data column in it, since Spark reads no file for its bad rows alone
             first = F.coalesce(F.col(f"`{names[0]}`"), F.lit(""))
             text = F.concat(F.lit("row with too many or too few cells: "), F.substring(BAD_ROW, 1, 200), F.lit(" / "), first)
             df = df.where(F.when(F.col(BAD_ROW).isNotNull(), F.raise_error(text).cast("boolean")).otherwise(True))
-        df = df.select(*[F.col(f"`{n}`") for n in names], *extra)
+        df = df.select(*[F.col(f"`{n}`") for n in names], *[place.alias(POSITION)] * with_position)
         out = df if out is None else out.union(df)
     if out is None:
         out = spark.createDataFrame([], T.StructType([T.StructField(n, T.StringType()) for n in names]))
@@ -109,23 +116,21 @@ def read_strings(
     with_position: bool = True,
     multi_line: bool = False,
     fail_on_malformed: bool = True,
+    quoted_breaks: bool = False,
 ) -> DataFrame:
     """Headered CSV with every column as text, plus each row's place in its file.
 
     Columns are found by name. Cells holding one of the usual missing-value texts are read
-    as null. ``multi_line`` allows line breaks in quoted cells, at the price that one task
-    reads a whole file.
+    as null. ``quoted_breaks`` allows line breaks in quoted cells and still splits files over
+    tasks; quotes must stand around cells and be doubled inside, a quote never closed takes the
+    rest of its file, and lines must end in \\n or \\r\\n. ``multi_line`` leaves all that to Spark's own
+    reader, at the price that one task reads a whole file.
 
     The position orders rows by file, block and row within the block, so
     "first occurrence" does not depend on how Spark packs files into tasks.
     """
-    pos = F.struct(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("row"),
-    ).alias(POSITION)
     df = _guard(
-        lambda: _csv_by_name(spark, path, schema.names, multi_line, fail_on_malformed, [pos] if with_position else []),
+        lambda: _csv_by_name(spark, path, schema.names, multi_line, fail_on_malformed, with_position, quoted_breaks),
         path,
         made_by,
     )
@@ -144,12 +149,13 @@ def read_typed(
     fmt: str = "parquet",
     made_by: str = "the cleaning job",
     multi_line: bool = False,
+    quoted_breaks: bool = False,
 ) -> DataFrame:
     """Typed table from Parquet or headered CSV (columns by name, dates as yyyy-MM-dd; a
     cell that does not fit its type is null)."""
     if fmt != "csv":
         return _guard(lambda: spark.read.schema(schema).format(fmt).load(path), path, made_by)
-    df = _guard(lambda: _csv_by_name(spark, path, schema.names, multi_line, True), path, made_by)
+    df = _guard(lambda: _csv_by_name(spark, path, schema.names, multi_line, True, quoted_breaks=quoted_breaks), path, made_by)
     return df.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema])
 
 
