@@ -5,6 +5,15 @@ per iteration assigns every point under every live run and reduces to one row
 per (run, cluster). Only those sums reach the driver. Points are read as Arrow
 batches and reduced with matrix arithmetic inside each task, so no per-point
 row leaves a task.
+
+Once a run moves little, most of its points cannot change cluster: by the triangle
+inequality a point keeps its cluster while no centroid has moved by half of its
+margin, the distance to the second nearest centroid less that to the nearest. A pass
+then splits the points: those of a wide margin are settled and stay in as sums, the
+others, a bounded number, come to the driver, and the run goes on from the settled
+sums and the few open points, without a job per iteration, until its centroids have
+moved by half the margin. Then a pass over all points begins anew. Labels are those
+of plain iteration; settled points are not measured again.
 """
 
 from __future__ import annotations
@@ -16,7 +25,18 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 SMALL_TASK = 200_000  # rows per core below which a table counts as small
+OPEN_SHARE = 0.25  # of the points that a split may leave open
+OPEN_ROWS = 400_000  # open points, of all runs together, that may come to the driver
+#: Margins counted in a pass, as upper ends; a run's margin is chosen among them.
+MARGINS = 10.0 ** np.arange(-7, 1.01, 0.125)
+COUNTED = 8  # one of so many points is counted; the counts only choose a margin
+BLOCK = 2048  # points measured at a time
+REACH = 6.0, 60.0  # a margin is at least and about at most so many times the last move of the centroids
+PATIENCE = 3  # passes that a run ready to be split waits until half of the others are
+STARTS_SPARE = 6.0  # standard deviations of spare in the expected number of start candidates
 
 
 def portable_hash(key: str, seed: int = 0) -> Column:
@@ -127,6 +147,10 @@ class Run:
     history: list[float] = field(default_factory=list)
     done: bool = False
     restarted: int = 0  # clusters that were emptied and placed anew so far
+    moved: float = np.inf  # largest move of a centroid in the last iteration
+    margins: np.ndarray | None = None  # points of the last pass with a margin up to each of MARGINS
+    points: int = 0  # of the last pass
+    distances: int = 0  # point-to-centroid distances measured
 
     @property
     def inertia(self) -> float:
@@ -139,38 +163,36 @@ def start_points(
     """The first ``count`` points of the whole table in the order of each (seed, restart).
 
     The order is that of md5(key:seed:restart), which any SQL engine can repeat; the key's
-    features break ties. Each task keeps ``count`` points per order, in one pass.
+    features break ties. Only rows whose hash lies below a share of all hashes that holds enough
+    rows are ordered at all; the share grows where it held too few.
     """
     cols, orders = list(columns), list(dict.fromkeys(orders))
-    suffixes = [f":{seed}:{restart}".encode() for seed, restart in orders]
-
-    def first_of_task(batches):
-        import heapq
-        from hashlib import md5
+    n = points.count()
+    out: dict[tuple[int, int], np.ndarray] = {}
+    expected = count + STARTS_SPARE * count**0.5 + STARTS_SPARE**2
+    while len(out) < len(orders):
+        open_ = [o for o in orders if o not in out]
+        share = expected / n if n else 1.0
+        # hashes are uniform: those below the share hold about ``expected`` rows
+        limit = None if share >= 1 else f"{int(share * 16**12):012x}"
+        text = F.col(key).cast("string")
+        hashes = [F.struct(F.lit(i).alias("slot"), _order_hash(text, *o).alias("h")) for i, o in enumerate(open_)]
+        near = F.array(*hashes) if limit is None else F.filter(F.array(*hashes), lambda x: x["h"] < limit)
+        order = Window.partitionBy("slot").orderBy("h", *cols)
+        rows = points.select(F.inline(near), *cols).withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= count).collect()
+        found: dict[int, list] = {i: [] for i in range(len(open_))}
+        for r in sorted(rows, key=lambda r: (r["slot"], r["rn"])):
+            found[r["slot"]].append([r[c] for c in cols])
+        for i, o in enumerate(open_):
+            if limit is None or len(found[i]) == count:
+                out[o] = np.array(found[i], dtype=float).reshape(len(found[i]), len(cols))
+        expected *= 4  # too few below the share: look further
+    return out
 
-        import pyarrow as pa
 
-        held: list[list[tuple]] = [[] for _ in suffixes]
-        for batch in batches:
-            keys = [(k or "").encode() for k in batch.column(0).to_pylist()]
-            values = list(zip(*(c.to_pylist() for c in batch.columns[1:])))
-            for i, suffix in enumerate(suffixes):
-                ordered = ((md5(k + suffix).hexdigest(), v) for k, v in zip(keys, values))
-                held[i] = heapq.nsmallest(count, (*held[i], *heapq.nsmallest(count, ordered)))
-        rows = [(i, h, *v) for i, hs in enumerate(held) for h, v in hs]
-        names = ["slot", "h", *cols]
-        data = list(zip(*rows)) or [()] * len(names)
-        kinds = [pa.int32(), pa.string(), *[pa.float64()] * len(cols)]
-        yield pa.RecordBatch.from_arrays([pa.array(d, k) for d, k in zip(data, kinds)], names=names)
-
-    schema = ", ".join(["slot int, h string", *[f"{c} double" for c in cols]])
-    kept = points.select(F.col(key).cast("string"), *cols).mapInArrow(first_of_task, schema)
-    order = Window.partitionBy("slot").orderBy("h", *cols)
-    rows = kept.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= count).collect()
-    out: dict[tuple[int, int], list] = {o: [] for o in orders}
-    for r in sorted(rows, key=lambda r: (r["slot"], r["rn"])):
-        out[orders[r["slot"]]].append([r[c] for c in cols])
-    return {o: np.array(v, dtype=float).reshape(len(v), len(cols)) for o, v in out.items()}
+def _order_hash(key: Column, seed: int, restart: int) -> Column:
+    """Place of a row in an order; a row without key hashes as the empty text."""
+    return F.md5(F.concat(F.coalesce(key, F.lit("")), F.lit(f":{seed}:{restart}")))
 
 
 def make_runs(
@@ -184,49 +206,160 @@ def make_runs(
     return [Run(k, seed, restart, starts[seed, restart][:k].copy()) for k, seed, restart in specs]
 
 
-def _pass(
-    points: DataFrame, columns: Sequence[str], centroid_sets: list[np.ndarray]
-) -> list[np.ndarray]:
-    """One scan: per centroid set a (K, d + 2) array of n, squared distance, sums.
+def _measured(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """Squared distances of points to centroids."""
+    dist = np.zeros((len(x), len(centroids)))
+    for j in range(x.shape[1]):
+        diff = x[:, j : j + 1] - centroids[:, j]
+        dist += diff * diff
+    return dist
 
-    Each task reduces its points to one row per (set, cluster); those are summed
-    over tasks, and only the totals are collected.
-    """
-    cols, sets = list(columns), [np.ascontiguousarray(c) for c in centroid_sets]
-    d = len(cols)
-    stacked = np.concatenate(sets)
+
+def _summed(x: np.ndarray, dist: np.ndarray, near: np.ndarray, k: int) -> np.ndarray:
+    """(k, d + 2): n, squared distance and sums of the points of each cluster."""
+    weights = [None, dist[np.arange(len(x)), near], *x.T]
+    return np.stack([np.bincount(near, weights=w, minlength=k) for w in weights], axis=1)
+
+
+def _margin(dist: np.ndarray) -> np.ndarray:
+    """Distance to the second nearest centroid less that to the nearest."""
+    if dist.shape[1] < 2:
+        return np.full(len(dist), np.inf)
+    rows, near = np.arange(len(dist)), np.argmin(dist, axis=1)
+    first = dist[rows, near]
+    rest = dist.copy()
+    rest[rows, near] = np.inf
+    return np.sqrt(rest.min(axis=1)) - np.sqrt(first)
+
+
+def _scan(columns: Sequence[str], sets: list[np.ndarray], counted: list[bool], margins: list[float | None]):
+    """The function of a pass. A row of its output is (part, slot, numbers): sums of a cluster
+    (part 0; of settled points only in a run that is split), counted margins of a run (part 1), or an
+    open point of a run (part 2)."""
+    d, stacked = len(columns), np.concatenate(sets)
     ends = np.cumsum([len(s) for s in sets]).tolist()
     spans = list(zip([0, *ends[:-1]], ends))
+    width = d + 2
+    lines = -(-len(MARGINS) // width)  # rows that hold the counted margins of a run
 
-    def reduce_task(batches):
-        import numpy as np
+    def run(batches):
         import pyarrow as pa
 
-        totals = np.zeros((len(stacked), d + 2))
+        totals = np.zeros((len(stacked), width))
+        counts = np.zeros((len(sets), lines * width))
+
+        def batch_of(part: int, slots: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+            columns = [np.full(len(slots), part, np.int32), slots.astype(np.int32), *np.ascontiguousarray(values.T)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["part", "slot", *(f"t{w}" for w in range(width))])
+
         for batch in batches:
             x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-            for lo in range(0, len(x), 8192):
-                part = x[lo : lo + 8192]
-                dist = np.zeros((len(part), len(stacked)))
-                for j in range(d):
-                    diff = part[:, j : j + 1] - stacked[:, j]
-                    dist += diff * diff
-                rows = np.arange(len(part))
-                for a, b in spans:
-                    near = np.argmin(dist[:, a:b], axis=1)
-                    weights = [None, dist[rows, a + near], *part.T]
-                    for w, values in enumerate(weights):
-                        totals[a:b, w] += np.bincount(near, weights=values, minlength=b - a)
-        slots = pa.array(np.arange(len(totals), dtype=np.int32))
-        yield pa.RecordBatch.from_arrays([slots, *[pa.array(t) for t in totals.T]], names=["slot", *names])
-
-    names = [f"t{w}" for w in range(d + 2)]
-    schema = ", ".join(["slot int", *[f"{n} double" for n in names]])
-    partial = points.select(*cols).mapInArrow(reduce_task, schema)
-    totals = np.zeros((stacked.shape[0], d + 2))
-    for slot, *values in partial.groupBy("slot").agg(*[F.sum(n) for n in names]).collect():
-        totals[slot] = values
-    return [totals[a:b] for a, b in spans]
+            for lo in range(0, len(x), BLOCK):
+                part = x[lo : lo + BLOCK]
+                every = _measured(part, stacked)
+                for i, (a, b) in enumerate(spans):
+                    dist = every[:, a:b]
+                    near = np.argmin(dist, axis=1)
+                    if counted[i] and margins[i] is None:
+                        margin = np.sort(_margin(dist[::COUNTED]))
+                        counts[i, : len(MARGINS)] += COUNTED * np.searchsorted(margin, MARGINS, side="right")
+                    if margins[i] is None:
+                        totals[a:b] += _summed(part, dist, near, b - a)
+                        continue
+                    settled = _margin(dist) > margins[i]
+                    totals[a:b] += _summed(part[settled], dist[settled], near[settled], b - a)
+                    open_ = part[~settled]
+                    yield batch_of(2, np.full(len(open_), i), np.pad(open_, ((0, 0), (0, 2))))
+        yield batch_of(0, np.arange(len(stacked)), totals)
+        yield batch_of(1, np.repeat(np.arange(len(sets)) * lines, lines) + np.tile(np.arange(lines), len(sets)), counts.reshape(-1, width))
+
+    schema = ", ".join(["part int, slot int", *[f"t{w} double" for w in range(width)]])
+    return run, schema, spans, lines
+
+
+def _pass(
+    points: DataFrame,
+    columns: Sequence[str],
+    sets: list[np.ndarray],
+    counted: list[bool],
+    margins: list[float | None],
+) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray] | None]:
+    """One scan of the points for centroid sets: per set a (K, d + 2) array of n, squared distance and
+    sums; the counted margins; and the open points of the sets with a margin, or None if they are
+    more than OPEN_ROWS.
+
+    Each task reduces its points to one row per (set, cluster); those are summed over tasks."""
+    run, schema, spans, lines = _scan(columns, sets, counted, margins)
+    found = points.select(*columns).mapInArrow(run, schema)
+    split = any(m is not None for m in margins)
+    if split:
+        found = materialize(found, "kmeans-split")  # read by its sums, its size and its rows
+    names = [f"t{w}" for w in range(len(columns) + 2)]
+    totals = np.zeros((spans[-1][1], len(names)))
+    counts = np.zeros((len(sets) * lines, len(names)))
+    summed = found.where("part < 2").groupBy("part", "slot").agg(*[F.sum(n) for n in names], F.count("*"))
+    for part, slot, *values, _ in summed.collect():
+        (totals if part == 0 else counts)[slot] = values
+    open_points: list[np.ndarray] | None = [np.zeros((0, len(columns)))] * len(sets)
+    if split:
+        rows = found.where("part = 2").select("slot", *names[: len(columns)])
+        if rows.count() > OPEN_ROWS:
+            open_points = None
+        else:
+            table = rows.toArrow()
+            slot = table["slot"].to_numpy()
+            x = np.column_stack([table[n].to_numpy() for n in names[: len(columns)]])
+            open_points = [x[slot == i] for i in range(len(sets))]
+    return [totals[a:b] for a, b in spans], list(counts.reshape(len(sets), -1)[:, : len(MARGINS)]), open_points
+
+
+def _advance(run: Run, totals: np.ndarray, tol: float, place=None) -> bool:
+    """Move a run's centroids to the means of its clusters; False, and nothing done, if a cluster is
+    empty and ``place`` gives no centroid for it."""
+    n, sq, sums = totals[:, 0], totals[:, 1], totals[:, 2:]
+    filled = n > 0
+    if not filled.all() and place is None:
+        return False
+    new = np.empty_like(run.centroids)
+    new[filled] = sums[filled] / n[filled, None]
+    for c, point in zip(np.flatnonzero(~filled), place(int((~filled).sum())) if not filled.all() else ()):
+        new[c] = point
+    # spread around the new means: shift the sums taken around the old ones
+    moved = ((new - run.centroids) ** 2).sum(axis=1)
+    run.history.append(float((sq[filled] - n[filled] * moved[filled]).sum()))
+    run.label_centroids, run.centroids = run.centroids, new
+    run.moved = float(np.sqrt(moved.max()))
+    run.done = bool(run.moved < tol)
+    return True
+
+
+def _go_on(run: Run, settled: np.ndarray, points: np.ndarray, margin: float, max_iter: int, tol: float) -> None:
+    """Iterate on settled sums and open points while the settled ones cannot change cluster."""
+    base = run.centroids
+    around = settled[:, 2:] - settled[:, :1] * base  # sums of the differences from ``base``
+    while not run.done and len(run.history) < max_iter:
+        shift = run.centroids - base
+        if 2 * np.sqrt((shift**2).sum(axis=1)).max() >= margin * (1 - 1e-9):
+            return
+        totals = settled.copy()
+        totals[:, 1] += settled[:, 0] * (shift**2).sum(axis=1) - 2 * (shift * around).sum(axis=1)
+        dist = _measured(points, run.centroids)
+        totals += _summed(points, dist, np.argmin(dist, axis=1), run.k)
+        run.distances += dist.size
+        if not _advance(run, totals, tol):
+            return
+
+
+def _chosen_margin(run: Run, rows: int) -> float | None:
+    """A counted margin that leaves few points open, at most ``rows``, and is worth a split, if there is one."""
+    if run.margins is None or run.k < 2:
+        return None
+    fits = MARGINS[run.margins <= min(rows, OPEN_SHARE * run.points)]
+    fits = fits[fits >= REACH[0] * run.moved]
+    if not len(fits):
+        return None
+    enough = fits[fits >= REACH[1] * run.moved]
+    return float(enough[0] if len(enough) else fits[-1])
 
 
 def lloyd(
@@ -243,27 +376,36 @@ def lloyd(
     runs drop out of the pass. A cluster that lost all points restarts at the
     next point of the run's own order.
     """
-    for _ in range(max_iter):
-        live = [r for r in runs if not r.done]
-        if not live:
-            break
-        for r, totals in zip(live, _pass(points, columns, [r.centroids for r in live])):
-            n, sq, sums = totals[:, 0], totals[:, 1], totals[:, 2:]
-            filled = n > 0
-            new = np.empty_like(r.centroids)
-            new[filled] = sums[filled] / n[filled, None]
-            empty = np.flatnonzero(~filled)
-            if len(empty):
-                wanted = r.k + r.restarted + len(empty)
-                order = start_points(points, key, columns, [(r.seed, r.restart)], wanted)[r.seed, r.restart]
-                for c in empty:
-                    new[c] = order[(r.k + r.restarted) % len(order)]
-                    r.restarted += 1
-            # spread around the new means: shift the sums taken around the old ones
-            moved = ((new - r.centroids) ** 2).sum(axis=1)
-            r.history.append(float((sq[filled] - n[filled] * moved[filled]).sum()))
-            r.label_centroids, r.centroids = r.centroids, new
-            r.done = bool(np.sqrt(moved.max()) < tol)
+    waited = 0
+    while live := [r for r in runs if not r.done and len(r.history) < max_iter]:
+        margins = [_chosen_margin(r, OPEN_ROWS // len(live)) for r in live]
+        ready = sum(m is not None for m in margins)
+        waited = waited + 1 if ready else 0
+        if 2 * ready < len(live) and waited < PATIENCE:
+            margins = [None] * len(live)
+        else:
+            waited = 0
+        counted = [r.moved < MARGINS[-1] / REACH[0] for r in live]
+        before = [r.centroids for r in live]
+        totals, counts, open_points = _pass(points, columns, before, counted, margins)
+        for r, total, count, asked, margin, i in zip(live, totals, counts, counted, margins, range(len(live))):
+            still_open = len(open_points[i]) if margin is not None and open_points is not None else 0
+            r.points = int(total[:, 0].sum()) + still_open
+            r.distances += r.points * r.k
+            if margin is not None:
+                if open_points is None:
+                    r.margins = None  # out of date: to be counted again before the next split
+                else:
+                    _go_on(r, total, open_points[i], margin, max_iter, tol)
+                continue
+            r.margins = count if asked else None
+
+            def place(wanted: int, r: Run = r) -> list[np.ndarray]:
+                order = start_points(points, key, columns, [(r.seed, r.restart)], r.k + r.restarted + wanted)[r.seed, r.restart]
+                r.restarted += wanted
+                return [order[(r.k + r.restarted - wanted + i) % len(order)] for i in range(wanted)]
+
+            _advance(r, total, tol, place)
     return runs
 
 

@@ -254,3 +254,72 @@ def test_inertia_matches_history(std):
     means = {r["cluster"]: (r["f0"], r["f1"]) for r in km.update_centroids(a, std.columns).collect()}
     for k in (0, 1):
         assert np.allclose(means[k], x[lab == k].mean(axis=0))
+
+
+def _plain(points, columns, runs, max_iter=300, tol=1e-6):
+    """Lloyd's iteration over all points in plain arithmetic."""
+    x = np.array([[r[c] for c in columns] for r in points.collect()])
+    for r in runs:
+        while not r.done and len(r.history) < max_iter:
+            dist = ((x[:, None, :] - r.centroids[None]) ** 2).sum(axis=2)
+            near = dist.argmin(axis=1)
+            n = np.bincount(near, minlength=r.k)
+            new = np.array([x[near == c].mean(axis=0) for c in range(r.k)])
+            moved = ((new - r.centroids) ** 2).sum(axis=1)
+            r.history.append(dist[np.arange(len(x)), near].sum() - (n * moved).sum())
+            r.label_centroids, r.centroids = r.centroids, new
+            r.done = bool(np.sqrt(moved.max()) < tol)
+            r.distances += len(x) * r.k
+    return runs
+
+
+def test_split_points_change_no_label(spark, monkeypatch):
+    """Iterating on open points gives the runs of plain iteration for fewer distances and passes."""
+    rng = np.random.default_rng(11)
+    centers = rng.normal(size=(6, 3)) * 2
+    rows = [(i, *map(float, centers[i % 6] + rng.normal(size=3))) for i in range(9000)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double")
+    std = km.standardize(df, "id", ["a", "b", "c"])
+    points = km.spread_points(std)
+    specs = [(k, 7, i) for k in (1, 2, 5) for i in range(3)]
+    passes = []
+    real = km._pass
+    monkeypatch.setattr(km, "_pass", lambda *a: passes.append(a[4]) or real(*a))
+    for rows_open in (km.OPEN_ROWS, 2000, 0):
+        monkeypatch.setattr(km, "OPEN_ROWS", rows_open)
+        passes.clear()
+        got = km.lloyd(points, "id", std.columns, km.make_runs(points, "id", std.columns, specs))
+        want = _plain(points, std.columns, km.make_runs(points, "id", std.columns, specs))
+        for g, w in zip(got, want):
+            assert len(g.history) == len(w.history) and g.done == w.done
+            np.testing.assert_allclose(g.history, w.history, rtol=1e-9)
+            np.testing.assert_allclose(g.label_centroids, w.label_centroids, atol=1e-9)
+        longest = max(len(w.history) for w in want)
+        split = any(m is not None for p in passes for m in p)
+        if rows_open:
+            assert split and len(passes) < longest
+            assert sum(g.distances for g in got) < sum(w.distances for w in want)
+        else:
+            assert not split and len(passes) == longest
+    # more open points than were counted on: the pass is thrown away, the run goes on
+    monkeypatch.setattr(km, "OPEN_ROWS", 3000)
+    monkeypatch.setattr(km, "_chosen_margin", lambda run, rows: 10.0 if run.margins is not None else None)
+    got = km.lloyd(points, "id", std.columns, km.make_runs(points, "id", std.columns, specs[-1:]))
+    np.testing.assert_allclose(got[0].history, want[-1].history, rtol=1e-9)
+    points.unpersist()
+
+
+def test_starts_are_the_first_of_the_order(spark, monkeypatch):
+    """The threshold only saves work: starts are those of the whole order, without Python."""
+    from hashlib import md5
+
+    rows = [(f"k{i % 700}" if i % 9 else None, float(i % 13), float(i)) for i in range(2000)]
+    points = spark.createDataFrame(rows, "id string, f0 double, f1 double").repartition(3)
+    orders = [(42, 0), (42, 1), (7, 3)]
+    want = {o: np.array([v[1:] for v in sorted((md5(f"{k or ''}:{o[0]}:{o[1]}".encode()).hexdigest(), a, b) for k, a, b in rows)[:12]]) for o in orders}
+    for spare in (km.STARTS_SPARE, -1.5):  # with too little spare the share has to grow
+        monkeypatch.setattr(km, "STARTS_SPARE", spare)
+        got = km.start_points(points, "id", ["f0", "f1"], [*orders, orders[0]], 12)
+        assert got.keys() == want.keys() and all((got[o] == want[o]).all() for o in orders)
+    assert len(km.start_points(points, "id", ["f0", "f1"], orders, 5000)[42, 0]) == 2000
+    assert km.start_points(points.where("false"), "id", ["f0"], orders, 3)[7, 3].shape == (0, 1)
