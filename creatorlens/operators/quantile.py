@@ -25,7 +25,9 @@ GRID_STEPS = 500
 GRID = [i / GRID_STEPS for i in range(GRID_STEPS + 1)]
 ACCURACY = 10_000
 MARGIN = 2.0 / ACCURACY
-MAX_PASSES = 24  # each pass cuts a bracket by orders of magnitude; ranking is exact at any width
+MAX_PASSES = 24  # narrowing by grids; brackets still above the limit are cut into bins instead
+
+BINS = 1024  # into which a pass of bisect_ranks cuts every bracket
 
 RankOf = Callable[[Column], Column]  # non-null count -> 1-based rank
 
@@ -141,7 +143,78 @@ def select_ranks(
             *keys, "n", "r_low", "r_high", lo.alias("lo"), hi.alias("hi"),
             F.col("inside").alias("prev"),
         )
-    return _rank_inside(long, keys, counted, groups_n)
+    wide = counted.where((F.col("inside") > limit) & (F.col("lo") < F.col("hi")))
+    n_wide = wide.count()
+    if not n_wide:
+        return _rank_inside(long, keys, counted, groups_n)
+    found = _bisect_wide(long, keys, wide, n_wide)
+    done = counted.where((F.col("inside") <= limit) | (F.col("lo") >= F.col("hi")))
+    return _rank_inside(long, keys, done, groups_n).unionByName(found)
+
+
+def _bisect_wide(long: DataFrame, keys: Sequence[str], wide: DataFrame, rows: int) -> DataFrame:
+    """The wanted values of groups whose brackets hold more than one task should rank."""
+    rank = F.explode(F.array_distinct(F.array("r_low", "r_high"))).alias("rank")
+    # the bracket is not used: its values may repeat without end, and bins find them either way
+    found = bisect_ranks(long, keys, wide.select(*keys, rank), 2 * rows)
+    b = bounded_broadcast(wide.select(*_prefixed(keys), "n", "r_low", "r_high"), rows)
+
+    def at(rank: str) -> Column:
+        return F.max(F.when(F.col("rank") == F.col(rank), F.col("v")))
+
+    return found.join(b, _same(keys, found)).groupBy(*keys, "n").agg(at("r_low").alias("v_low"), at("r_high").alias("v_high"))
+
+
+def bisect_ranks(long: DataFrame, keys: Sequence[str], wanted: DataFrame, rows: int) -> DataFrame:
+    """(keys..., rank, v): the value at each rank of ``wanted`` (keys..., rank; ``rows`` of them, counted)
+    among the non-null ``v`` of its group in ``long``. Ranks outside 1..n give no row.
+
+    All ranks share the passes. A pass cuts the bracket of each rank into BINS by value, counts
+    every bin with its least and greatest value, and goes on in the bin that holds the rank; ranks
+    in the same bracket are counted once. A bin of a single value ends the search, so repeated
+    values cost nothing, and nothing is sorted but BINS rows per bracket. Passes alternate between
+    bins of equal width and of equal ratio, so that far outliers do not hold the search up.
+    """
+    keys = list(keys)
+    span = [*keys, "lo", "hi", "below"]
+    ends = long.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("v").alias("n"))
+    b = bounded_broadcast(wanted.select(*_prefixed(keys), F.col("rank").cast("bigint")), rows)
+    state = ends.join(b, _same(keys, ends)).where("rank between 1 and n").select(*keys, "rank", "lo", "hi", F.lit(0).cast("bigint").alias("below"))
+    state = materialize(state, "rank-bins")
+    even = True
+    while not state.where("lo < hi").isEmpty():
+        brackets = bounded_broadcast(state.where("lo < hi").select(*_prefixed(keys), "lo", "hi", "below").distinct(), rows)
+        inside = long.join(brackets, _same(keys, long) & (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
+        reach = _reach if even else _log_reach
+        place = F.floor(reach("v") / F.nullif(reach("hi"), F.lit(0.0)) * BINS)
+        # each end has a bin of its own, so that every pass cuts something off
+        place = F.when(F.col("v") == F.col("lo"), -1).when(F.col("v") == F.col("hi"), BINS + 1).otherwise(F.coalesce(place, F.lit(0)))
+        bins = inside.groupBy(*span, place.alias("bin")).agg(
+            F.count("*").alias("c"), F.min("v").alias("least"), F.max("v").alias("greatest")
+        )
+        order = Window.partitionBy(*span).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+        bins = bins.withColumn("upto", F.col("below") + F.sum("c").over(order))
+        bins = bins.select(*_prefixed(span), (F.col("upto") - F.col("c")).alias("before"), "upto", "least", "greatest")
+        open_ = state.where("lo < hi")
+        holds = (F.col("before") < F.col("rank")) & (F.col("rank") <= F.col("upto"))
+        nearer = open_.join(bins, _same(span, open_) & holds).select(
+            *keys, "rank", F.col("least").alias("lo"), F.col("greatest").alias("hi"), F.col("before").alias("below")
+        )
+        state = materialize(state.where("lo >= hi").unionByName(nearer), "rank-bins")
+        even = not even
+    return state.select(*keys, "rank", F.col("lo").alias("v"))
+
+
+def _reach(name: str) -> Column:
+    """How far a column is above ``lo``; null if that is beyond its type."""
+    return F.try_subtract(name, "lo").cast("double")
+
+
+def _log_reach(name: str) -> Column:
+    def scale(c: Column) -> Column:
+        return F.signum(c) * F.log1p(F.abs(c))
+
+    return scale(F.col(name).cast("double")) - scale(F.col("lo").cast("double"))
 
 
 def _count_bracket(
@@ -270,16 +343,17 @@ def kth_values(
         ).first()
         found = {k: row[f"k{k}"] for k in wanted}
     else:
-        found = {k: _kth_narrowed(df, column, k, limit, rows) for k in wanted}
+        found = binned_values(df, column, wanted)
     return [found.get(k) for k in ks]
 
 
-def _kth_narrowed(df: DataFrame, column: str, k: int, limit: int, rows: int):
-    def rank(n: Column) -> Column:
-        return F.lit(k).cast("bigint")
-
-    row = select_ranks(df, [column], rank, rank, (), limit, rows).select("v_low").first()
-    return row["v_low"] if row else None
+def binned_values(df: DataFrame, column: str, ks: Sequence[int]) -> dict:
+    """{rank: value} of the non-null values of a column; all ranks share the passes."""
+    if not ks:
+        return {}
+    long = _unpivot(df, (), [column])
+    wanted = df.sparkSession.range(1).select(F.lit(column).alias("metric"), F.explode(F.array(*[F.lit(int(k)) for k in ks])).alias("rank"))
+    return {r["rank"]: r["v"] for r in bisect_ranks(long, ["metric"], wanted, len(ks)).collect()}
 
 
 def kth_value(

@@ -18,7 +18,7 @@ from ..operators.gap import (
     positive_share,
     target_rows,
 )
-from ..operators.quantile import GROUP_LIMIT, kth_value, kth_values
+from ..operators.quantile import GROUP_LIMIT, binned_values, kth_value, kth_values
 from ..operators.ranking import global_ntile, kth_pair, percent_rank_cutoff
 from ..specs import DEFAULT_SPEC, SegmentSpec
 
@@ -81,18 +81,44 @@ def by_niche(creators: DataFrame) -> DataFrame:
 
 
 def subscriber_deciles(creators: DataFrame, tiles: int = 10) -> DataFrame:
-    narrow = creators.select("subscriber_count", "creator_id")
-    ranked = global_ntile(narrow, ["subscriber_count", "creator_id"], tiles, "decile")
-    return (
-        ranked.groupBy("decile")
-        .agg(
-            _n("n_creators"),
-            F.min("subscriber_count").alias("min_subs"),
-            F.max("subscriber_count").alias("max_subs"),
-            _avg("subscriber_count", 0).alias("avg_subs"),
-        )
-        .orderBy("decile")
-    )
+    """Size, range and mean of each tile of the subscriber counts; unknown counts come first.
+
+    Rows of equal count that a cut divides have the same count on both sides, so the values at the
+    first and last rank of each tile and one sum over the table tell everything: no row is ranked.
+    """
+    count = F.col("subscriber_count")
+    sizes = creators.agg(F.count("*").alias("n"), F.count_if(count.isNull()).alias("unknown")).first()
+    n, unknown = sizes["n"], sizes["unknown"]
+    tiles_of = [(t + 1, n // tiles + (t < n % tiles)) for t in range(tiles)]
+    spans, at = [], 0  # tile, rows, first and last rank among the known counts
+    for tile, rows in tiles_of:
+        if rows:
+            spans.append((tile, rows, max(at - unknown, 0) + 1, at + rows - unknown))
+        at += rows
+    known = creators.select("subscriber_count").where(count.isNotNull())
+    value = binned_values(known, "subscriber_count", sorted({r for _, _, a, b in spans if b >= a for r in (a, b)}))
+    sums = []  # of the counts strictly between a tile's first and last value, and rows up to and at those
+    for tile, _, a, b in spans:
+        if b >= a:
+            lo, hi = F.lit(value[a]), F.lit(value[b])
+            inner = F.sum(F.when((count > lo) & (count < hi), count))
+            sums += [inner.alias(f"inner{tile}"), F.count_if(count <= lo).alias(f"first{tile}"), F.count_if(count < hi).alias(f"last{tile}")]
+    total = known.agg(*sums).first() if sums else {}
+    out = []
+    for tile, rows, a, b in spans:
+        if b < a:
+            out.append((tile, rows, None, None, None))
+            continue
+        lo, hi = value[a], value[b]
+        if lo == hi:
+            whole = lo * (b - a + 1)
+        else:
+            whole = lo * (total[f"first{tile}"] - a + 1) + (total[f"inner{tile}"] or 0) + hi * (b - total[f"last{tile}"])
+        out.append((tile, rows, lo, hi, whole / (b - a + 1)))
+    kind = creators.schema["subscriber_count"].dataType.simpleString()
+    ddl = f"decile int, n_creators long, min_subs {kind}, max_subs {kind}, avg double"
+    table = creators.sparkSession.createDataFrame(out, ddl)
+    return table.select("decile", "n_creators", "min_subs", "max_subs", F.round("avg", 0).alias("avg_subs")).orderBy("decile")
 
 
 def by_channel_age(creators: DataFrame) -> DataFrame:
