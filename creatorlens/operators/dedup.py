@@ -5,14 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+from .quantile import BROADCAST_ROWS
 
-def keep_first(df: DataFrame, keys: list[str], position: str) -> DataFrame:
+
+def keep_first(df: DataFrame, keys: list[str], position: str, repeated_limit: int = BROADCAST_ROWS) -> DataFrame:
     """The row with the smallest ``position`` per key; null keys form one group.
 
-    An aggregate, not a ranking window: each task first reduces its own rows to
-    one per key, so a key repeated in a third of the table sends one row per
-    task through the shuffle.
+    Keys alone are counted first. Rows of a key that occurs once pass through where they are;
+    only rows of repeated keys are reduced to their first. If more than ``repeated_limit`` keys are
+    repeated, too many to send to every task, all rows are reduced.
     """
+    counted = df.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1")
+    repeated = materialize(counted.select(*[F.col(k).alias(f"_{k}") for k in keys]), "repeated-keys")
+    n = repeated.count()
+    if n > repeated_limit:
+        return _first_rows(df, keys, position)
+    same = F.lit(True)
+    for k in keys:
+        same = same & df[k].eqNullSafe(F.col(f"_{k}"))
+    once = df.join(F.broadcast(repeated), same, "left_anti")
+    return once.unionByName(_first_rows(df.join(F.broadcast(repeated), same, "left_semi"), keys, position)) if n else once
+
+
+def _first_rows(df: DataFrame, keys: list[str], position: str) -> DataFrame:
+    """An aggregate, not a ranking window: each task first reduces its own rows to one per key,
+    so a key repeated in a third of the table sends one row per task through the shuffle."""
     rest = [c for c in df.columns if c not in keys]
     first = F.min_by(F.struct(*rest), F.col(position)).alias("_first")
     return df.groupBy(*keys).agg(first).select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import round_scaled
@@ -24,12 +24,15 @@ def impute_group_median(
     """Fill nulls with the median of the row's group, else with the global median.
 
     ``df`` should be a stored table. A null key has no group, so it takes the
-    global median. Many groups (too many to broadcast their medians): rows
+    global median. Medians are taken of the groups that have a gap. Many groups (too many to broadcast their medians): rows
     without a gap pass through untouched and only incomplete rows are joined,
     with dominant keys kept out of the shuffle.
     """
     columns = list(columns)
-    medians = exact_quantiles(df.select(key, *columns), columns, 0.5, [key], limit)
+    any_gap = F.lit(False)
+    for c in columns:
+        any_gap = any_gap | F.col(c).isNull()
+    medians = exact_quantiles(_rows_of_needed(df, key, columns, any_gap), columns, 0.5, [key], limit)
     medians = materialize(
         medians.filter(F.col(key).isNotNull()).select(
             F.col(key).alias("_key"), *[F.col(c).alias(f"_med_{c}") for c in columns]
@@ -38,10 +41,6 @@ def impute_group_median(
     )
     fallback = exact_quantiles(df.select(*columns), columns, 0.5, (), limit).first().asDict()
 
-    any_gap = F.lit(False)
-    for c in columns:
-        any_gap = any_gap | F.col(c).isNull()
-
     def cell(c: str):
         median = F.coalesce(F.col(f"_med_{c}"), F.lit(fallback[c]).cast("double"))
         return F.coalesce(F.col(c), round_scaled(median, digits)).alias(c)
@@ -53,3 +52,14 @@ def impute_group_median(
     if medians.count() <= Q.BROADCAST_ROWS:  # one scan, nothing shuffled
         return fill(df)
     return df.filter(~any_gap).unionByName(fill(df.filter(any_gap)))
+
+
+def _rows_of_needed(df: DataFrame, key: str, columns: Sequence[str], any_gap: Column) -> DataFrame:
+    """The key and values of groups with a gap; of all groups if those with one are too many to
+    send to every task."""
+    needed = df.filter(any_gap & F.col(key).isNotNull()).select(F.col(key).alias("_needed")).distinct()
+    needed = materialize(needed, "needed-keys")
+    rows = df.select(key, *columns)
+    if needed.count() > Q.BROADCAST_ROWS:
+        return rows
+    return rows.join(F.broadcast(needed), F.col(key) == F.col("_needed"), "left_semi")

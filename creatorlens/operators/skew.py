@@ -9,6 +9,28 @@ from ..session import materialize
 from . import quantile as Q
 
 
+LEAST_SUPPORT = 1e-4  # share of the rows below which the sketch finds no keys
+
+
+def heavy_keys(rows: DataFrame, key: str, limit: int) -> DataFrame:
+    """(_heavy): the keys with more than ``limit`` rows.
+
+    A sketch of frequent items names every key above a share of the rows, and others; only the
+    named ones, at most rows/limit, are counted. Every key is counted where that share is below
+    what the sketch resolves.
+    """
+    keyed = rows.filter(F.col(key).isNotNull()).select(key)
+    n = keyed.count()
+    if n <= limit:
+        return keyed.limit(0).select(F.col(key).alias("_heavy"))
+    if limit / n >= LEAST_SUPPORT:
+        named = keyed.stat.freqItems([key], limit / n).select(F.explode(f"{key}_freqItems").alias("_named"))
+        named = materialize(named.distinct(), "frequent-keys")
+        keyed = keyed.join(F.broadcast(named), F.col(key) == F.col("_named"), "left_semi")
+    counted = keyed.groupBy(key).agg(F.count("*").alias("_rows"))
+    return counted.filter(F.col("_rows") > limit).select(F.col(key).alias("_heavy"))
+
+
 def lookup_join(
     rows: DataFrame,
     dim: DataFrame,
@@ -20,7 +42,7 @@ def lookup_join(
     """Join ``rows`` to ``dim``, which has one row per ``dim_key``.
 
     A small ``dim`` (counted) is broadcast. Otherwise keys with more than
-    ``limit`` rows are found by a map-side count; there are at most rows/limit
+    ``limit`` rows are found (:func:`heavy_keys`); there are at most rows/limit
     of them, so their ``dim`` rows are broadcast and their rows stay where they
     are. Only the remaining rows are shuffled by key. Rows without a key never
     meet the shuffle. Pass stored tables: ``rows`` is scanned per part.
@@ -30,14 +52,7 @@ def lookup_join(
     on = F.col(row_key) == F.col(dim_key)
     if dim.count() <= Q.BROADCAST_ROWS:
         return rows.join(F.broadcast(dim), on, how)
-    heavy = materialize(
-        rows.filter(F.col(row_key).isNotNull())
-        .groupBy(row_key)
-        .agg(F.count("*").alias("_rows"))
-        .filter(F.col("_rows") > limit)
-        .select(F.col(row_key).alias("_heavy")),
-        "heavy-keys",
-    )
+    heavy = materialize(heavy_keys(rows, row_key, limit), "heavy-keys")
     keyed, parts = rows.filter(F.col(row_key).isNotNull()), []
     n = heavy.count()
     if n:
