@@ -55,10 +55,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` once as Parquet and return a frame that scans the result."""
+    """Write ``df`` once as Parquet and return a frame that scans the result.
+
+    A partitioned table is rebalanced by its partition column first: a folder's files follow its
+    size, not the number of tasks, and a large folder is written by several."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    writer = df.hint("rebalance", partition_by).write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 

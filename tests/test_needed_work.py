@@ -67,3 +67,28 @@ def test_heavy_keys_by_sketch_and_by_count(spark, monkeypatch):
     for how, n in (("left", len(rows)), ("inner", len(rows) - 700)):
         joined = skew.lookup_join(df, dim, "k", "d", how, 100)
         assert joined.count() == n and joined.where("k is not null and n is null").count() == 0
+
+
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_more_heavy_keys_than_can_be_sent(spark, monkeypatch, how):
+    """Five heavy keys, two may be broadcast: their rows are spread, also those without a match."""
+    monkeypatch.setattr(quantile, "BROADCAST_ROWS", 2)
+    rows = [(f"hot{i % 5}", i) for i in range(4000)] + [(f"k{i % 300}", i) for i in range(900)] + [(None, i) for i in range(50)]
+    df = spark.createDataFrame(rows, "k string, v int").repartition(6)
+    names = [f"hot{i}" for i in range(4)] + [f"k{i}" for i in range(200)] + ["never"]
+    dim = spark.createDataFrame([(d, len(d)) for d in names], "d string, n int")
+    seen = []
+    real = skew._salted
+    monkeypatch.setattr(skew, "_salted", lambda *a: seen.append(a[-1]) or real(*a))
+    got = sorted(map(tuple, skew.lookup_join(df, dim, "k", "d", how, 200).collect()), key=str)
+    known = set(names)
+    want = [(k, v, k, len(k)) if k in known else (k, v, None, None) for k, v in rows if how == "left" or k in known]
+    assert got == sorted(want, key=str) and seen == [4]
+
+
+def test_files_follow_size(spark, tmp_path):
+    from creatorlens.session import materialize
+
+    df = spark.range(4000).select("id", F.when(F.col("id") < 3900, "big").otherwise(F.concat(F.lit("s"), F.col("id") % 3)).alias("kind"))
+    stored = materialize(df.repartition(16), "layout", "kind")
+    assert stored.count() == 4000 and len(stored.inputFiles()) == 4
