@@ -48,11 +48,11 @@ def rows_of(docs):
 # --- 1
 
 
-def brute_top(vectors, k):
+def brute_top(rows, k):
     out = []
-    for q, v in vectors.items():
+    for at, (q, v) in enumerate(rows):
         if q % 20 == 0:
-            hits = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in vectors.items() if i != q)[:k]
+            hits = sorted((-sum(a * b for a, b in zip(v, w)), i) for n, (i, w) in enumerate(rows) if n != at)[:k]
             out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(hits)]
     return sorted(out)
 
@@ -61,12 +61,14 @@ def brute_top(vectors, k):
 def test_top_k_by_brute_force(spark, tile_rows):
     rng = random.Random(1)
     data = {i: [rng.choice([-0.5, 0.0, 0.25, 0.7]) for _ in range(4)] for i in range(130)}  # many ties
-    rows = [(i, [float(x) for x in v]) for i, v in data.items()] + [(0, data[0])]
+    rows = [(i, [float(x) for x in v]) for i, v in data.items()]
+    rows += [(0, data[0]), (0, [0.7, 0.0, -0.5, 0.25]), (20, data[1]), (7, data[3]), (7, data[3])]  # repeated ids and rows
+    whole = list(rows)
     rows += [(200, None), (201, [None, 1.0, 1.0, 1.0]), (202, [float("nan")] * 4), (203, [float("inf")] * 4), (None, [1.0] * 4)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit("clash"))
     vectors = df.select("vec_id", topk.scaled(df, "embedding", 64.0).alias("vector"))
     got = topk.top_k(vectors, F.col("vec_id") % 20 == 0, 7, tile_rows=tile_rows)
-    want = brute_top({i: [int(np.floor(64 * float(np.float32(x)))) for x in v] for i, v in data.items()}, 7)
+    want = brute_top([(i, [int(np.floor(64 * float(np.float32(x)))) for x in v]) for i, v in whole], 7)
     assert sorted(map(tuple, got.collect())) == want
 
 
