@@ -136,6 +136,17 @@ def _normalized(column: str, synonyms) -> Callable[[DataFrame], DataFrame]:
     return run
 
 
+def _normalized_rows(column: str, synonyms) -> Callable[[DataFrame], DataFrame]:
+    """Every row's label before and after."""
+
+    def run(raw: DataFrame) -> DataFrame:
+        text = strip(F.col(column))
+        df = raw.select(strip(F.col("creator_id")).alias("creator_id"), text.alias("raw_label"), text.alias(column))
+        return normalize_labels(df, column, synonyms)
+
+    return run
+
+
 def _parsed(key: str, *columns: tuple[str, str, Callable]) -> Callable[[DataFrame], DataFrame]:
     """(id, raw text, parsed value) per named column."""
 
@@ -185,6 +196,13 @@ def drop_chargebacks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def chargeback_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every deduplicated video with the part it goes to."""
+    staged = cleaned_videos(spark, sf_dir).staged
+    part = F.when(F.col("_chargeback"), F.lit("chargebacks")).otherwise(F.lit("kept"))
+    return staged.select("video_id", "creator_id", "publish_date", "revenue", part.alias("part"))
+
+
 def distinct_before_after(raw: DataFrame) -> DataFrame:
     df = keep_first(C.strip_strings(raw), ["creator_id"], POSITION)
     df = df.select(
@@ -313,6 +331,14 @@ def silhouette_sample(segments: DataFrame) -> DataFrame:
     )
 
 
+def silhouette_linear(segments: DataFrame) -> DataFrame:
+    """The sample of 500 scored against every row."""
+    std, assigned = _assigned(segments)
+    return silhouette(assigned, S.KEY, std.columns, 500, against_all=True).select(
+        "n_scored", F.round("silhouette", 6).alias("silhouette")
+    )
+
+
 def stability_raw(segments: DataFrame) -> DataFrame:
     std = _standardized(segments)
     sets = shifted_centroids()
@@ -370,6 +396,8 @@ def cleaning_queries() -> dict[str, Query]:
         "dedup_keep_first": creators(dedup_keep_first),
         "normalize_niche": creators(_normalized("niche_category", fv.NICHE_SYNONYMS)),
         "normalize_archetype": creators(_normalized("archetype", fv.ARCHETYPE_SYNONYMS)),
+        "normalize_niche_rows": creators(_normalized_rows("niche_category", fv.NICHE_SYNONYMS)),
+        "normalize_archetype_rows": creators(_normalized_rows("archetype", fv.ARCHETYPE_SYNONYMS)),
         "parse_count": creators(
             _parsed("creator_id", ("subscriber_count", "subscriber_count", parse_count))
         ),
@@ -406,6 +434,7 @@ def cleaning_queries() -> dict[str, Query]:
         ),
         "parse_views": videos(_parsed("video_id", ("views", "views", parse_views))),
         "drop_chargebacks": drop_chargebacks,
+        "chargeback_rows": chargeback_rows,
         "lenient_cast_videos": videos(
             _parsed(
                 "video_id",
@@ -503,6 +532,7 @@ def cluster_queries() -> dict[str, Query]:
         "name_clusters": _seg(name_clusters),
         "centroids_real": _seg(centroids_real),
         "silhouette_sample": _seg(silhouette_sample),
+        "silhouette_linear": _seg(silhouette_linear),
         "cluster_summary": _seg(lambda s: SG.cluster_summary(_named(s))),
         "profile_minmax": _seg(lambda s: SG.profile_minmax(_named(s))),
         "scatter_feed": _seg(lambda s: SG.scatter_feed(_named(s))),

@@ -22,19 +22,28 @@ def centroids_real(std: Standardized, centroids) -> list[list[float]]:
     return [[float(v) * s + m for v, m, s in zip(c, std.mean, std.std)] for c in centroids]
 
 
+#: Feature whose highest centroid earns a name; a later name replaces an earlier one.
+ROLES = (
+    ("avg_retention_rate", fv.SPECIALISTS),
+    ("avg_ctr", fv.VIRAL),
+    ("upload_freq_per_month", fv.VOLUME),
+)
+
+
 def name_clusters(
     assigned: DataFrame,
     centroids: Sequence[Sequence[float]],
     features: Sequence[str] = fv.CLUSTER_FEATURES,
     size_column: str = "subscriber_count",
+    roles: Sequence[tuple[str, str]] = ROLES,
 ) -> DataFrame:
     """(cluster, archetype) from centroid positions; one row per centroid.
 
-    The cluster with the largest mean size, and the centroids with the highest
-    retention, click-through and upload rate get their role's name; the lowest
-    cluster without a role is the dabbler, the rest are numbered. When one
-    cluster earns several names the order giants < specialists < viral < volume
-    decides. Only K averages leave the aggregate.
+    The cluster with the largest mean size, and the centroid with the highest value of
+    each role's feature get that name; the lowest cluster without a role is the dabbler,
+    the rest are numbered. When one cluster earns several names the last of them decides,
+    size coming first. A role whose feature was not clustered on is left out. Only K
+    averages leave the aggregate.
     """
     k = len(centroids)
     sizes = {
@@ -46,12 +55,9 @@ def name_clusters(
     if sizes:
         names[min(sizes, key=lambda c: (-sizes[c], c))] = fv.GIANTS
     at = {f: i for i, f in enumerate(features)}
-    for feature, name in (
-        ("avg_retention_rate", fv.SPECIALISTS),
-        ("avg_ctr", fv.VIRAL),
-        ("upload_freq_per_month", fv.VOLUME),
-    ):
-        names[max(range(k), key=lambda c: (centroids[c][at[feature]], -c))] = name
+    for feature, name in roles:
+        if feature in at:
+            names[max(range(k), key=lambda c: (centroids[c][at[feature]], -c))] = name
     free = [c for c in range(k) if c not in names]
     if free:
         names[free[0]] = fv.DABBLERS

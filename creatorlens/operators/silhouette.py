@@ -96,10 +96,12 @@ def silhouette(
     columns: Sequence[str],
     sample_size: int | None = 500,
     seed: int = 0,
+    against_all: bool = False,
 ) -> DataFrame:
     """(n_scored, silhouette) of rows that carry ``cluster``.
 
-    With a sample size both sides are the sample. With ``None`` every row is
+    With a sample size both sides are the sample, or, ``against_all``, the sample is scored
+    against every row: one pass, its work linear in the table. With ``None`` every row is
     scored against every row, whatever its key: the rows are dealt to a grid of
     blocks, so the work is quadratic in the table but no driver loop, and no
     pair is a row. Fewer than two clusters score 0.
@@ -109,7 +111,8 @@ def silhouette(
     if not sample_size:
         return _all_points(narrow, columns)
     sample = hash_sample(narrow, key, sample_size, seed).collect()
-    n, total = _score_block(spark.createDataFrame(sample, narrow.schema), columns, sample)
+    reference = narrow if against_all else spark.createDataFrame(sample, narrow.schema)
+    n, total = _score_block(reference, columns, sample)
     return spark.createDataFrame(
         [(n, total / n if n else 0.0)], "n_scored bigint, silhouette double"
     )

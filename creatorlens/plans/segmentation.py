@@ -60,11 +60,12 @@ def segment(
     max_iter: int = 300,
     seed: int = 42,
     features: Sequence[str] = fv.CLUSTER_FEATURES,
+    roles: Sequence[tuple[str, str]] = sg.ROLES,
 ) -> Segmentation:
     std = km.standardize(df, KEY, features)
     best, runs = km.kmeans(std, KEY, k, n_init, max_iter, seed=seed)
     assigned = attach_clusters(df, std, best.label_centroids)
-    names = sg.name_clusters(assigned, best.centroids.tolist(), features)
+    names = sg.name_clusters(assigned, best.centroids.tolist(), features, roles=roles)
     return Segmentation(std, best, runs, assigned, sg.with_cluster_names(assigned, names))
 
 

@@ -196,6 +196,7 @@ def analysis() -> dict[str, str]:
                 ELSE (b - s_own / (n_own - 1)) / greatest(b, s_own / (n_own - 1)) END AS score
               FROM p)
         SELECT count(*) AS n_scored, round(avg(score), 6) AS silhouette FROM s"""
+    q["silhouette_linear"] = q["silhouette_sample"].replace("smp a CROSS JOIN smp b", "smp a CROSS JOIN assigned b")
     q["cluster_summary"] = named + """SELECT archetype, count(creator_id) AS n,
         round(avg(avg_retention_rate), 2) AS avg_retention, round(avg(avg_ctr), 2) AS avg_ctr,
         round(avg(rpm), 2) AS avg_rpm FROM named GROUP BY archetype"""

@@ -234,6 +234,10 @@ def cleaning() -> dict[str, str]:
             "FROM creators_messy GROUP BY 1, 2"
         )
 
+    def label_rows(col, table):
+        s = stripped(col)
+        return f"{cm} SELECT {stripped('creator_id')} AS creator_id, {s} AS raw_label, {canon(s, table)} AS {col} FROM creators_messy"
+
     dbl = ("avg_retention_rate", "avg_ctr", "avg_video_length_mins", "avg_video_len_std", "rpm")
     q = {
         "src_csv_strings": f"{cm} SELECT {missing} FROM creators_messy",
@@ -249,6 +253,8 @@ def cleaning() -> dict[str, str]:
         "dedup_keep_first": f"WITH {CREATORS_FIRST} SELECT {c_in} FROM c_first",
         "normalize_niche": labels("niche_category", NICHES),
         "normalize_archetype": labels("archetype", ARCHETYPES),
+        "normalize_niche_rows": label_rows("niche_category", NICHES),
+        "normalize_archetype_rows": label_rows("archetype", ARCHETYPES),
         "parse_count": parsed(cm, "creators_messy", cid, ("subscriber_count", "subscriber_count", count_text)),
         "parse_currency": parsed(cm, "creators_messy", cid, ("revenue_90d", "revenue_90d", currency)),
         "parse_age": parsed(cm, "creators_messy", cid, ("channel_age_years", "channel_age_years", age)),
@@ -279,6 +285,8 @@ def cleaning() -> dict[str, str]:
               round(sum(revenue), 2) AS revenue FROM v_kept
             UNION ALL SELECT 'chargebacks', count(*), count(revenue), round(sum(revenue), 2)
             FROM v_typed WHERE revenue < 0""",
+        "chargeback_rows": f"""WITH {VIDEOS_TYPED} SELECT video_id, creator_id, publish_date, revenue,
+            CASE WHEN revenue < 0 THEN 'chargebacks' ELSE 'kept' END AS part FROM v_typed""",
         "lenient_cast_videos": parsed(
             vm, "videos_messy", vid, ("video_id", "video_number", whole),
             ("creator_id", "creator_number", whole),

@@ -323,3 +323,33 @@ def test_starts_are_the_first_of_the_order(spark, monkeypatch):
         assert got.keys() == want.keys() and all((got[o] == want[o]).all() for o in orders)
     assert len(km.start_points(points, "id", ["f0", "f1"], orders, 5000)[42, 0]) == 2000
     assert km.start_points(points.where("false"), "id", ["f0"], orders, 3)[7, 3].shape == (0, 1)
+
+
+def test_roles_and_other_features(spark):
+    """Naming takes its roles as a parameter and leaves out those of features not clustered on."""
+    rng = np.random.default_rng(2)
+    rows = [(i, float(i % 3) * 10 + rng.normal(), float(i % 2), 1000 * (i % 3 == 1)) for i in range(90)]
+    df = spark.createDataFrame(rows, "creator_id int, rpm double, avg_ctr double, subscriber_count int")
+    seg = S.segment(df, k=3, n_init=3, features=["rpm", "avg_ctr"], roles=[("rpm", "Rich"), ("missing", "Nobody")])
+    names = {r.archetype for r in seg.named.select("archetype").distinct().collect()}
+    assert {"Rich", fv.GIANTS, fv.DABBLERS} == names
+    means = {r.archetype: r.m for r in seg.named.groupBy("archetype").agg(F.avg("rpm").alias("m")).collect()}
+    assert max(means, key=means.get) == "Rich"
+    assert S.segment(df, k=2, n_init=2, features=["rpm"]).named.count() == 90
+
+
+def test_silhouette_of_a_sample_against_all(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(70, 2)) + np.repeat([[0, 0], [4, 0]], 35, axis=0)
+    rows = [(i, int(i >= 35), *map(float, v)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "id int, cluster int, a double, b double")
+    dist = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    chosen = sorted(range(70), key=lambda i: md5(f"{i}:0".encode()).hexdigest())[:20]
+    want = []
+    for i in chosen:
+        own = [j for j in range(70) if (j >= 35) == (i >= 35)]
+        a = dist[i, own].sum() / (len(own) - 1)
+        b = dist[i, [j for j in range(70) if j not in own]].mean()
+        want.append((b - a) / max(a, b))
+    got = SIL.silhouette(df, "id", ["a", "b"], 20, against_all=True).first()
+    assert got.n_scored == 20 and got.silhouette == pytest.approx(np.mean(want))
