@@ -9,18 +9,31 @@ from ..session import materialize
 from .quantile import BROADCAST_ROWS
 
 
-def keep_first(df: DataFrame, keys: list[str], position: str, repeated_limit: int = BROADCAST_ROWS) -> DataFrame:
+def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(_key..., _n): the keys with several rows, null keys being one, and their rows; stored."""
+    counted = df.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1")
+    return materialize(counted.select(*[F.col(k).alias(f"_{k}") for k in keys], "_n"), "repeated-keys")
+
+
+def keep_first(
+    df: DataFrame,
+    keys: list[str],
+    position: str,
+    repeated_limit: int = BROADCAST_ROWS,
+    repeated: DataFrame | None = None,
+) -> DataFrame:
     """The row with the smallest ``position`` per key; null keys form one group.
 
-    Keys alone are counted first. Rows of a key that occurs once pass through where they are;
-    only rows of repeated keys are reduced to their first. If more than ``repeated_limit`` keys are
-    repeated, too many to send to every task, all rows are reduced.
+    Keys alone are counted first (``repeated`` if the caller has done so). Rows of a key that
+    occurs once pass through where they are; only rows of repeated keys are reduced to their
+    first. If more than ``repeated_limit`` keys are repeated, too many to send to every task, all
+    rows are reduced.
     """
-    counted = df.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1")
-    repeated = materialize(counted.select(*[F.col(k).alias(f"_{k}") for k in keys]), "repeated-keys")
+    repeated = repeated_keys(df, keys) if repeated is None else repeated
     n = repeated.count()
     if n > repeated_limit:
         return _first_rows(df, keys, position)
+    repeated = repeated.drop("_n")
     same = F.lit(True)
     for k in keys:
         same = same & df[k].eqNullSafe(F.col(f"_{k}"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
@@ -24,7 +25,7 @@ from ..functions import (
     round_scaled,
     strip,
 )
-from ..operators.dedup import keep_first
+from ..operators.dedup import keep_first, repeated_keys
 from ..operators.impute import impute_group_median
 from ..operators.lookup import normalize_labels
 from ..operators.quantile import GROUP_LIMIT
@@ -116,16 +117,34 @@ def require_ids(df: DataFrame, column: str) -> DataFrame:
 
 @dataclass
 class Cleaned:
-    """A clean table with the stages its ledger counts."""
+    """A clean table with its stages and the counts of its ledger."""
 
     raw: DataFrame
     staged: DataFrame  # one typed row per id, flags kept, nothing dropped yet
     clean: DataFrame
+    counts: dict[str, int]  # rows per step; "rows" staged and "kept" of them
 
 
-def stage_creators(raw: DataFrame) -> DataFrame:
-    """Strip, dedup, normalise, parse; impossible values flagged and nulled."""
-    df = keep_first(strip_strings(raw), ["creator_id"], POSITION).drop(POSITION)
+def _stage(raw: DataFrame, key: str, typed: Callable[[DataFrame], DataFrame], counts: dict[str, Column], label: str):
+    """The stored staged table, and its counts, taken while it is written.
+
+    The counts stand on top of the plan, so they belong to the tasks that write the files: each
+    counts once, also when executors are lost. Duplicates come from the counted repeated keys, so
+    the raw table is not read for them.
+    """
+    rows = strip_strings(raw)
+    repeated = repeated_keys(rows, [key])
+    staged = typed(keep_first(rows, [key], POSITION, repeated=repeated).drop(POSITION))
+    seen = Observation(label)
+    stored = materialize(staged.observe(seen, *[c.cast("bigint").alias(name) for name, c in counts.items()]), label)
+    dropped = repeated.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0))).first()[0]
+    # a plan without rows may be replaced by an empty one that counts nothing
+    found = dict.fromkeys(counts, 0) if stored.isEmpty() else {name: n or 0 for name, n in seen.get.items()}
+    return stored, {"duplicates_dropped": dropped, **found}
+
+
+def _typed_creators(df: DataFrame) -> DataFrame:
+    """Labels normalised, columns parsed; impossible values flagged and nulled."""
     df = normalize_labels(df, "niche_category", fv.NICHE_SYNONYMS)
     df = normalize_labels(df, "archetype", fv.ARCHETYPE_SYNONYMS)
     df = parse_columns(df, CREATOR_PARSERS)
@@ -139,6 +158,29 @@ def stage_creators(raw: DataFrame) -> DataFrame:
     return null_invalid(df)
 
 
+def _creator_counts() -> dict[str, Column]:
+    live = F.coalesce(F.col("subscriber_count") != 0, F.lit(False))
+    return {
+        "retention_nulled": F.count_if("_bad_retention"),
+        "rpm_nulled": F.count_if("_bad_rpm"),
+        "zero_subscribers_dropped": F.count_if("_zero_subs"),
+        "unknown_subscribers_dropped": F.count_if(F.col("subscriber_count").isNull()),
+        **{f"imputed_{c}": F.count_if(live & F.col(c).isNull()) for c in fv.CREATOR_IMPUTE_COLUMNS},
+        "rows": F.count("*"),
+        "kept": F.count_if(live),
+    }
+
+
+def _video_counts() -> dict[str, Column]:
+    return {
+        "dates_unparsable": F.count_if(F.col("publish_date").isNull()),
+        "chargebacks_dropped": F.count_if("_chargeback"),
+        **{f"imputed_{c}": F.count_if(~F.col("_chargeback") & F.col(c).isNull()) for c in fv.VIDEO_IMPUTE_COLUMNS},
+        "rows": F.count("*"),
+        "kept": F.count_if(~F.col("_chargeback")),
+    }
+
+
 def clean_creators(
     raw: DataFrame, spec: SegmentSpec = DEFAULT_SPEC, limit: int = GROUP_LIMIT
 ) -> Cleaned:
@@ -147,7 +189,7 @@ def clean_creators(
     The staged rows feed the medians, the largest spread and the final
     projection, so they are stored once after the dedup shuffle.
     """
-    staged = materialize(stage_creators(raw), "creators-staged")
+    staged, counts = _stage(raw, "creator_id", _typed_creators, _creator_counts(), "creators-staged")
     kept = staged.filter(F.col("subscriber_count") != 0).drop(
         "_bad_retention", "_bad_rpm", "_zero_subs"
     )
@@ -155,28 +197,27 @@ def clean_creators(
     out = full.withColumn("len_consistency_score", len_consistency(kept)).withColumn(
         "subscriber_tier", tier_label(spec)
     )
-    return Cleaned(raw, staged, require_ids(out, "creator_id"))
-
-
-def stage_videos(raw: DataFrame, normalize_archetype: bool = True) -> DataFrame:
-    df = keep_first(strip_strings(raw), ["video_id"], POSITION).drop(POSITION)
-    if normalize_archetype and "archetype" in df.columns:
-        df = normalize_labels(df, "archetype", fv.ARCHETYPE_SYNONYMS)
-    df = parse_columns(df, VIDEO_PARSERS)
-    return df.withColumn("_chargeback", F.coalesce(F.col("revenue") < 0, F.lit(False)))
+    return Cleaned(raw, staged, require_ids(out, "creator_id"), counts)
 
 
 def clean_videos(
     raw: DataFrame, normalize_archetype: bool = True, limit: int = GROUP_LIMIT
 ) -> Cleaned:
     """Raw text videos to the clean table; rows without revenue are kept."""
-    staged = materialize(stage_videos(raw, normalize_archetype), "videos-staged")
+
+    def typed(df: DataFrame) -> DataFrame:
+        if normalize_archetype and "archetype" in df.columns:
+            df = normalize_labels(df, "archetype", fv.ARCHETYPE_SYNONYMS)
+        df = parse_columns(df, VIDEO_PARSERS)
+        return df.withColumn("_chargeback", F.coalesce(F.col("revenue") < 0, F.lit(False)))
+
+    staged, counts = _stage(raw, "video_id", typed, _video_counts(), "videos-staged")
     kept = staged.filter(~F.col("_chargeback")).drop("_chargeback")
     full = impute_group_median(kept, "creator_id", fv.VIDEO_IMPUTE_COLUMNS, 2, limit)
     out = full.withColumns(
         {c: lenient_long(F.col(c)) for c in ("video_id", "creator_id")}
     )
-    return Cleaned(raw, staged, out)
+    return Cleaned(raw, staged, out, counts)
 
 
 def chargebacks(staged: DataFrame) -> DataFrame:
@@ -184,59 +225,22 @@ def chargebacks(staged: DataFrame) -> DataFrame:
     return staged.filter("_chargeback").drop("_chargeback")
 
 
-def _long(one_row: DataFrame, table: str, steps: list[str]) -> DataFrame:
-    cells = [F.struct(F.lit(s).alias("step"), F.col(s).alias("n_rows")) for s in steps]
-    return one_row.select(F.lit(table).alias("table_name"), F.inline(F.array(*cells)))
-
-
 def cleaning_ledger(creators: Cleaned, videos: Cleaned) -> DataFrame:
-    """(table_name, step, n_rows): rows dropped, nulled or imputed per step.
-
-    Each table is counted in one aggregate over its staged rows plus one row
-    count of its raw input.
-    """
-
-    def dropped(raw: DataFrame, staged: DataFrame) -> Column:
-        total = raw.agg(F.count("*").alias("n")).scalar()
-        return total - staged.agg(F.count("*").alias("n")).scalar()
-
-    live = F.coalesce(F.col("subscriber_count") != 0, F.lit(False))
-    c_cols = {
-        "retention_nulled": F.count_if("_bad_retention"),
-        "rpm_nulled": F.count_if("_bad_rpm"),
-        "zero_subscribers_dropped": F.count_if("_zero_subs"),
-        "unknown_subscribers_dropped": F.count_if(F.col("subscriber_count").isNull()),
-        **{
-            f"imputed_{c}": F.count_if(live & F.col(c).isNull())
-            for c in fv.CREATOR_IMPUTE_COLUMNS
-        },
-    }
-    c = creators.staged.agg(*[e.alias(k) for k, e in c_cols.items()]).withColumn(
-        "duplicates_dropped", dropped(creators.raw, creators.staged)
-    )
-    v_cols = {
-        "dates_unparsable": F.count_if(F.col("publish_date").isNull()),
-        "chargebacks_dropped": F.count_if("_chargeback"),
-        **{
-            f"imputed_{c}": F.count_if(~F.col("_chargeback") & F.col(c).isNull())
-            for c in fv.VIDEO_IMPUTE_COLUMNS
-        },
-    }
-    v = videos.staged.agg(*[e.alias(k) for k, e in v_cols.items()]).withColumn(
-        "duplicates_dropped", dropped(videos.raw, videos.staged)
-    )
-    return _long(c, "creators", ["duplicates_dropped", *c_cols]).unionByName(
-        _long(v, "videos", ["duplicates_dropped", *v_cols])
-    )
+    """(table_name, step, n_rows): rows dropped, nulled or imputed per step, as counted when the
+    staged tables were written."""
+    rows = [
+        (name, step, n)
+        for name, c in (("creators", creators), ("videos", videos))
+        for step, n in c.counts.items()
+        if step not in ("rows", "kept")
+    ]
+    return creators.staged.sparkSession.createDataFrame(rows, "table_name string, step string, n_rows bigint")
 
 
 def cleaning_summary(creators: Cleaned, videos: Cleaned) -> DataFrame:
-    """(table_name, n_before, n_after, n_dropped)."""
-    out = None
+    """(table_name, n_before, n_after, n_dropped), as counted when the staged tables were written."""
+    rows = []
     for name, c in (("creators", creators), ("videos", videos)):
-        after = c.clean.agg(F.count("*").alias("n")).scalar()
-        one = c.raw.agg(F.count("*").alias("n_before")).select(
-            F.lit(name).alias("table_name"), "n_before", after.alias("n_after")
-        )
-        out = one if out is None else out.unionByName(one)
-    return out.withColumn("n_dropped", F.col("n_before") - F.col("n_after"))
+        before, after = c.counts["rows"] + c.counts["duplicates_dropped"], c.counts["kept"]
+        rows.append((name, before, after, before - after))
+    return creators.staged.sparkSession.createDataFrame(rows, "table_name string, n_before bigint, n_after bigint, n_dropped bigint")

@@ -92,3 +92,20 @@ def test_files_follow_size(spark, tmp_path):
     df = spark.range(4000).select("id", F.when(F.col("id") < 3900, "big").otherwise(F.concat(F.lit("s"), F.col("id") % 3)).alias("kind"))
     stored = materialize(df.repartition(16), "layout", "kind")
     assert stored.count() == 4000 and len(stored.inputFiles()) == 4
+
+
+def test_ledger_is_counted_while_the_tables_are_written(spark, sf, monkeypatch):
+    from creatorlens.plans import cleaning as C
+    from creatorlens.sources import marts
+
+    raw = [marts.stored(spark, sf, t) for t in ("creators_messy", "videos_messy")]
+    creators, videos = C.clean_creators(raw[0]), C.clean_videos(raw[1])
+    summary = {r.table_name: r for r in C.cleaning_summary(creators, videos).collect()}
+    for name, c, source in (("creators", creators, raw[0]), ("videos", videos, raw[1])):
+        assert (summary[name].n_before, summary[name].n_after) == (source.count(), c.clean.count())
+        assert c.counts["rows"] == c.staged.count()
+    for df in (C.cleaning_ledger(creators, videos), C.cleaning_summary(creators, videos)):
+        assert "Relation" not in plan(df) and "FileScan" not in plan(df)  # no table is read again
+    nothing = C.clean_creators(raw[0].where("false")), C.clean_videos(raw[1].where("creator_id = 'never'"))
+    assert {r.n_rows for r in C.cleaning_ledger(*nothing).collect()} == {0}
+    assert [(r.n_before, r.n_after) for r in C.cleaning_summary(*nothing).collect()] == [(0, 0)] * 2
