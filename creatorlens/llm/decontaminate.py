@@ -12,7 +12,8 @@ block sees all documents. Shingle frequencies are counted over all documents.
 
 Edge cases: null or empty text has no words; an item without words has no window; an item
 shorter than a window is one window. Equal windows of several items count for each. Items
-without item_id mark words but are not listed. Columns of the documents stay; an output
+without item_id mark words but are not listed. Very long texts are matched whole; repeated rows
+each get their result. An empty table gives no rows, an empty benchmark no hits. Columns of the documents stay; an output
 column replaces one of its name.
 """
 

@@ -8,7 +8,8 @@ with the log of the document's length. The prediction is the largest proportion.
 
 Edge cases: null text and text without a letter give ``und`` with score 0, as does every
 text if nothing could be learned. Null languages teach nothing. Ties go to the language
-that sorts first. Columns of the documents stay; an output column replaces one of its name.
+that sorts first. Very long texts are counted whole, in slices; repeated rows teach and are
+predicted as often as they occur. An empty table gives no rows. Columns of the documents stay; an output column replaces one of its name.
 """
 
 from __future__ import annotations

@@ -6,8 +6,9 @@ so the best fit is the lowest set bit at or above the piece's length. When no bi
 and all are in use, the fullest is closed.
 
 Edge cases: null text is empty text, which gives the end id alone. Every row is packed,
-repeated rows and null ids included. Long texts are cut into full pieces. An empty table
-gives no rows. Other columns of the input are not read.
+repeated rows and null ids included. Very long texts are encoded in parts cut at white space
+and packed as full pieces and a rest. Of bins with equal free space that opened or used last
+takes the next piece. An empty table gives no rows. Other columns of the input are not read.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ adds up the weights of a document's features and applies the logistic function.
 
 Edge cases: null or empty text has no features; its score follows from the shares of the
 classes. Labels other than 0 and 1, labels without doc_id and documents with contradictory
-labels teach nothing. Without labels of both classes every score is 0.5. Columns of the
+labels teach nothing. Very long texts are read whole, in slices. Repeated rows are scored
+alike; those in the training sample count up to its size. An empty table gives no rows. Without labels of both classes every score is 0.5. Columns of the
 documents stay; an output column replaces one of its name.
 """
 

@@ -21,7 +21,9 @@ up to steps of a hundredth of a decimal power; the counts per class and step are
 
 Edge cases: null text is empty and has no spans. Decimal numbers are never reported by the
 battery, and neither is a run that overlaps a match. Positions are code points, ends exclusive. Each row is
-judged on its own; repeated rows give repeated results. Other columns are not read.
+judged on its own; repeated rows give repeated results. Very long texts are searched whole.
+Spans that begin at one place are listed by kind; runs of equal probability are reported or
+not together. An empty table gives no rows. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

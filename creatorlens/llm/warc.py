@@ -14,7 +14,9 @@ Edge cases: null html is an empty payload. Of equal payloads the smallest page_i
 response, a missing page_id coming last; among rows that share page_id and payload it is any
 one of them. Payloads under ``min_bytes`` are all responses. Records that cannot be put
 together (missing segments, wrong length, broken chunks) come back with ``complete`` false
-and a null payload. Columns of the pages other than page_id, url and html are not read.
+and a null payload. Very long pages are cut into segments and chunks like any other, and put
+together in one task. Repeated rows each have a record. An empty table gives empty archives and
+no rows. Columns of the pages other than page_id, url and html are not read.
 """
 
 from __future__ import annotations
