@@ -3,7 +3,9 @@
 Every stage takes the documents its predecessor kept, as (spark, docs, sf_dir), and returns a
 frame that is written as Parquet and read again for the next one. All but the last return the
 columns of ``documents``; n_chars follows the text. Rows are kept whole: a document goes only
-where a stage says so.
+where a stage says so. Texts are taken whole at any length, empty tables give empty results, and
+further columns are carried along unless they have the name of an operator's output, which its
+stage would replace.
 """
 
 from __future__ import annotations
@@ -23,14 +25,16 @@ LINE_DOCS = 10
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go. It learns as the op5 query does."""
+    """Documents that the classifier rejects go. It learns as the op5 query does. Null and empty texts
+    are judged by the shares of the classes; repeated rows share their fate."""
     learn = common.table(spark, sf_dir, "labels").select("doc_id", "quality").where(quality.fold("doc_id", 3) != 1)
     model = quality.train(docs, learn)
     return quality.scored(docs, model).where("predicted = 1").select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in ``LINE_DOCS`` documents go; the documents stay, even if nothing is left."""
+    """Lines found in ``LINE_DOCS`` documents go; the documents stay, even if nothing is left. A null text
+    becomes one empty line; each repeated row counts as a document."""
     return line_runs.dedup_lines(docs, LINE_DOCS).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
@@ -43,13 +47,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a window of the benchmark go."""
+    """Documents with a window of the benchmark go. Texts without words stay; repeated rows share their
+    fate."""
     found = decontaminate.contamination(docs, common.table(spark, sf_dir, "benchmark"))
     return found.where(F.size("hits") == 0).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in sequences."""
+    """Token ids in sequences: the pieces of every document left, texts without words as the end id
+    alone. Of the columns doc_id and text are read."""
     return packing.pack(docs, tokenizer_path())
 
 
