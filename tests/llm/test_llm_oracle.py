@@ -80,3 +80,24 @@ def test_pipeline_of_no_rows_and_of_null_columns(spark, sf):
         for _, stage in corpus_pipeline.STAGES:
             frame = common.stored(stage(spark, frame, sf), "test-stage")
         assert frame.count() <= most
+
+
+def test_stages_with_clashing_columns_repeats_and_long_texts(spark, sf):
+    """Every stage keeps the columns it was given; those named like an operator's output may be replaced."""
+    docs = common.table(spark, sf, "documents")
+    some = docs.limit(30)
+    long = docs.limit(1).select(
+        F.lit(10**6).cast("long").alias("doc_id"), F.repeat(F.concat("text", F.lit("\n")), 60).alias("text"), "lang", "source", "n_chars"
+    )
+    odd = some.union(some).union(long).withColumns(
+        {c: F.lit("clash") for c in ("score", "predicted", "first", "fp", "component_id", "hits", "items", "n_lines", "_row", "extra")}
+    )
+    frame = odd
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        frame = common.stored(stage(spark, frame, sf), "test-clash")
+        assert frame.columns == odd.columns, name
+        assert {r.extra for r in frame.select("extra").distinct().collect()} == {"clash"}
+    left = frame.groupBy("doc_id").count().collect()
+    assert left and all(r["count"] == 1 for r in left)  # near-dedup leaves one of each repeated row
+    packed = corpus_pipeline.STAGES[-1][1](spark, frame, sf)
+    assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in left}
