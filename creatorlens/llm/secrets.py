@@ -65,7 +65,8 @@ CODES = 128
 #: values); digits share the rest.
 LETTERS = (80, 15, 27, 42, 125, 22, 20, 60, 68, 2, 8, 40, 24, 68, 74, 19, 1, 60, 63, 90, 27, 10, 23, 2, 20, 1)
 PRIOR_PAIRS = 20000.0  # weight of that text in the counts of neighbours
-PRIOR_RUNS = 100.0  # weight of the standard null in a class of length
+RARE_PAIR = 5.0  # added to a pair's count and expectation: few counts say little
+PRIOR_RUNS = 300.0  # weight of the standard null in a class of length
 SWITCHES = 0.15  # chance of a change of character class there
 CORRELATION = 0.8  # least correlation of neighbours in an ordered string
 RATE = 0.05  # false discovery rate
@@ -167,7 +168,8 @@ def fitted(pairs: dict[tuple[int, int], int]) -> Nulls:
     joint = [x / total for x in joint]
     left = [sum(joint[i * SYMBOLS : (i + 1) * SYMBOLS]) for i in range(SYMBOLS)]
     right = [sum(joint[i::SYMBOLS]) for i in range(SYMBOLS)]
-    information = [math.log(p / (left[i // SYMBOLS] * right[i % SYMBOLS])) for i, p in enumerate(joint)]
+    rare = RARE_PAIR / total
+    information = [math.log((p + rare) / (left[i // SYMBOLS] * right[i % SYMBOLS] + rare)) for i, p in enumerate(joint)]
     mean = sum(p * x for p, x in zip(joint, information))
     spread = math.sqrt(sum(p * (x - mean) ** 2 for p, x in zip(joint, information)))
     moments = {}
