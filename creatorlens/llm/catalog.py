@@ -95,12 +95,15 @@ URL_RULES = [
 ]
 #: Hosts with a label that begins with one of these words are listed.
 LISTED_LABELS = "(^|[.])(adult|casino|porn|warez)"
+#: Places that some page of the table reaches by a link with such a parameter are listed.
+TRACKED_LINK = "[?&](utm_[a-z]+|ref)="
 
 
 def op10_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     listed = pages.select(url_cascade.host_of(F.col("url")).alias("key")).where(F.col("key").rlike(LISTED_LABELS)).distinct()
-    return url_cascade.judged(pages, URL_RULES, listed)
+    tracked = pages.where(F.col("url").rlike(TRACKED_LINK)).select(url_cascade.place_of(F.col("url")).alias("key")).distinct()
+    return url_cascade.judged(pages, URL_RULES, listed, listed_places=tracked.where("key <> ''"))
 
 
 def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,6 +147,6 @@ def all_sql() -> dict[str, str]:
         "op3_decontaminate": oracle.decontamination(),
         "op4_line_dedup": oracle.line_dedup(),
         "op8_warc": oracle.warc(),
-        "op10_url_cascade": oracle.url_cascade(URL_RULES, LISTED_LABELS),
+        "op10_url_cascade": oracle.url_cascade(URL_RULES, LISTED_LABELS, TRACKED_LINK),
         "op13_divergence": oracle.divergence(divergence.MIN_DOCS, divergence.TOP_TERMS),
     }

@@ -75,24 +75,29 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'r
 FROM q"""
 
 
-def url_cascade(rules: list[tuple[str, str, str]], listed: str) -> str:
+def url_cascade(rules: list[tuple[str, str, str]], listed: str, tracked: str) -> str:
     values = ", ".join(f"('{k}', '{h}', '{p}')" for k, h, p in rules)
     host = LOWER.format("regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's')")
     return f"""
 WITH rules(kind, h, p) AS (VALUES {values}),
 u AS (
-  SELECT row_number() OVER () AS r, page_id, {host} AS host,
+  SELECT row_number() OVER () AS r, page_id, url, {host} AS host,
     regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path
   FROM pages
 ),
 best AS (
   SELECT r, arg_max(kind, length(h || p)) AS kind, arg_max(h || p, length(h || p)) AS rule
   FROM u JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY r
+),
+places AS (SELECT DISTINCT host || path AS place FROM u WHERE regexp_matches(url, '{tracked}') AND host || path <> ''),
+judged AS (
+  SELECT u.*, rule, kind, regexp_matches(host, '{listed}') AS listed, place IS NOT NULL AS place_listed
+  FROM u LEFT JOIN best USING (r) LEFT JOIN places ON host || path = place
 )
 SELECT page_id, host, path, rule,
-  CASE WHEN kind IS NOT NULL THEN kind WHEN regexp_matches(host, '{listed}') THEN 'block' ELSE 'allow' END AS verdict,
-  regexp_matches(host, '{listed}') AS listed
-FROM u LEFT JOIN best USING (r)"""
+  CASE WHEN kind IS NOT NULL THEN kind WHEN listed OR place_listed THEN 'block' ELSE 'allow' END AS verdict,
+  listed, place_listed
+FROM judged"""
 
 
 def divergence(min_docs: int, top_terms: int) -> str:

@@ -7,16 +7,19 @@ on until nothing is left. A key is listed if the first level that rejects it has
 number. A level is an array of 64-bit words, handed to the tasks as a scalar subquery:
 membership is an expression, without a join.
 
-Rules and a host list become keys. The universe is every key that a URL of the corpus can
-ask for: each host suffix with each path prefix of a length that some rule has, and each
-host. A URL gets the verdict of the longest rule that fits; without one, that of its host's
-membership in the list.
+Rules, a list of hosts and a list of places (host and path) become keys. The universe is every
+key that a URL of the corpus can ask for: each host suffix with each path prefix of a length that
+some rule has, each host, and each place. A URL gets the verdict of the longest rule that fits;
+without one, it is blocked if its host or its place is listed.
+
+A level of 6 bits per key lets about 6 % of the other keys through, so each level but the first
+is small, and all levels together need about half the bits that one level of 12 would.
 
 A cascade is built in parts of at most ``PART_KEYS`` listed keys, which bounds each array;
 a key's part follows from its hash.
 
 Edge cases: a URL that is null or has no ``://`` has empty host and path, fits no rule and
-is allowed unless the empty host is listed. A rule that both blocks and allows the same
+is allowed unless the empty host or place is listed. A rule that both blocks and allows the same
 place allows. An empty list or table gives cascades that hold nothing. Other columns of the
 pages are not read.
 """
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-BITS_PER_KEY = 12
+BITS_PER_KEY = 6
 HASHES = 4
 PART_KEYS = 1 << 20
 LEAST_WORDS = 16
@@ -138,6 +141,15 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"^(?s:.*?)://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def place_of(url: Column) -> Column:
+    """Host and path: the key of a place."""
+    return F.concat(host_of(url), path_of(url))
+
+
+def _place() -> Column:
+    return F.concat("host", "path")
+
+
 def _asked(rules: list[tuple[str, str, str]], host: Column, path: Column) -> list[Column]:
     """The keys by which a URL can meet a rule: one for each number of labels and length of
     path that a rule has, null where the URL is shorter."""
@@ -157,9 +169,10 @@ def judged(
     rules: list[tuple[str, str, str]],
     listed_hosts: DataFrame,
     part_keys: int = PART_KEYS,
+    listed_places: DataFrame | None = None,
 ) -> DataFrame:
-    """page_id, host, path, rule, verdict, listed. rules: (block or allow, host, path).
-    listed_hosts: (key), hosts to block where no rule fits."""
+    """page_id, host, path, rule, verdict, listed, place_listed. rules: (block or allow, host, path).
+    listed_hosts, listed_places: (key), hosts, and hosts with paths, to block where no rule fits."""
     spark = pages.sparkSession
     places = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     asked = _asked(rules, F.col("host"), F.col("path"))
@@ -170,6 +183,9 @@ def judged(
         names = [(host + path,) for k, host, path in rules if k == kind]
         of[kind] = build(spark.createDataFrame(names, "key string"), candidates, part_keys)
     listed = build(listed_hosts.select("key"), hosts, part_keys)
+    listed_place = Cascade()
+    if listed_places is not None:
+        listed_place = build(listed_places.select("key"), places.select(_place().alias("key")).distinct(), part_keys)
 
     named = [f"_key{i}" for i in range(len(asked))]
     places = places.withColumns(dict(zip(named, asked)))
@@ -185,13 +201,13 @@ def judged(
 
     found = places.select(
         "page_id", "host", "path", longest("allow").alias("_allow"), longest("block").alias("_block"),
-        listed.holds(F.col("host")).alias("listed"),
+        listed.holds(F.col("host")).alias("listed"), listed_place.holds(_place()).alias("place_listed"),
     )
     allowed = (F.col("_allow") != "") & (F.length("_allow") >= F.length("_block"))
     blocked = (F.col("_block") != "") & ~allowed
     return found.select(
         "page_id", "host", "path",
         F.when(allowed, F.col("_allow")).when(blocked, F.col("_block")).alias("rule"),
-        F.when(allowed, "allow").when(blocked, "block").when(F.col("listed"), "block").otherwise("allow").alias("verdict"),
-        "listed",
+        F.when(allowed, "allow").when(blocked, "block").when(F.col("listed") | F.col("place_listed"), "block").otherwise("allow").alias("verdict"),
+        "listed", "place_listed",
     )
