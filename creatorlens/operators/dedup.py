@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .quantile import BROADCAST_ROWS
+
+REPEATED_ROWS = 2_000_000  # repeated keys whose 64-bit hashes are sent to every task
 
 
 def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -19,26 +20,25 @@ def keep_first(
     df: DataFrame,
     keys: list[str],
     position: str,
-    repeated_limit: int = BROADCAST_ROWS,
+    repeated_limit: int = REPEATED_ROWS,
     repeated: DataFrame | None = None,
 ) -> DataFrame:
     """The row with the smallest ``position`` per key; null keys form one group.
 
     Keys alone are counted first (``repeated`` if the caller has done so). Rows of a key that
     occurs once pass through where they are; only rows of repeated keys are reduced to their
-    first. If more than ``repeated_limit`` keys are repeated, too many to send to every task, all
-    rows are reduced.
+    first. Tasks tell them by the hash of the key; a single key of an equal hash is reduced too,
+    to itself. If more than ``repeated_limit`` keys are repeated, too many to send to every task,
+    all rows are reduced.
     """
     repeated = repeated_keys(df, keys) if repeated is None else repeated
     n = repeated.count()
     if n > repeated_limit:
         return _first_rows(df, keys, position)
-    repeated = repeated.drop("_n")
-    same = F.lit(True)
-    for k in keys:
-        same = same & df[k].eqNullSafe(F.col(f"_{k}"))
-    once = df.join(F.broadcast(repeated), same, "left_anti")
-    return once.unionByName(_first_rows(df.join(F.broadcast(repeated), same, "left_semi"), keys, position)) if n else once
+    hashes = F.broadcast(repeated.select(F.xxhash64(*[F.col(f"_{k}") for k in keys]).alias("_hash")))
+    same = F.xxhash64(*[df[k] for k in keys]) == F.col("_hash")
+    once = df.join(hashes, same, "left_anti")
+    return once.unionByName(_first_rows(df.join(hashes, same, "left_semi"), keys, position)) if n else once
 
 
 def _first_rows(df: DataFrame, keys: list[str], position: str) -> DataFrame:
