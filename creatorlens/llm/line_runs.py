@@ -4,7 +4,9 @@ The documents come in batches. A batch's line hashes are counted per document, a
 with the hashes already known to be frequent, and written as a sorted run. When a level
 holds ``FAN_IN`` runs they are merged: hashes that reach the limit go to the frequent run,
 the others become one run of the next level. At the end the remaining runs are merged.
-Lines with a frequent hash are dropped everywhere, also in earlier batches.
+Lines with a frequent hash are dropped everywhere, also in earlier batches. Hashes become
+frequent in merges only, so one job writes all runs between two merges; while none is
+frequent the counted batches are the runs.
 
 A line's key is the line without ASCII white space at its ends, A-Z lower-cased; it is
 hashed to 128 bits. Empty keys never count.
@@ -66,6 +68,11 @@ def distinct_hashes(docs: DataFrame, carried: list[str], min_chars: int) -> Data
     return docs.select(*carried, "text").mapInArrow(run, schema)
 
 
+def write_batches(counts: DataFrame, path: str) -> None:
+    """(hi, lo, documents, batch) as a folder of sorted files per batch."""
+    counts.sortWithinPartitions("batch", *KEY).write.partitionBy("batch").parquet(path)
+
+
 class LineRuns:
     """Runs of (hi, lo, documents) by level, and the hashes known to be frequent."""
 
@@ -81,13 +88,37 @@ class LineRuns:
     def frequent_hashes(self) -> DataFrame:
         return self._read(self.frequent).select(*KEY)
 
+    def _unknown(self, counts: DataFrame) -> DataFrame:
+        return counts.join(self.frequent_hashes(), list(KEY), "left_anti") if self.frequent else counts
+
+    def _folders(self, path: str, column: str, values: list) -> list[str]:
+        """The partitions of a stored table, those that have rows."""
+        found = [self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{column}={v}") for v in values]
+        return [p.toString() for p in found if p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)]
+
     def add(self, counts: DataFrame) -> None:
         """A batch: (hi, lo, documents), each hash once."""
-        if self.frequent:
-            counts = counts.join(self.frequent_hashes(), list(KEY), "left_anti")
         path = new_path(self.spark, "line-run")
-        counts.sortWithinPartitions(*KEY).write.parquet(path)
-        self.levels[0].append(path)
+        self._unknown(counts).sortWithinPartitions(*KEY).write.parquet(path)
+        self._hold([path])
+
+    def add_batches(self, path: str, batches: int) -> None:
+        """All batches of a table stored by ``write_batches``; its folders may become runs."""
+        at = 0
+        while at < batches:
+            numbers = list(range(at, min(batches, at + self.fan_in - len(self.levels[0]))))
+            at += len(numbers)
+            runs = self._folders(path, "batch", numbers)
+            if runs and self.frequent:
+                counts = self.spark.read.schema("hi long, lo long, documents long, batch int").option("basePath", path).parquet(*runs)
+                to = new_path(self.spark, "line-run")
+                write_batches(self._unknown(counts), to)
+                drop_paths(self.spark, runs)
+                runs = self._folders(to, "batch", numbers)
+            self._hold(runs)
+
+    def _hold(self, runs: list[str]) -> None:
+        self.levels[0] += runs
         level = 0
         while len(self.levels[level]) >= self.fan_in:
             self._merge([level], level + 1)
@@ -112,10 +143,8 @@ class LineRuns:
         drop_paths(self.spark, runs)
         while len(self.levels) <= to_level:
             self.levels.append([])
-        for value, found in (("true", self.frequent), ("false", self.levels[to_level])):
-            part = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/frequent={value}")
-            if part.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(part):
-                found.append(part.toString())
+        self.frequent += self._folders(path, "frequent", ["true"])
+        self.levels[to_level] += self._folders(path, "frequent", ["false"])
 
     def finish(self) -> DataFrame:
         """Merge what is left; (hi, lo) of all frequent lines."""
@@ -133,17 +162,10 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches
         F.struct(*rest).alias("_doc"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", "text").alias("_row")
     )
     path = new_path(spark, "line-batches")
-    (
-        distinct_hashes(keyed.withColumn("batch", F.pmod("_row", F.lit(batches)).cast("int")), ["batch"], min_chars)
-        .groupBy("batch", *KEY)
-        .agg(F.count("*").alias("documents"))
-        .write.partitionBy("batch")
-        .parquet(path)
-    )
-    batched = spark.read.schema("hi long, lo long, documents long, batch int").parquet(path)
+    counts = distinct_hashes(keyed.withColumn("batch", F.pmod("_row", F.lit(batches)).cast("int")), ["batch"], min_chars)
+    write_batches(counts.groupBy("batch", *KEY).agg(F.count("*").alias("documents")), path)
     runs = LineRuns(spark, min_docs)
-    for n in range(batches):
-        runs.add(batched.where(F.col("batch") == n).drop("batch"))
+    runs.add_batches(path, batches)
     frequent = runs.finish()
     drop_paths(spark, [path])
     hits = (

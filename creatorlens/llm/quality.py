@@ -3,8 +3,9 @@
 A document is the mean of the learned vectors of its hashed words and byte n-grams; a
 softmax over two classes follows. Vectors and output weights are trained together by
 stochastic gradient descent in numpy, on at most ``SAMPLE_PER_CLASS`` labelled documents
-of each class, those with the smallest hash of doc_id. Scores are corrected for the share
-of the classes among all labelled rows.
+of each class, those with the smallest hash of doc_id. A task that gets the sample's features
+trains and returns the weights; texts and features never reach the driver. Scores are corrected
+for the share of the classes among all labelled rows.
 
 Because mean and output layer are linear, a trained model is one weight per bucket: a task
 adds up the weights of a document's features and applies the logistic function.
@@ -18,6 +19,7 @@ documents stay; an output column replaces one of its name.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -98,17 +100,31 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS,
 
     fields = [T.StructField("ids", T.BinaryType()), T.StructField("shares", T.BinaryType())]
     # repeated documents would otherwise outnumber the sample
-    rows = with_arrow_columns(sample, fields, make, drop=["text"]).orderBy(F.xxhash64("ids", "shares"), "quality").limit(2 * per_class).toArrow()
-    y = rows["quality"].to_numpy().astype(np.int64)
-    x = [
-        (np.frombuffer(i, "<u2").astype(np.int64), np.frombuffer(s, "<f4"))
-        for i, s in zip(rows["ids"].to_pylist(), rows["shares"].to_pylist())
-    ]
-    if len(set(y.tolist())) < 2:
-        return Model(np.zeros(1 << BITS, np.float32), 0.0)
-    weights, bias = _descend(x, y, seed)
-    shift = np.log(sizes[1] / sizes[0]) - np.log((y == 1).sum() / (y == 0).sum())
-    return Model(weights, bias + float(shift))
+    rows = with_arrow_columns(sample, fields, make, drop=["text"]).orderBy(F.xxhash64("ids", "shares"), "quality").limit(2 * per_class)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, y = [], []
+        for batch in batches:  # in the order of the sort
+            y += batch.column("quality").to_pylist()
+            x += zip(_views(batch.column("ids"), "<u2"), _views(batch.column("shares"), "<f4"))
+        if len(set(y)) == 2:
+            weights, bias = _descend(x, np.array(y, dtype=np.int64), seed)
+            shift = np.log(sizes[1] / sizes[0]) - np.log(y.count(1) / y.count(0))
+            columns = [pa.array([weights.astype("<f4").tobytes()], pa.binary()), pa.array([bias + float(shift)])]
+            yield pa.RecordBatch.from_arrays(columns, names=["weights", "bias"])
+
+    for fitted in rows.mapInArrow(fit, "weights binary, bias double").collect():  # the limit leaves one task, so one row
+        return Model(np.frombuffer(fitted["weights"], "<f4"), fitted["bias"])
+    return Model(np.zeros(1 << BITS, np.float32), 0.0)
+
+
+def _views(column: pa.Array, dtype: str) -> list[np.ndarray]:
+    """Arrays over the cells of a binary column without nulls; nothing is copied."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, "<i8")[column.offset : column.offset + len(column) + 1] // np.dtype(dtype).itemsize
+    cells = np.frombuffer(data, dtype) if data else np.empty(0, dtype)
+    return [cells[i:j] for i, j in zip(at, at[1:])]
 
 
 def _descend(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, seed: int) -> tuple[np.ndarray, float]:

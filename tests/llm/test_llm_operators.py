@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -199,6 +201,20 @@ def test_line_runs_compact_and_stay_small(spark):
     assert sorted(map(tuple, runs.finish().collect())) == [(1, 1), (2, 2)]
 
 
+def test_line_batches_between_merges_are_one_run_table(spark, monkeypatch):
+    """The driver plans a write per merge, not one per batch; the frequent lines are the same."""
+    rows = [(i, "\n".join(f"line {n}" for n in range(40) if i % (n + 1) == 0)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels, new_path = [], line_runs.new_path
+    monkeypatch.setattr(line_runs, "new_path", lambda s, label: labels.append(label) or new_path(s, label))
+    seen = Counter(x for _, t in rows for x in t.split("\n"))
+    for batches in (1, 3, 8, 13):
+        labels.clear()
+        got = {r.doc_id: r.text for r in line_runs.dedup_lines(docs, 4, batches=batches).collect()}
+        assert got == {i: "\n".join(x for x in t.split("\n") if seen[x] < 4) for i, t in rows}
+        assert labels.count("line-run") <= batches // line_runs.FAN_IN
+
+
 def test_line_dedup_of_nothing(empty):
     assert line_runs.dedup_lines(empty).count() == 0
 
@@ -222,6 +238,31 @@ def test_quality_learns_and_handles_edges(spark, docs, empty, sf):
     assert nothing.score(b"any text") == 0.5
 
 
+def test_quality_is_trained_in_a_task(spark, monkeypatch):
+    """The driver gets weights, no features of the sample."""
+    driver, descend = os.getpid(), quality._descend
+
+    def elsewhere(x, y, seed):
+        assert os.getpid() != driver, "the sample is in the driver"
+        return descend(x, y, seed)
+
+    monkeypatch.setattr(quality, "_descend", elsewhere)
+    rows = [(i, f"fine prose number {i}" if i % 3 else f"buy cheap {i}", int(i % 3 > 0)) for i in range(60)]
+    table = spark.createDataFrame([*rows, (60, None, 1), (61, "", 0)], "doc_id long, text string, quality int")
+    model = quality.train(table.select("doc_id", "text"), table.select("doc_id", "quality"))
+    assert model.weights.shape == (1 << quality.BITS,)
+    assert all((model.score(t.encode()) >= 0.5) == bool(q) for _, t, q in rows)
+    one = quality.train(table.select("doc_id", "text"), table.select("doc_id", "quality").where("quality = 1"))
+    assert one.score(b"any text") == 0.5
+
+
+def test_cells_of_a_binary_column_as_arrays():
+    cells = [b"", np.array([1, 65535], "<u2").tobytes(), np.array([7], "<u2").tobytes()]
+    assert [v.tolist() for v in quality._views(pa.array(cells, pa.binary()), "<u2")] == [[], [1, 65535], [7]]
+    assert [v.tolist() for v in quality._views(pa.array(cells, pa.binary())[1:], "<u2")] == [[1, 65535], [7]]
+    assert quality._views(pa.array([], pa.binary()), "<u2") == []
+
+
 def test_quality_score_is_the_mean_over_features():
     text = "Größe matters, a a a!".encode()
     counts = quality.feature_counts(text)
