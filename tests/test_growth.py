@@ -40,6 +40,42 @@ def test_points_are_packed_into_blocks(spark):
     assert km._packed(df.where("false"), ["a", "b"]).count() == 0
 
 
+@pytest.mark.parametrize("open_rows", [0, 2000])
+def test_listed_points_change_no_label(spark, monkeypatch, open_rows):
+    """Runs that measure the places written down with the blocks are those of plain iteration."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(9000, 3)) + (rng.normal(size=(6, 3)) * 2)[np.arange(9000) % 6]
+    x[::7] = np.round(x[::7])  # points that are as near to two centroids
+    points = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "id int, a double, b double, c double").repartition(3)
+    monkeypatch.setattr(km, "LISTED_ROWS", 1)
+    monkeypatch.setattr(km, "OPEN_ROWS", open_rows)
+    monkeypatch.setattr(km, "BLOCK", 1000)
+    seen, real = [], km._pass
+    monkeypatch.setattr(km, "_pass", lambda *a: seen.append((a[4], a[5])) or real(*a))
+    specs = [(k, 7, i) for k in (1, 2, 5, 7) for i in range(3)]
+    columns = ["a", "b", "c"]
+    runs = km.lloyd(points, "id", columns, km.make_runs(points, "id", columns, specs))
+    measured = 0
+    for run, start in zip(runs, km.make_runs(points, "id", columns, specs)):
+        c, history = start.centroids, []
+        while len(history) < 300:
+            dist = km._measured(x, c)
+            sums = km._summed(x, dist, dist.argmin(axis=1), run.k)
+            new = sums[:, 2:] / sums[:, :1]
+            moved = ((new - c) ** 2).sum(axis=1)
+            history.append(sums[:, 1].sum() - (sums[:, 0] * moved).sum())
+            c = new
+            if np.sqrt(moved.max()) < 1e-6:
+                break
+        assert len(run.history) == len(history)
+        np.testing.assert_allclose(run.history, history, rtol=1e-9)
+        np.testing.assert_allclose(run.centroids, c, atol=1e-9)
+        measured += len(history) * run.k * len(x)
+    assert any(m is not None for _, lists in seen for m in lists.narrowed) and any(any(lists.listed) for _, lists in seen)
+    assert any(m is not None for margins, _ in seen for m in margins) == (open_rows > 0)
+    assert sum(r.distances for r in runs) < 0.8 * measured
+
+
 def test_strip_without_regular_expression(spark):
     texts = [f"{w}a{w}b{w}" for w in map(chr, range(0x3100))] + [" a\n\n", "\r\n a \n", " ", "", None]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
